@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import budget, encoding, mixing, splitting
+from lodestone.llm import budget, encoding, leakage, mixing, pairs, reading, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.token_budget(_table(spark, sf_dir, "seed_corpus"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(_table(spark, sf_dir, "supplement"))
+
+
 def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "seed_corpus"), _table(spark, sf_dir, "mix_plan"))
 
@@ -43,6 +47,14 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "graded_passages")).select("doc_id", "level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_token_budget, p4_found, p4_mix, p4_shares, p5_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_token_budget, p3_found, p4_found, p4_mix, p4_shares, p5_ids, p6_found, p7_found)
 }
