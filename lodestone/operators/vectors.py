@@ -1,0 +1,232 @@
+"""Statistics of vectors by site: moments, covariance, reservoirs, principal bases, diagonal mixtures."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions.seeded import order_key
+
+#: The least variance of a direction, what a standard deviation's square is raised by.
+LEAST_EIGENVALUE, STD_FLOOR = 1e-10, 1e-10
+RESERVOIR = 200_000
+
+
+def _chan(n: float, mean: np.ndarray, m2: np.ndarray, n2: float, mean2: np.ndarray, m2_2: np.ndarray):
+    """Two blocks' counts, means and squared deviations as one's."""
+    if not n2:
+        return n, mean, m2
+    if not n:
+        return n2, mean2, m2_2
+    total, delta = n + n2, mean2 - mean
+    return total, mean + delta * (n2 / total), m2 + m2_2 + delta * delta * (n * n2 / total)
+
+
+def moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
+    """``site, n, mean, std, m2`` (arrays): mean, and standard deviation with n - 1 and STD_FLOOR; null for one vector.
+
+    Each task reduces its batches to one row a site; the rows of a site are merged pairwise (Chan). Null vectors are
+    left out; a site with vectors of unlike length is refused by NumPy."""
+    kind = vectors.schema[site].dataType.simpleString()
+    slim = vectors.select(F.col(site).alias("site"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for s, rows in pdf.groupby("site", dropna=False).v:
+                x = np.stack(rows.to_numpy())
+                mean = x.mean(0)
+                block = (float(len(x)), mean, ((x - mean) ** 2).sum(0))
+                held[s] = _chan(*held[s], *block) if s in held else block
+        yield pd.DataFrame([(s, int(n), mean, m2) for s, (n, mean, m2) in held.items()], columns=["site", "n", "mean", "m2"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = (0.0, np.zeros(0), np.zeros(0))
+        for n, mean, m2 in zip(pdf.n, pdf["mean"], pdf.m2):
+            total = _chan(*total, float(n), np.asarray(mean), np.asarray(m2))
+        n, mean, m2 = total
+        std = np.sqrt(m2 / (n - 1) + STD_FLOOR) if n > 1 else None
+        return pd.DataFrame([(pdf.site.iloc[0], int(n), mean, std, m2)], columns=["site", "n", "mean", "std", "m2"])
+
+    parts = slim.mapInPandas(partial, f"site {kind}, n long, mean array<double>, m2 array<double>")
+    return parts.groupBy("site").applyInPandas(merge, f"site {kind}, n long, mean array<double>, std array<double>, m2 array<double>").withColumnRenamed("site", site)
+
+
+def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
+    """``site, i, n, cov``: row i of each site's covariance, over n (population). Partial Gram matrices about each block's
+    own mean leave a task as rows, so a site's matrix is summed in as many tasks as it has rows."""
+    kind = vectors.schema[site].dataType.simpleString()
+    slim = vectors.select(F.col(site).alias("site"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for s, rows in pdf.groupby("site", dropna=False).v:
+                x = np.stack(rows.to_numpy())
+                n, mean = len(x), x.mean(0)
+                gram = (x - mean).T @ (x - mean)
+                if s in held:
+                    n0, mean0, gram0 = held[s]
+                    d = mean - mean0
+                    held[s] = (n0 + n, mean0 + d * (n / (n0 + n)), gram0 + gram + np.outer(d, d) * (n0 * n / (n0 + n)))
+                else:
+                    held[s] = (n, mean, gram)
+        for s, (n, mean, gram) in held.items():
+            yield pd.DataFrame({"site": s, "i": range(len(mean)), "n": n, "mean": [mean] * len(mean), "gram": list(gram)})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, n, mean, row = int(pdf.i.iloc[0]), 0, None, None
+        for n2, m2, g2 in zip(pdf.n, pdf["mean"], pdf.gram):
+            m2, g2 = np.asarray(m2), np.asarray(g2)
+            if mean is None:
+                n, mean, row = int(n2), m2, g2
+                continue
+            d = m2 - mean
+            row = row + g2 + d[i] * d * (n * n2 / (n + n2))
+            mean, n = mean + d * (n2 / (n + n2)), int(n + n2)
+        return pd.DataFrame([(pdf.site.iloc[0], i, n, row / n)], columns=["site", "i", "n", "cov"])
+
+    parts = slim.mapInPandas(partial, f"site {kind}, i int, n long, mean array<double>, gram array<double>")
+    return parts.groupBy("site", "i").applyInPandas(merge, f"site {kind}, i int, n long, cov array<double>").withColumnRenamed("site", site)
+
+
+def reservoir(vectors: DataFrame, site: str, id_column: str, size: int = RESERVOIR, seed: int = 42) -> DataFrame:
+    """A uniform sample of up to ``size`` rows of each site: those with the lowest seeded keys. Mergeable, the same for any
+    partitioning; each task keeps ``size`` rows a site before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(site).orderBy(order_key(seed, "reservoir", F.col(site), F.col(id_column)), id_column))
+    return vectors.withColumn("place", place).filter(F.col("place") <= size)
+
+
+def principal_axes(covariance: DataFrame, site: str, variance: float = 0.95) -> DataFrame:
+    """``site, n, n_components, eigenvalues, explained, components`` ([D][n]): the fewest directions that reach the share of
+    the variance. One matrix a task."""
+    kind = covariance.schema[site].dataType.simpleString()
+
+    def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
+        cov = np.stack(pdf.sort_values("i")["cov"].to_numpy())
+        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+        values, vectors = np.maximum(values[::-1], LEAST_EIGENVALUE), vectors[:, ::-1]
+        share = np.cumsum(values) / values.sum()
+        k = int(min((share < variance).sum() + 1, len(values)))
+        return pd.DataFrame([(pdf.site.iloc[0], int(pdf.n.iloc[0]), k, values, float(share[k - 1]), [list(r) for r in vectors[:, :k]])], columns=["site", "n", "n_components", "eigenvalues", "explained", "components"])
+
+    return covariance.withColumnRenamed(site, "site").groupBy("site").applyInPandas(decompose, f"site {kind}, n long, n_components int, eigenvalues array<double>, explained double, components array<array<double>>").withColumnRenamed("site", site)
+
+
+class DiagonalMixture:
+    """A mixture of normals with diagonal covariance, fitted by EM from k-means++ starts; the best of several starts."""
+
+    def __init__(self, k: int, seed: int = 42, starts: int = 3, iterations: int = 100, tolerance: float = 1e-3, regular: float = 1e-6):
+        self.k, self.seed, self.starts, self.iterations, self.tolerance, self.regular = k, seed, starts, iterations, tolerance, regular
+
+    def log_parts(self, x: np.ndarray) -> np.ndarray:
+        """[n, k] log weight plus log density of each component; the variances are regularised here alone."""
+        var = self.variances + self.regular
+        quad = (x * x) @ (1 / var).T - 2 * x @ (self.means / var).T + (self.means**2 / var).sum(1)
+        return np.log(self.weights) - 0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(var).sum(1) + quad)
+
+    def log_likelihood(self, x: np.ndarray) -> np.ndarray:
+        parts = self.log_parts(x)
+        top = parts.max(1, keepdims=True)
+        return (top + np.log(np.exp(parts - top).sum(1, keepdims=True)))[:, 0]
+
+    def bic(self, x: np.ndarray) -> float:
+        free = 2 * self.k * x.shape[1] + self.k - 1
+        return float(-2 * self.log_likelihood(x).sum() + free * math.log(len(x)))
+
+    def _maximise(self, x: np.ndarray, share: np.ndarray) -> None:
+        mass = share.sum(0) + 1e-10
+        self.weights = mass / len(x)
+        self.means = share.T @ x / mass[:, None]
+        self.variances = np.stack([(share[:, [j]] * (x - self.means[j]) ** 2).sum(0) / mass[j] for j in range(self.k)])
+
+    def _start(self, x: np.ndarray, rng: np.random.Generator) -> None:
+        def far(c):
+            return ((x - c) ** 2).sum(1)
+
+        centres = [x[rng.integers(len(x))]]
+        nearest = far(centres[0])
+        for _ in range(1, self.k):
+            p = nearest / nearest.sum() if nearest.sum() > 0 else None
+            tried = [(np.minimum(nearest, far(x[c])), c) for c in rng.choice(len(x), 2 + int(math.log(self.k)), p=p)]
+            nearest, c = min(tried, key=lambda t: t[0].sum())
+            centres.append(x[c])
+        centres = np.stack(centres)
+        for _ in range(20):
+            own = self._assign(x, centres)
+            moved = np.stack([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(self.k)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        own = self._assign(x, centres)
+        for j in np.flatnonzero(np.bincount(own, minlength=self.k) == 0):  # an empty one moves to the farthest point
+            centres[j] = x[((x[:, None] - centres[None]) ** 2).sum(2).min(1).argmax()]
+            own = self._assign(x, centres)
+        self._maximise(x, np.eye(self.k)[own])
+
+    @staticmethod
+    def _assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+
+    def fit(self, x: np.ndarray) -> DiagonalMixture:
+        if len(x) < self.k:
+            raise ValueError(f"{len(x)} samples can't carry {self.k} components")
+        rng, best = np.random.default_rng(self.seed), (-math.inf, None)
+        for _ in range(self.starts):
+            self._start(x, rng)
+            last = level = -math.inf
+            for _ in range(self.iterations):
+                parts = self.log_parts(x)
+                top = parts.max(1, keepdims=True)
+                norm = top + np.log(np.exp(parts - top).sum(1, keepdims=True))
+                level = float(norm.mean())
+                if abs(level - last) < self.tolerance:
+                    break
+                last = level
+                self._maximise(x, np.exp(parts - norm))
+            if level > best[0]:
+                best = (level, (self.weights, self.means, self.variances))
+        self.level, (self.weights, self.means, self.variances) = best
+        return self
+
+
+FIT = "n_components int, weights array<double>, means array<array<double>>, covariances array<array<double>>, log_likelihood double, bic double, p10 double, p50 double, p90 double"
+
+
+def fit_mixtures(sample: DataFrame, site: str, id_column: str, vector: str, k: int = 32, seed: int = 42, starts: int = 3) -> DataFrame:
+    """A diagonal mixture for each site's reservoir, with the percentiles of its log-likelihood. k shrinks to the number of
+    rows; a site with fewer than two rows has none. One site a task: the reservoir bounds it."""
+    kind = sample.schema[site].dataType.simpleString()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = np.stack(pdf.v.to_numpy())
+        if len(x) < 2:
+            return pd.DataFrame([(pdf.site.iloc[0], 0, None, None, None, None, None, None, None, None)])
+        m = DiagonalMixture(min(k, len(x)), seed, starts).fit(x)
+        ll = m.log_likelihood(x)
+        return pd.DataFrame([(pdf.site.iloc[0], m.k, m.weights, [list(r) for r in m.means], [list(r) for r in m.variances], m.level, m.bic(x), *np.quantile(ll, [0.1, 0.5, 0.9]))])
+
+    slim = sample.select(F.col(site).alias("site"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    return slim.groupBy("site").applyInPandas(fit, f"site {kind}, {FIT}").withColumnRenamed("site", site)
+
+
+def token_frequencies(df: DataFrame, ids: str) -> DataFrame:
+    """``token, n, freq``: how often each token occurs, and its share of all."""
+    counts = df.select(F.explode(ids).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("token", "n", (F.col("n") / F.col("total").cast("double")).alias("freq"))  # one row
+
+
+def fit_sites(vectors: DataFrame, site: str, id_column: str, vector: str, k: int = 32, variance: float = 0.95, size: int = RESERVOIR, seed: int = 42) -> DataFrame:
+    """The whole statistic of each site: moments, principal basis and mixture, one row a site."""
+    m = moments(vectors, site, vector).select(site, F.col("n").alias("n_samples"), "mean", "std")
+    p = principal_axes(covariance_rows(vectors, site, vector), site, variance).select(site, F.col("n_components").alias("pca_n_components"), F.col("eigenvalues").alias("pca_eigenvalues"), F.col("components").alias("pca_components"))
+    g = fit_mixtures(reservoir(vectors, site, id_column, size, seed), site, id_column, vector, k, seed)
+    g = g.select(site, *[F.col(c).alias(f"gmm_{c}") for c in ("n_components", "weights", "means", "covariances")], *[F.col(c).alias(f"gmm_log_likelihood_{c}") for c in ("p10", "p50", "p90")])
+    return m.join(p, site, "left").join(g, site, "left")
