@@ -40,7 +40,7 @@ def tokens(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White-space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, "\\s+", " "))
+    return F.trim(F.regexp_replace(c, "[ \\t\\r\\n\\f]+", " "))
 
 
 def sentences(c: Column, least: int = MIN_SENTENCE_CHARS) -> Column:
@@ -56,9 +56,14 @@ def fingerprint(c: Column) -> Column:
 
 def repeat_share(c: Column, n: int = 8) -> Column:
     """Share of the text's word n-grams that repeat an earlier one; 0 for a text of fewer than n words."""
-    words = tokens(c)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(grams)) / F.size(grams).cast("double"))
+
+    def share(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        repeated = F.transform(F.array(grams), lambda g: 1.0 - F.size(F.array_distinct(g)) / F.size(g).cast("double"))
+        return F.when(F.size(words) < n, F.lit(0.0)).otherwise(F.element_at(repeated, 1))
+
+    # a lambda's argument is worked out once; an expression that is named twice inside one is not
+    return F.element_at(F.transform(F.array(tokens(c)), share), 1)
 
 
 def cut_at_marker(c: Column, markers: list[str]) -> Column:

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.operators.vectors import DiagonalMixture
 
@@ -35,7 +34,9 @@ def merge_moments(base: DataFrame, added: DataFrame, site: str) -> DataFrame:
     Both sides have those columns."""
     a, b = base.select(site, "n", "mean", "var"), added.select(site, F.col("n").alias("n2"), F.col("mean").alias("mean2"), F.col("var").alias("var2"))
     j = a.join(b, site, "full").withColumns({"n": F.coalesce("n", F.lit(0)), "n2": F.coalesce("n2", F.lit(0))})
-    alpha = alpha_from_counts(F.col("n"), F.col("n2"))
+    # a column of its own: inside a lambda the name n would be taken for the new n of the same select
+    j = j.withColumn("_alpha", alpha_from_counts(F.col("n"), F.col("n2")))
+    alpha = F.col("_alpha")
     both = F.col("mean").isNotNull() & F.col("mean2").isNotNull()
     mean = F.when(both, merged_mean(F.col("mean"), F.col("mean2"), alpha)).otherwise(F.coalesce("mean", "mean2"))
     var = F.when(both, merged_variance(F.col("mean"), F.col("var"), F.col("mean2"), F.col("var2"), alpha)).otherwise(F.coalesce("var", "var2"))
@@ -56,7 +57,8 @@ def merge_artifacts(base: DataFrame, domain: DataFrame, site: str, alpha: float
     d = domain.select(site, *[F.col(c).alias("d_" + c) for c in ("n_samples", "mean", "std", "gmm_weights", "gmm_means", "gmm_covariances")])
     j = base.join(d, site, "left")
     met = F.col("d_n_samples").isNotNull() | F.col("d_mean").isNotNull()
-    a = F.lit(alpha).cast("double") if alpha is not None else alpha_from_counts(F.col("n_samples"), F.col("d_n_samples"))
+    j = j.withColumn("_alpha", F.lit(alpha).cast("double") if alpha is not None else alpha_from_counts(F.col("n_samples"), F.col("d_n_samples")))
+    a = F.col("_alpha")  # of its own, as in merge_moments
     mixed = met & F.col("gmm_weights").isNotNull() & F.col("d_gmm_weights").isNotNull()
     plain = met & ~mixed & F.col("d_mean").isNotNull()
     square = lambda c: F.transform(c, lambda x: x * x)
@@ -77,7 +79,7 @@ def domain_mixtures(sample: DataFrame, base: DataFrame, site: str, id_column: st
     """``site, n_samples, mean, std, gmm_weights, gmm_means, gmm_covariances``: a mixture of each site's sample in the base's
     whitened basis, carried back to its coordinates, with at most one component for SAMPLES_PER_COMPONENT vectors."""
     kind = sample.schema[site].dataType.simpleString()
-    basis = base.select(F.col(site).alias("site"), F.col("mean").alias("mu"), F.col("pca_components").alias("axes"), F.col("pca_eigenvalues").alias("lam"))
+    basis = base.select(F.col(site).alias("site"), F.col("mean").alias("mu"), F.col("pca_components").alias("basis_rows"), F.col("pca_eigenvalues").alias("lam"))
     slim = sample.select(F.col(site).alias("site"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
 
     def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +87,7 @@ def domain_mixtures(sample: DataFrame, base: DataFrame, site: str, id_column: st
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         x = np.stack(left.sort_values("id").v.to_numpy())
-        axes = np.stack(right.axes.iloc[0])
+        axes = np.stack(right.basis_rows.iloc[0])
         scale = np.sqrt(np.asarray(right.lam.iloc[0])[: axes.shape[1]])
         z = (x - np.asarray(right.mu.iloc[0])) @ axes / scale
         m = DiagonalMixture(min(k, max(1, len(x) // SAMPLES_PER_COMPONENT)), seed, starts=1, regular=1e-4).fit(z)
@@ -106,14 +108,17 @@ def quantize(df: DataFrame, id_column: str, vector: str, block: int = BLOCK) ->
     cut = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(padded, b * block + 1, block))).otherwise(F.array().cast("array<array<float>>"))
     sized = F.transform(cut, lambda x: F.struct(x.alias("x"), F.greatest(F.array_max(F.transform(x, lambda y: F.abs(y))) / F.lit(127.0).cast("float"), F.lit(1e-12)).cast("float").alias("s")))
     codes = F.transform(sized, lambda b: F.struct(b["s"].alias("scale"), F.transform(b["x"], lambda y: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround((y / b["s"]).cast("float").cast("double"), 0).cast("int"))).cast("tinyint")).alias("q")))
-    exact = df.select(F.col(id_column), F.size(vector).alias("numel"), codes.alias("blocks"))
-    return exact.withColumn("blocks", F.zip_with("blocks", half(F.transform("blocks", lambda b: b["scale"])), lambda b, s: F.struct(s.alias("scale"), b["q"].alias("q"))))
+    return df.select(F.col(id_column), F.size(vector).alias("numel"), F.transform(codes, lambda b: F.struct(half(b["scale"]).alias("scale"), b["q"].alias("q"))).alias("blocks"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def half(scales: pd.Series) -> pd.Series:
-    """Numbers rounded to half precision, which Spark has no type for."""
-    return scales.map(lambda s: None if s is None else np.asarray(s, np.float32).astype(np.float16).astype(np.float32))
+def half(c: Column) -> Column:
+    """A positive number rounded to half precision, half to even, as a float; Spark has no such type."""
+    x = c.cast("double")
+    near = F.floor(F.log2(x))
+    exponent = F.when(F.pow(F.lit(2.0), near) > x, near - 1).when(F.pow(F.lit(2.0), near + 1) <= x, near + 1).otherwise(near)  # log2 may miss a power of two
+    unit = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-14)) - 10)
+    rounded = F.bround(x / unit, 0) * unit
+    return F.when(rounded > 65504.0, F.lit(float("inf"))).otherwise(rounded).cast("float")
 
 
 def dequantize(blocks: Column, numel: Column) -> Column:

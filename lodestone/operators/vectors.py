@@ -198,22 +198,36 @@ class DiagonalMixture:
 FIT = "n_components int, weights array<double>, means array<array<double>>, covariances array<array<double>>, log_likelihood double, bic double, p10 double, p50 double, p90 double"
 
 
-def fit_mixtures(sample: DataFrame, site: str, id_column: str, vector: str, k: int = 32, seed: int = 42, starts: int = 3) -> DataFrame:
-    """A diagonal mixture for each site's reservoir, with the percentiles of its log-likelihood. k shrinks to the number of
-    rows; a site with fewer than two rows has none. One site a task: the reservoir bounds it."""
-    kind = sample.schema[site].dataType.simpleString()
+def _fitted(site, x: np.ndarray, k: int, seed: int, starts: int) -> pd.DataFrame:
+    if len(x) < 2:
+        return pd.DataFrame([(site, 0, None, None, None, None, None, None, None, None)])
+    m = DiagonalMixture(min(k, len(x)), seed, starts).fit(x)
+    return pd.DataFrame([(site, m.k, m.weights, [list(r) for r in m.means], [list(r) for r in m.variances], m.level, m.bic(x), *np.quantile(m.log_likelihood(x), [0.1, 0.5, 0.9]))])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf.v.to_numpy())
-        if len(x) < 2:
-            return pd.DataFrame([(pdf.site.iloc[0], 0, None, None, None, None, None, None, None, None)])
-        m = DiagonalMixture(min(k, len(x)), seed, starts).fit(x)
-        ll = m.log_likelihood(x)
-        return pd.DataFrame([(pdf.site.iloc[0], m.k, m.weights, [list(r) for r in m.means], [list(r) for r in m.variances], m.level, m.bic(x), *np.quantile(ll, [0.1, 0.5, 0.9]))])
 
+def fit_mixtures(sample: DataFrame, site: str, id_column: str, vector: str, k: int = 32, seed: int = 42, starts: int = 3, bases: DataFrame | None = None) -> DataFrame:
+    """A diagonal mixture for each site's reservoir, with the percentiles of its log-likelihood; in the coordinates of
+    ``bases`` (site, mean, components) where given. k shrinks to the number of rows; a site with fewer than two
+    rows has none. One site a task: the reservoir bounds it."""
+    kind = sample.schema[site].dataType.simpleString()
     slim = sample.select(F.col(site).alias("site"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    return slim.groupBy("site").applyInPandas(fit, f"site {kind}, {FIT}").withColumnRenamed("site", site)
+    schema = f"site {kind}, {FIT}"
+    if bases is None:
+
+        def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id")
+            return _fitted(pdf.site.iloc[0], np.stack(pdf.v.to_numpy()), k, seed, starts)
+
+        return slim.groupBy("site").applyInPandas(plain, schema).withColumnRenamed("site", site)
+
+    def projected(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["site", *[c.split()[0] for c in FIT.split(", ")]])
+        x = np.stack(left.sort_values("id").v.to_numpy())
+        return _fitted(left.site.iloc[0], (x - np.asarray(right["mean"].iloc[0])) @ np.stack(right["components"].iloc[0]), k, seed, starts)
+
+    basis = bases.select(F.col(site).alias("site"), "mean", "components")
+    return slim.groupBy("site").cogroup(basis.groupBy("site")).applyInPandas(projected, schema).withColumnRenamed("site", site)
 
 
 def token_frequencies(df: DataFrame, ids: str) -> DataFrame:
@@ -226,7 +240,9 @@ def token_frequencies(df: DataFrame, ids: str) -> DataFrame:
 def fit_sites(vectors: DataFrame, site: str, id_column: str, vector: str, k: int = 32, variance: float = 0.95, size: int = RESERVOIR, seed: int = 42) -> DataFrame:
     """The whole statistic of each site: moments, principal basis and mixture, one row a site."""
     m = moments(vectors, site, vector).select(site, F.col("n").alias("n_samples"), "mean", "std")
-    p = principal_axes(covariance_rows(vectors, site, vector), site, variance).select(site, F.col("n_components").alias("pca_n_components"), F.col("eigenvalues").alias("pca_eigenvalues"), F.col("components").alias("pca_components"))
-    g = fit_mixtures(reservoir(vectors, site, id_column, size, seed), site, id_column, vector, k, seed)
+    p = principal_axes(covariance_rows(vectors, site, vector), site, variance)
+    bases = m.join(p, site).select(site, "mean", "components")
+    g = fit_mixtures(reservoir(vectors, site, id_column, size, seed), site, id_column, vector, k, seed, bases=bases)
     g = g.select(site, *[F.col(c).alias(f"gmm_{c}") for c in ("n_components", "weights", "means", "covariances")], *[F.col(c).alias(f"gmm_log_likelihood_{c}") for c in ("p10", "p50", "p90")])
+    p = p.select(site, F.col("n_components").alias("pca_n_components"), F.col("eigenvalues").alias("pca_eigenvalues"), F.col("components").alias("pca_components"))
     return m.join(p, site, "left").join(g, site, "left")

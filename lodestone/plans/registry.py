@@ -1,4 +1,4 @@
-"""Every registered query of the library's own operators."""
+"""Every registered query of the library's own operators, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lodestone.plans import text_queries, vector_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **vector_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL, **vector_queries.SQL}
