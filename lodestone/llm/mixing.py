@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from lodestone.functions.names import is_blank, source_name
 from lodestone.functions.seeded import order_key
 from lodestone.operators.deliveries import first_delivery
+from lodestone.operators.ranking import with_prefix
 
 #: Blocks into which a plan's budget is cut; the schedule's size depends on this alone, never on the data.
 BLOCKS = 2048
-#: 4,096 order buckets a source: two million rows in each at 10^11 rows.
-BUCKET_DIGITS = 3
 
 
 def usable_rows(corpus: DataFrame) -> DataFrame:
@@ -98,20 +97,11 @@ def schedule(targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
 
 def streams(rows: DataFrame, seed: int) -> DataFrame:
-    """Each source's rows in seeded order, with ``before``: the characters that come before a row.
-
-    The running sum has two levels, so no source is ordered in one task: rows fall into buckets by the first
-    BUCKET_DIGITS hex digits of their order key, buckets are summed (a partial aggregate) and run over, and the
-    window over rows works inside a bucket. The result doesn't depend on the number of digits.
-    """
-    keyed = rows.withColumn("key", order_key(seed, "mix", F.col("row_id"), F.when(F.col("row_id").isNull(), F.col("n_chars"))))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("n_chars").alias("in_bucket"))
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    run = keyed.withColumn("inside", F.coalesce(F.sum("n_chars").over(inside), F.lit(0)))
-    return run.join(starts, ["source", "bucket"]).select("row_id", "source", "n_chars", "key", (F.col("start") + F.col("inside")).alias("before"))
+    """Each source's rows in seeded order, with ``before``: the characters that come before a row. A two-level prefix
+    sum, so no source is ordered in one task."""
+    key = order_key(seed, "mix", F.col("row_id"), F.when(F.col("row_id").isNull(), F.col("n_chars")))
+    run = with_prefix(rows, key, {"until": F.col("n_chars")}, by=("source",), tie="row_id")
+    return run.select("row_id", "source", "n_chars", (F.col("until") - F.col("n_chars")).alias("before"))
 
 
 def mix(corpus: DataFrame, plan: DataFrame, seed: int = 42, blocks: int = BLOCKS) -> DataFrame:
