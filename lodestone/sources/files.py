@@ -71,25 +71,35 @@ def record_text(record: Column) -> Column:
     return F.coalesce(*[string(f) for f in TEXT_FIELDS], joined)
 
 
+def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path, block, line, value`` of the lines of text files. (path, block, line) is the order of the lines: ``block`` is
+    where the split begins in its file, and ids grow inside a split, so a long file is read by many tasks."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line, text`` of every document under a path: a text or Markdown file whole, a line of a JSON-lines file, an
-    element of a JSON file (an object or an array of them). Blank documents are left out; (path, line) is their order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kinds = files.select("path", F.lower(F.regexp_extract("path", "\\.([A-Za-z]+)$", 1)).alias("kind"), decode_utf8(F.col("content")).alias("content"))
-    whole = kinds.filter(F.col("kind").isin("txt", "md")).select("path", F.lit(0).alias("line"), F.col("content").alias("text"))
-    lines = kinds.filter("kind = 'jsonl'").select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "r")).filter("trim(r) <> ''")
+    """``path, block, line, text`` of every document under a path: a text or Markdown file whole, a line of a JSON-lines file,
+    an element of a JSON file (an object or an array of them). Blank documents are left out; (path, block, line) is
+    their order."""
+    whole_files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md,json}").load(path)
+    kinds = whole_files.select("path", F.lower(F.regexp_extract("path", "\\.([A-Za-z]+)$", 1)).alias("kind"), decode_utf8(F.col("content")).alias("content"))
+    zero = F.lit(0).cast("long")
+    whole = kinds.filter("kind <> 'json'").select("path", zero.alias("block"), zero.alias("line"), F.col("content").alias("text"))
+    lines = _lines(spark, path, "*.jsonl").filter("trim(value) <> ''").select("path", "block", "line", F.col("value").alias("r"))
     parsed = kinds.filter("kind = 'json'").select("path", F.try_parse_json("content").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array(F.col("v")))
-    elements = parsed.filter("v is not null").select("path", F.posexplode(items).alias("line", "e")).select("path", "line", F.to_json("e").alias("r"))
-    records = lines.unionByName(elements).select("path", "line", record_text(F.col("r")).alias("text"))
+    elements = parsed.filter("v is not null").select("path", F.posexplode(items).alias("line", "e")).select("path", zero.alias("block"), F.col("line").cast("long").alias("line"), F.to_json("e").alias("r"))
+    records = lines.unionByName(elements).select("path", "block", "line", record_text(F.col("r")).alias("text"))
     return whole.unionByName(records).filter(F.col("text").rlike("\\S"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line, prompt, response`` of a JSON-lines file of pairs, in its order; lines without a prompt are left out."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "r"))
-    pair = rows.select("path", "line", F.from_json("r", "prompt string, response string").alias("p"))
-    return pair.select("path", "line", "p.prompt", F.coalesce("p.response", F.lit("")).alias("response")).filter(F.coalesce(F.trim("prompt"), F.lit("")) != "")
+    """``path, block, line, prompt, response`` of JSON-lines files of pairs, in the order (path, block, line); lines without
+    a prompt are left out."""
+    rows = _lines(spark, path, "*.jsonl")
+    pair = rows.select("path", "block", "line", F.from_json("value", "prompt string, response string").alias("p"))
+    return pair.select("path", "block", "line", "p.prompt", F.coalesce("p.response", F.lit("")).alias("response")).filter(F.coalesce(F.trim("prompt"), F.lit("")) != "")
 
 
 def load_source(spark: SparkSession, loader: Callable[[SparkSession, str], DataFrame], path: str) -> DataFrame:
