@@ -64,8 +64,9 @@ def token_budget(df: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str
         "n_chars": F.col("n_chars"), "n_tokens": F.col("n_tokens"),
     })
     cells = once.groupBy("source", "lang", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_chars", "n_tokens")]
+    nothing = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "domain")], *[F.lit(0).cast("long").alias(c) for c in ("n_rows", "n_chars", "n_tokens")])
     keys = [F.col(c) for c in ("source", "lang", "domain")]
-    rolled = cells.groupingSets([keys, keys[:1], keys[1:2], keys[2:], []], *keys).agg(F.grouping_id().alias("g"), *sums)
+    rolled = cells.unionByName(nothing).groupingSets([keys, keys[:1], keys[1:2], keys[2:], []], *keys).agg(F.grouping_id().alias("g"), *[F.sum(c).alias(c) for c in ("n_rows", "n_chars", "n_tokens")])
+    rolled = rolled.filter((F.col("g") == 7) | (F.col("n_rows") > 0))  # the empty line is there for the grand total alone
     grain = F.when(F.col("g") == 0, "cell").when(F.col("g") == 3, "source").when(F.col("g") == 5, "lang").when(F.col("g") == 6, "domain").otherwise("all")
     return rolled.select(grain.alias("slice"), "source", "lang", "domain", "n_rows", "n_chars", "n_tokens")

@@ -122,12 +122,14 @@ def familiar_words(english: DataFrame, text: str = "text") -> DataFrame:
     return counts.orderBy(F.desc("n_docs"), "word").limit(LISTS[-1])
 
 
-def _scale(graded: DataFrame, rank: dict[str, int]) -> ReadingScale:
+def _scale(graded: DataFrame, rank: dict[str, int]) -> tuple[ReadingScale | None, int]:
+    """The scale fitted to the graded passages (none without familiar words to measure by), and its lowest level."""
     rows = graded.filter("text is not null and level is not null").orderBy("ref_id").limit(MAX_GRADED).select("level", "text").collect()
-    known = [(r.level, x) for r in rows if (x := features(r.text, rank)) is not None]
-    if not known:
+    if not rows:
         raise ValueError("there are no graded passages to fit the reading scale on")
-    return ReadingScale(np.stack([x for _, x in known]), np.array([k for k, _ in known]))
+    known = [(r.level, x) for r in rows if (x := features(r.text, rank)) is not None]
+    scale = ReadingScale(np.stack([x for _, x in known]), np.array([k for k, _ in known])) if known else None
+    return scale, min(r.level for r in rows)
 
 
 def reading_levels(documents: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", doc_format: str = "doc_format") -> DataFrame:
@@ -143,15 +145,15 @@ def reading_levels(documents: DataFrame, graded: DataFrame, doc_id: str = "doc_i
     spark = documents.sparkSession
     english = documents.filter(F.col(lang) == "en")
     rank = {r.word: i for i, r in enumerate(familiar_words(english, text).collect())}
-    scale = spark.sparkContext.broadcast((rank, _scale(graded, rank)))
+    scale = spark.sparkContext.broadcast((rank, *_scale(graded, rank)))
     prose = english.filter((F.length(text) >= MIN_CHARS) & ~F.coalesce(F.col(doc_format).isin("listing", "code"), F.lit(False)))
     slim = prose.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, fitted = scale.value
+        rank, fitted, lowest = scale.value
         for batch in batches:
             found = [features(t, rank) for t in batch.column("text").to_pylist()]
-            level = [int(fitted.levels[0]) if x is None else fitted.grade(x) for x in found]
+            level = [lowest if x is None or fitted is None else fitted.grade(x) for x in found]
             share = [None if x is None else float(x[4]) for x in found]
             length = [None if x is None else float(np.exp(x[-1])) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(level, pa.int32()), pa.array(share, pa.float64()), pa.array(length, pa.float64())], ["doc", "level", "unfamiliar", "words_per_sentence"])
