@@ -163,3 +163,35 @@ def instruction_prompt(instruction: Column, extra: Column, label: str) -> Column
 def signed_percent(after: Column, before: Column) -> Column:
     """Change in per cent, rounded half-even to one decimal; null where there is no baseline."""
     return F.bround(F.try_divide(after - before, before) * 100, 1)
+
+
+def drop_burn_in(ids: Column, n: int) -> Column:
+    """Token ids without the first n."""
+    return F.slice(ids, n + 1, F.greatest(F.size(ids) - n, F.lit(0)))
+
+
+def render(template: str, **fields: Column) -> Column:
+    """A template with its ``{name}`` places filled from columns; null fields as the empty string."""
+    out = F.lit(template)
+    for name, c in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("")))
+    return out
+
+
+def render_pair(prompt: Column, response: Column, template: str = "{prompt}\n{response}") -> Column:
+    """A pair as one text: by a chat template given as text, else a line each."""
+    return render(template, prompt=prompt, response=response)
+
+
+def strip_licence(c: Column, start: str = "\\*\\*\\*\\s*START OF .*?\\*\\*\\*", end: str = "\\*\\*\\*\\s*END OF ") -> Column:
+    """What stands between a licence header's end and its footer's start; the whole text where there are none."""
+    head = F.regexp_replace(c, f"(?s)^.*?{start}", "")
+    return trim_space(F.regexp_replace(head, f"(?s){end}.*$", ""))
+
+
+def synthetic_text(topic: Column, number: Column, frames: list[str], n: int, pick: Column | None = None) -> Column:
+    """Filler of n sentences chosen from frames by the hash of topic, document and place: the same for the same arguments."""
+    options = F.array(*[F.lit(f) for f in frames])
+    chosen = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(options, (F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("/", topic, number.cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(len(frames))) + 1).cast("int")))
+    body = F.replace(F.array_join(chosen, " "), F.lit("{topic}"), topic)
+    return F.concat(F.lit("# "), topic, F.lit(" note "), number.cast("string"), F.lit("\n\n"), body, F.lit("\n"))

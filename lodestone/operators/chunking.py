@@ -91,3 +91,25 @@ def scoring_windows(n: Column, length: int = 2048, stride: int = 512) -> Column:
     starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), step)).otherwise(F.array().cast("array<bigint>"))
     window = F.transform(starts, lambda b: F.struct(b.alias("begin"), F.least(b + length, n).alias("end"), (F.least(b + length, n) - F.when(b == 0, F.lit(0)).otherwise(F.least(b - stride + length, n))).alias("new")))
     return F.filter(window, lambda w: w["new"] > 0)
+
+
+def optimizer_steps(df: DataFrame, n: str, offsets: list[int], batch: int = 6, accumulate: int = 1) -> DataFrame:
+    """``epoch, n_chunks, steps``: each epoch's chunks at its own offset, batches rounded up, steps rounded up. One pass
+    over the documents serves all epochs."""
+    n_ = F.col(n).cast("long")
+    sums = df.agg(*[F.coalesce(F.sum(chunk_count(n_, document_offset(n_, o))), F.lit(0)).alias(str(e)) for e, o in enumerate(offsets)])
+    each = sums.select(F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(str(e)).alias("n_chunks")) for e in range(len(offsets))])).alias("x")).select("x.*")
+    return each.withColumn("steps", F.ceil(F.ceil(F.col("n_chunks") / F.lit(batch)) / F.lit(accumulate)).cast("long"))
+
+
+def memory_estimate(df: DataFrame, text: str, bytes_per_token: int = 35, chars_per_token: int = 4) -> DataFrame:
+    """One row ``n_chars, n_tokens, n_bytes``: what a single machine would hold of the corpus; Spark itself spills."""
+    chars = F.coalesce(F.sum(F.length(text)), F.lit(0))
+    tokens = F.floor(chars / F.lit(chars_per_token)).cast("long")
+    return df.agg(chars.alias("n_chars"), tokens.alias("n_tokens"), (tokens * bytes_per_token).alias("n_bytes"))
+
+
+def chunks_until(df: DataFrame, id_column: str, tokens: str, need: int, seed: int = 42) -> DataFrame:
+    """Rows in seeded order until their tokens reach ``need``: those whose predecessors hold fewer; all if there are too few."""
+    run = with_prefix(df, order_key(seed, "until", F.col(id_column)), {"reached": F.col(tokens).cast("long")}, tie=id_column)
+    return run.filter(F.col("reached") - F.col(tokens) < need)

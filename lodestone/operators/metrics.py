@@ -108,3 +108,30 @@ def reusable(manifests: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFr
     for k in keys:
         condition = condition & F.col(f"m.{k}").eqNullSafe(F.col(f"w.{k}"))
     return m.join(w, condition, "left_semi")
+
+
+def epoch_means(batches: DataFrame, epoch: str, losses: list[str], grad_norm: str, stepped: str) -> DataFrame:
+    """``epoch, losses…, grad_norm, n_batches, n_steps``: losses averaged over micro-batches, gradient norms over the batches
+    that ended a step."""
+    step = F.col(stepped)
+    return batches.groupBy(epoch).agg(*[F.avg(c).alias(c) for c in losses], F.coalesce(F.avg(F.when(step, F.col(grad_norm))), F.lit(0.0)).alias("grad_norm"), F.count(F.lit(1)).alias("n_batches"), F.count_if(step).alias("n_steps"))
+
+
+def thinnest_and_largest(counts: DataFrame, site: str, n: str) -> DataFrame:
+    """One row: the site with the fewest vectors and the one with the most, ties by name."""
+    low, high = F.min(F.struct(F.col(n).alias("n"), F.col(site).alias("s"))), F.max(F.struct(F.col(n).alias("n"), F.col(site).alias("s")))
+    return counts.agg(low.alias("a"), high.alias("b")).select(F.col("a.s").alias("thinnest"), F.col("a.n").alias("least"), F.col("b.s").alias("largest"), F.col("b.n").alias("most"))
+
+
+def weighted_site_loss(errors: DataFrame, weights: DataFrame, layer: str, mse: str) -> DataFrame:
+    """One row ``loss``: the sites' squared errors averaged in each layer, then summed with the depth schedule's weights."""
+    mean = errors.groupBy(layer).agg(F.avg(mse).alias("_m"))
+    return mean.join(weights, layer).agg(F.coalesce(F.sum(F.col("_m") * F.col("weight")), F.lit(0.0)).alias("loss"))
+
+
+def factored_weight_loss(a: Column, b: Column, scale: float) -> Column:
+    """Squared norm of scale * B A for factor matrices given as rows, as scale^2 tr((B'B)(AA')): the product is never made."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    columns = F.transform(F.sequence(F.lit(1), F.size(F.element_at(b, 1))), lambda j: F.transform(b, lambda row: F.element_at(row, j)))
+    grams = F.transform(F.arrays_zip(columns.alias("c"), a.alias("r")), lambda i: F.aggregate(F.transform(F.arrays_zip(columns.alias("c"), a.alias("r")), lambda j: dot(i["c"], j["c"]) * dot(i["r"], j["r"])), F.lit(0.0), lambda s, v: s + v))
+    return F.aggregate(grams, F.lit(0.0), lambda s, v: s + v) * (scale * scale)

@@ -14,6 +14,7 @@ from lodestone.operators.corpora import forest_pairs, head_samples, pair_quota,
 from lodestone.operators.documents import PreparationRefused, min_documents_for_held_out, ordered_overlap, overlap_share
 from lodestone.operators.lineage import materialise
 from lodestone.sources.files import extract, find_files
+from lodestone.sources.sinks import write_batch
 
 MIN_SPLIT = 500
 REASONS = ["unparseable_passage", "leaked_json", "refers_to_source", "duplicate", "truncated_answer", "short_answer"]
@@ -110,3 +111,45 @@ def supplement(documents: DataFrame, doc_id: str, ask: Callable[[list[str]], lis
     judged = materialise(judged_answers(answers, "question", "output", stops))
     pairs = judged.filter("reason is null").select(F.col("question").alias("prompt"), F.col("answer").alias("response"), *order)
     return pairs, questions.select("reason").unionByName(judged.select("reason")).filter("reason is not null")
+
+
+class DegenerateCorpus(RuntimeError):
+    """A generator whose draws are mostly empty, or too few in the end."""
+
+
+def write_generated_corpus(spark: SparkSession, generate: Callable[[list[int]], list[str]], path: str, wanted: int, markers: list[str], batch: int = 256, max_empty_fraction: float = 0.2, min_docs: int = 50, min_chars: int = 200, max_repeat: float = 0.5) -> dict:
+    """Draws until ``wanted`` texts pass, batch by batch, each batch a partition of ``path``: empty draws are replaced by later
+    ones. A writer that was interrupted goes on after its last whole batch, with the same draws. Refused once the
+    rejected draws exceed ``max_empty_fraction`` of those asked for, or with fewer than ``min_docs`` texts.
+
+    The state is what is written: every batch's rows carry what became of each draw."""
+    schema = "draw long, text string, kept boolean, batch int"
+
+    def standing() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except Exception:  # nothing written yet
+            return spark.createDataFrame([], schema)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"draw": b.id, "raw": generate(b.id.tolist())})
+
+    while True:
+        t = standing().agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("empty"), F.coalesce(F.max("batch") + 1, F.lit(0)).alias("next")).first()
+        if t["empty"] > max_empty_fraction * wanted:
+            raise DegenerateCorpus(f"{t['empty']} of {t['kept'] + t['empty']} draws were empty or looping")
+        if t["kept"] >= wanted:
+            break
+        ids = spark.range(t["next"] * batch, (t["next"] + 1) * batch)
+        drawn = ids.mapInPandas(draw, "draw long, raw string").withColumn("text", cut_at_marker(F.coalesce("raw", F.lit("")), markers))
+        kept = (F.length("text") >= min_chars) & (repeat_share(F.col("text")) <= max_repeat)
+        write_batch(drawn.select("draw", "text", kept.alias("kept")), path, int(t["next"]))
+    if min(t["kept"], wanted) < min_docs:
+        raise DegenerateCorpus(f"{t['kept']} texts, fewer than {min_docs}")
+    return {"kept": int(t["kept"]), "empty": int(t["empty"]), "batches": int(t["next"])}
+
+
+def read_generated_corpus(spark: SparkSession, path: str, wanted: int) -> DataFrame:
+    """``draw, text`` of the first ``wanted`` texts that passed, in the order of their draws."""
+    return spark.read.parquet(path).filter("kept").orderBy("draw").limit(wanted).select("draw", "text")

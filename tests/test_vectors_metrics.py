@@ -185,3 +185,86 @@ def test_stream_folds_to_the_batch_result(spark, cloud, tmp_path):
     for r in folded(spark, str(tmp_path / "state")).collect():
         own = x[r.site :: 2][:, r.d]
         assert r.n == len(own) and abs(r["mean"] - own.mean()) < 1e-9 and abs(r["std"] - own.std(ddof=1)) < 1e-6
+
+
+def test_generated_corpus_goes_on_where_it_stopped(spark, tmp_path):
+    from lodestone.plans import prepare
+
+    path, fail = str(tmp_path / "corpus"), {"at": 2}
+    text = "one two three four five six seven eight nine ten " * 6
+
+    def generate(ids):
+        return [text + str(i) if i % 10 else "" for i in ids]
+
+    def breaking(ids):
+        if min(ids, default=0) >= 32:
+            raise RuntimeError("stopped")
+        return generate(ids)
+
+    with pytest.raises(Exception, match="stopped"):
+        prepare.write_generated_corpus(spark, breaking, path, 60, [], batch=16, min_docs=5, max_repeat=1.0)
+    before = spark.read.parquet(path).count()
+    got = prepare.write_generated_corpus(spark, generate, path, 60, [], batch=16, min_docs=5, max_repeat=1.0)
+    assert before == 32 and got["kept"] >= 60 and got["batches"] == 5 and fail
+    out = prepare.read_generated_corpus(spark, path, 60).collect()
+    assert len(out) == 60 and [r.draw for r in out] == [i for i in range(80) if i % 10][:60]
+    with pytest.raises(prepare.DegenerateCorpus):
+        prepare.write_generated_corpus(spark, lambda ids: ["" for _ in ids], str(tmp_path / "bad"), 40, [], batch=16)
+    with pytest.raises(prepare.DegenerateCorpus):
+        prepare.write_generated_corpus(spark, generate, str(tmp_path / "few"), 10, [], batch=16, max_repeat=1.0)
+
+
+def test_settings_and_checks(spark, tmp_path):
+    import json
+
+    from lodestone.operators import checks
+
+    p = tmp_path / "s.json"
+    p.write_text(json.dumps({"name": "n", "model_id": "m", "frame": {"k": 1}}))
+    s = checks.Settings.load(str(p))
+    assert s.stage_lambdas(1) == (160_000.0, 160_000.0) and s.stage_lambdas(3) == (480_000.0, 480_000.0)
+    assert s.warnings(32, {"k": 1}) == [] and len(s.warnings(16, {"k": 2, "j": 1})) == 3
+    for bad in ({"name": "n"}, {"name": "n", "model_id": "m", "other": 1}, {"name": "n", "model_id": "m", "epochs": 0}, {"name": "n", "model_id": "m", "val_fraction": 1.0}):
+        p.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            checks.Settings.load(str(p))
+    meta = checks.make_meta("m", 4, 2, ["a"], 10)
+    assert checks.require_own(meta) is meta
+    for foreign in ({}, {**meta, "built_with": "other"}, {**meta, "format_version": 9}):
+        with pytest.raises(checks.ForeignArtifact):
+            checks.require_own(foreign)
+
+
+def test_gated_unit_change(spark):
+    rng = np.random.default_rng(4)
+    x, g, u, d = rng.normal(size=(6, 3)), rng.normal(size=(5, 3)), rng.normal(size=(5, 3)), rng.normal(size=(2, 5))
+    dg, du, dd = rng.normal(size=(5, 3)) * 0.1, rng.normal(size=(5, 3)) * 0.1, rng.normal(size=(2, 5)) * 0.1
+    silu = lambda z: z / (1 + np.exp(-z))
+    full = (silu(x @ (g + dg).T) * (x @ (u + du).T)) @ (d + dd).T - (silu(x @ g.T) * (x @ u.T)) @ d.T
+    np.testing.assert_allclose(vectors.swiglu_change(x, g, u, d, dg, du, dd), full, atol=1e-12)
+    df = spark.createDataFrame([("s", r.tolist()) for r in x], "site string, v array<double>")
+    price = vectors.swiglu_price(df, "site", "v", {"gate": g, "up": u, "down": d, "d_gate": dg, "d_up": du, "d_down": dd}).first().price
+    assert price == pytest.approx((full**2).sum(1).mean())
+    assert vectors.layer_group_size(1024, 2048, 28, 200_000, 2, None) == 7 and vectors.layer_group_size(1024, 2048, 28, 200_000, 2, 1) == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone import cli
+
+    (tmp_path / "book.txt").write_text("\n\n".join(f"Paragraph {i} of the book is here, and it is long enough to be counted as text." for i in range(60)))
+    out = str(tmp_path / "out")
+    assert cli.main(["prepare-domain", str(tmp_path / "book.txt"), "--out", out, "--split-chars", "600"]) == 0
+    assert cli.main(["prepare-domain", str(tmp_path / "book.txt"), "--out", out, "--split-chars", "600", "--existing"]) == 2
+    assert cli.main(["prepare-domain", str(tmp_path / "book.txt"), "--out", out, "--split-chars", "10"]) == 2
+    assert cli.main(["train"]) == 2
+    rng = np.random.default_rng(0)
+    spark.createDataFrame([(i, "s", rng.normal(size=3).tolist()) for i in range(60)], "vec_id long, site string, v array<double>").write.parquet(str(tmp_path / "v"))
+    assert cli.main(["build-artifact", "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "a"), "--model", "m", "--components", "2"]) == 0
+    assert cli.main(["extend", "--artifact", str(tmp_path / "a"), "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "b"), "--name", "d"]) == 0
+    (tmp_path / "scores.json").write_text('{"axis": "a", "stage": "before", "value": 10.0}\n{"axis": "a", "stage": "after", "value": 9.0}\n')
+    capsys.readouterr()
+    assert cli.main(["evaluate", "--scores", str(tmp_path / "scores.json")]) == 0
+    assert '"after_delta_pct": -10.0' in capsys.readouterr().out
+    (tmp_path / "spec.json").write_text('[{"stage": "nothing"}]')
+    assert cli.main(["chain", str(tmp_path / "spec.json"), "--ledger", str(tmp_path / "l")]) == 2
+    assert cli.main(["list-artifacts", "--root", str(tmp_path)]) == 0
