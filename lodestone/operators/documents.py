@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
 from lodestone.functions.text import fingerprint, normalise_characters, sentences
-from lodestone.operators.ranking import with_prefix
+from lodestone.operators.ranking import with_ordered_rank, with_prefix
 
 REFUSE_SHARE = 0.5
 
@@ -100,9 +100,8 @@ def seeded_first(df: DataFrame, id_column: str, n: int, seed: int, purpose: str)
 
 def unique_names(df: DataFrame, stem: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``: the stem for the first of its rows, then ``stem_1``, ``stem_2`` …, passing over names in
-    ``taken`` (one column ``name``)."""
-    w = Window.partitionBy(stem).orderBy(order)
-    ranked = df.withColumn("_i", F.row_number().over(w) - 1)
+    ``taken`` (one column ``name``). A stem that most rows share is numbered in many tasks."""
+    ranked = with_ordered_rank(df, order, by=(stem,)).withColumn("_i", F.col("rnk") - 1).drop("rnk")
     if taken is not None:
         used = taken.select(F.regexp_extract("name", "^(.*?)(?:_([0-9]+))?$", 1).alias("_stem"), F.coalesce(F.regexp_extract("name", "_([0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("_no"))
         highest = used.groupBy("_stem").agg((F.max("_no") + 1).alias("_from"))
@@ -114,12 +113,18 @@ RULE = "\n\n" + "=" * 80 + "\n\n"
 
 
 def combined(df: DataFrame, group: str, name: str, text: str, order: str) -> DataFrame:
-    """``group, combined``: each group's texts in order, each under a ``# Source:`` line, with rules between."""
-    part = F.struct(F.col(order).alias("o"), F.concat(F.lit("# Source: "), F.col(name), F.lit("\n\n"), F.col(text)).alias("t"))
-    return df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), RULE).alias("combined"))
+    """``group, order, block``: the blocks whose concatenation, in order, is the group's combined text: each text under a
+    ``# Source:`` line, with rules between. A block a row, so a group may be of any size; a sink writes them in order."""
+    first = df.groupBy(group).agg(F.min(order).alias("_first"))
+    joined = df.alias("d").join(first.alias("f"), F.col(f"d.{group}").eqNullSafe(F.col(f"f.{group}")))
+    head = F.when(F.col(f"d.{order}") == F.col("f._first"), F.lit("")).otherwise(F.lit(RULE))
+    return joined.select(F.col(f"d.{group}").alias(group), F.col(f"d.{order}").alias(order), F.concat(head, F.lit("# Source: "), F.col(f"d.{name}"), F.lit("\n\n"), F.col(f"d.{text}")).alias("block"))
 
 
 def corpus_fingerprint(df: DataFrame, text: str, order: str, group: str) -> DataFrame:
-    """``group, fingerprint``: an order-sensitive hash of the hashes of a group's texts."""
-    part = F.struct(F.col(order).alias("o"), fingerprint(F.col(text)).alias("h"))
-    return df.groupBy(group).agg(fingerprint(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["h"]), "")).alias("fingerprint"))
+    """``group, fingerprint``: a hash of a group's texts and their order, from sums of the hashes of (order, text): a partial
+    aggregate, so a group may be of any size. 96 bits of every row's hash enter."""
+    row = F.sha2(F.concat_ws(":", F.col(order).cast("string"), fingerprint(F.coalesce(text, F.lit("")))), 256)
+    part = lambda start: F.sum(F.conv(F.substring(row, start, 12), 16, 10).cast("decimal(28,0)"))
+    sums = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(13).alias("b"))
+    return sums.select(group, fingerprint(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))).alias("fingerprint"))

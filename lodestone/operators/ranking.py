@@ -13,6 +13,29 @@ from pyspark.sql import functions as F
 BUCKET_DIGITS = 3
 
 
+#: Buckets of ``with_ordered_rank``: this many order values are collected and sent to the tasks, whatever the data's size.
+RANGES = 256
+
+
+def with_ordered_rank(df: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``rnk`` from 1 in the order of a column, in the whole table or inside each group of ``by``; the column's
+    values are distinct in a group. Rows fall into RANGES ranges of the column, whose bounds are found first; then as
+    in ``with_prefix``. Nulls come first."""
+    numbered = df.select(F.col(order).cast("string").alias("v")) if dict(df.dtypes)[order] == "string" else df.select(F.col(order).alias("v"))
+    if dict(df.dtypes)[order] == "string":
+        bounds = [r.v for r in numbered.filter("v is not null").orderBy(F.sha2("v", 256)).limit(RANGES).collect()]  # a seeded sample
+    else:
+        found = numbered.agg(F.percentile_approx("v", [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000).alias("b")).first().b
+        bounds = found or []
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    ranged = df.withColumn("_bucket", F.coalesce(F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at), F.lit(-1)))
+    totals = ranged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = totals.select(*by, "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    run = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order)))
+    joined = run.alias("r").join(starts.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "_bucket")])
+    return joined.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("s._b") + F.col("r._r")).alias("rnk"))
+
+
 def with_prefix(df: DataFrame, key: Column, sums: dict[str, Column] | None = None, by: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
     """``df`` with ``rnk`` (from 1, in the order of the hex digest ``key``, ties by ``tie``) and, for each of ``sums``, the
     running total up to and with the row, in the whole table or inside each group of ``by``."""

@@ -79,8 +79,8 @@ def sample_categorical(weights: DataFrame, item: str, weight: str, n: int, seed:
     line's buckets: an item stands in every bucket it reaches into, a draw in one."""
     live = weights.filter(F.col(weight) > 0).select(F.col(item).alias("_item"), F.col(weight).cast("double").alias("_w"))
     run = with_prefix(live, F.sha2(F.col("_item").cast("string"), 256), {"hi": F.col("_w")}, tie="_item")
-    total = live.agg(F.sum("_w").alias("total"))
-    placed = run.crossJoin(F.broadcast(total)).select("_item", ((F.col("hi") - F.col("_w")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))  # one row
+    total = live.agg(F.sum("_w").alias("total")).withColumn("one", F.lit(1))  # one row
+    placed = run.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("_item", ((F.col("hi") - F.col("_w")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))
     reach = placed.select("*", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1).cast("long")))).alias("b"))
     draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, "categorical", F.col("id")).alias("u")).withColumn("b", F.floor(F.col("u") * buckets))
     return draws.join(reach, "b").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", F.col("_item").alias(item))

@@ -233,8 +233,8 @@ def fit_mixtures(sample: DataFrame, site: str, id_column: str, vector: str, k: i
 def token_frequencies(df: DataFrame, ids: str) -> DataFrame:
     """``token, n, freq``: how often each token occurs, and its share of all."""
     counts = df.select(F.explode(ids).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("token", "n", (F.col("n") / F.col("total").cast("double")).alias("freq"))  # one row
+    total = df.agg(F.sum(F.greatest(F.size(ids), F.lit(0))).alias("total")).withColumn("one", F.lit(1))  # one row
+    return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("token", "n", (F.col("n") / F.col("total").cast("double")).alias("freq"))
 
 
 def fit_sites(vectors: DataFrame, site: str, id_column: str, vector: str, k: int = 32, variance: float = 0.95, size: int = RESERVOIR, seed: int = 42) -> DataFrame:

@@ -151,16 +151,16 @@ def output_names(spark, d):
     return documents.unique_names(stems, "stem", "doc_id").select("source", "doc_id", "name")
 
 
-@query("select doc_format, sha256(string_agg('# Source: ' || doc_id || chr(10) || chr(10) || coalesce(title, ''), chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) order by doc_id)) as combined_hash from documents group by doc_format")
+@query("select doc_format, doc_id, sha256(case when doc_id = min(doc_id) over (partition by doc_format) then '' else chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) end || '# Source: ' || doc_id || chr(10) || chr(10) || coalesce(text, '')) as block_hash from documents")
 def combined_output(spark, d):
-    docs = table(spark, d, "documents").select("doc_format", "doc_id", F.col("doc_id").cast("string").alias("name"), F.coalesce("title", F.lit("")).alias("title"))
-    return documents.combined(docs, "doc_format", "name", "title", "doc_id").select("doc_format", text.fingerprint(F.col("combined")).alias("combined_hash"))
+    docs = table(spark, d, "documents").select("doc_format", "doc_id", F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return documents.combined(docs, "doc_format", "name", "text", "doc_id").select("doc_format", "doc_id", text.fingerprint(F.col("block")).alias("block_hash"))
 
 
-@query("select source, sha256(string_agg(sha256(coalesce(text, '')), '' order by doc_id)) as fingerprint from documents group by source")
+@query("""select source, sha256(count(*) || ':' || sum(('0x' || substring(h, 1, 12))::bigint) || ':' || sum(('0x' || substring(h, 13, 12))::bigint)) as fingerprint
+  from (select source, sha256(doc_id || ':' || sha256(coalesce(text, ''))) as h from documents) group by source""")
 def corpus_fingerprint(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return documents.corpus_fingerprint(docs, "text", "doc_id", "source")
+    return documents.corpus_fingerprint(table(spark, d, "documents"), "text", "doc_id", "source")
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------

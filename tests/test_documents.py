@@ -69,11 +69,21 @@ def test_names_never_collide(spark):
 
 
 def test_combined_and_fingerprint(spark):
-    df = spark.createDataFrame([("g", "n2", "two", 2), ("g", "n1", "one", 1)], "g string, n string, t string, o int")
-    assert documents.combined(df, "g", "n", "t", "o").first().combined == "# Source: n1\n\none" + documents.RULE + "# Source: n2\n\ntwo"
-    a = documents.corpus_fingerprint(df, "t", "o", "g").first().fingerprint
-    b = documents.corpus_fingerprint(df.withColumn("o", -F.col("o")), "t", "o", "g").first().fingerprint
-    assert a != b
+    df = spark.createDataFrame([("g", "n2", "two", 2), ("g", "n1", "one", 1), (None, "n3", "x", 5)], "g string, n string, t string, o int")
+    blocks = documents.combined(df, "g", "n", "t", "o").filter("g = 'g'").orderBy("o").collect()
+    assert "".join(b.block for b in blocks) == "# Source: n1\n\none" + documents.RULE + "# Source: n2\n\ntwo"
+    prints = lambda x: {r.g: r.fingerprint for r in documents.corpus_fingerprint(x, "t", "o", "g").collect()}
+    assert prints(df) == prints(df.repartition(3)) and set(prints(df)) == {"g", None}
+    assert prints(df)["g"] != prints(df.withColumn("o", -F.col("o")))["g"] and prints(df)["g"] != prints(df.withColumn("t", F.upper("t")))["g"]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ordered_rank(spark, kind):
+    df = spark.range(700).select((F.col("id") * 7919 % 10007).cast(kind).alias("o"), F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "cold").alias("g"))
+    got = ranking.with_ordered_rank(df.repartition(5), "o", by=("g",)).toPandas()
+    for _, part in got.groupby("g", dropna=False):
+        assert part.sort_values("o").rnk.tolist() == list(range(1, len(part) + 1))
+    assert ranking.with_ordered_rank(df.limit(0), "o").count() == 0
 
 
 def test_files_are_found_extracted_and_prepared(spark, tmp_path):
