@@ -29,11 +29,12 @@ def plan_targets(plan: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``plan_id, source`` (as the plan spells it), ``name`` (normalised), ``weight``, ``max_repeats``, ``size``
     (characters, 0 for a source without rows), ``budget`` and ``target`` of the plan, ``capacity`` = size x
-    max_repeats, ``short`` (capacity below target). Null weights, ratios and repeats count as 0; a source that a
-    plan names twice has the sum of the weights and the larger cap.
+    max_repeats, ``short`` (capacity below target). Null weights, ratios and repeats count as 0, lines
+    without a plan as a plan named by the empty string; a source that a plan names twice has the sum of the weights and
+    the larger cap.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    one = plan.groupBy("plan_id", source_name(F.col("source")).alias("name")).agg(
+    one = plan.withColumn("plan_id", F.coalesce("plan_id", F.lit(""))).groupBy("plan_id", source_name(F.col("source")).alias("name")).agg(
         F.min("source").alias("source"), F.sum(zero("weight").cast("double")).alias("weight"), F.max(zero("max_repeats").cast("long")).alias("max_repeats"), F.max(zero("budget_ratio").cast("double")).alias("ratio")
     )
     sizes = rows.groupBy(F.col("source").alias("name")).agg(F.sum("n_chars").alias("size"))

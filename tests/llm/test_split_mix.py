@@ -110,6 +110,6 @@ def test_mix_edges(spark):
     rows = sorted(mixing.usable_rows(df).collect(), key=str)
     assert [tuple(r) for r in rows] == sorted([(1, "a", 4), (4, "unknown", 2), (None, "a", 2)], key=str)
     plan = spark.createDataFrame([("p", "a", 1.0, 2, 1.0), ("p", "unknown", None, 1, 1.0), (None, "a", 1.0, None, 1.0)], PLAN)
-    assert {(r.plan_id, r.source) for r in mixing.short_sources(df, plan).collect()} == {(None, "a")}
+    assert {(r.plan_id, r.source) for r in mixing.short_sources(df, plan).collect()} == {("", "a")}
     assert mixing.mix(df.limit(0), plan).count() == 0 and mixing.mix(df, plan.limit(0)).count() == 0
     assert mixing.short_sources(df.limit(0), plan).count() == 0
