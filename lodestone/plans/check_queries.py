@@ -33,7 +33,7 @@ def burn_in_dropped(spark, d):
   '^[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]+$', '', 'g')) as n_chars from documents where text is not null""")
 def licence_stripped(spark, d):
     head, tail = F.lit("Front matter.\n*** START OF THIS BOOK ***"), F.lit("*** END OF THIS BOOK ***\nLicence.")
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(text.strip_licence(F.concat(head, "text", tail))).alias("n_chars"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(text.strip_licence(F.concat(head, "text", tail))).cast("long").alias("n_chars"))
 
 
 _FRAMES = ["In {topic}, a note is read once.", "This {topic} text is filler.", "Nothing here is about {topic} itself.", "A later note follows this one."]
@@ -103,9 +103,9 @@ def factored_weight_loss(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(metrics.factored_weight_loss(a, b, 2.0), 6).alias("loss"))
 
 
-@query("select label, count(*) as n from embeddings where vec_id % 3 <> 0 and label < 8 group by label")
+@query("select label, count(*) as n from embeddings where embedding[1] > 0 and label < 8 group by label")
 def padding_left_out(spark, d):
-    masked = table(spark, d, "embeddings").withColumn("mask", (F.pmod("vec_id", F.lit(3)) != 0).cast("int"))
+    masked = table(spark, d, "embeddings").withColumn("mask", (F.col("embedding")[0] > 0).cast("int"))
     return vectors.without_padding(masked, "mask", "label", 8).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

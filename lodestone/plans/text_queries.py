@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def long(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns as longs, the type that SQL's counts and lengths have."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def query(sql: str | None = None, longs: tuple[str, ...] = ()):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = functools.wraps(f)(lambda spark, d: long(f(spark, d), *longs)) if longs else f
         if sql is not None:
             SQL[f.__name__] = sql
         return f
@@ -66,7 +73,7 @@ def _word_counts(spark, d) -> DataFrame:
 
 
 # --- documents ------------------------------------------------------------------------------------------------
-@query(f"select doc_id, length(text) as n_chars, substring({_collapse('text')}, 1, 60) as excerpt from documents where length(text) >= 1000 and regexp_matches(text, '[^ \\t\\r\\n\\f]')")
+@query(f"select doc_id, length(text) as n_chars, substring({_collapse('text')}, 1, 60) as excerpt from documents where length(text) >= 1000 and regexp_matches(text, '[^ \\t\\r\\n\\f]')", longs=("n_chars",))
 def doc_length_filter(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").filter((F.length(t) >= 1000) & t.rlike("[^ \\t\\r\\n\\f]")).select("doc_id", F.length(t).alias("n_chars"), text.excerpt(t).alias("excerpt"))
@@ -89,7 +96,7 @@ def sentence_extract(spark, d):
     return s.groupBy("doc_id").agg(F.sum("uses").alias("n_sentences"), F.sum(F.col("n_chars") * F.col("uses")).alias("n_chars"))
 
 
-@query(f"select hash, max(n_chars) as n_chars, cast(sum(uses) as bigint) as n_uses, count(*) as n_docs, min(doc_id) as first_doc from {_sentences('documents', 'doc_id')} group by hash")
+@query(f"select hash, max(n_chars) as n_chars, cast(sum(uses) as bigint) as n_uses, count(*) as n_docs, min(doc_id) as first_doc from {_sentences('documents', 'doc_id')} group by hash", longs=("n_chars",))
 def sentence_hash_index(spark, d):
     s = documents.sentence_table(table(spark, d, "documents"), "doc_id")
     return s.groupBy("hash").agg(F.max("n_chars").alias("n_chars"), F.sum("uses").alias("n_uses"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
@@ -115,7 +122,7 @@ def overlap_ordered_inputs(spark, d):
 
 
 @query(f"""select * from (select doc_id, item_id, chars, row_number() over (partition by doc_id order by chars desc, item_id) as place from (
-  select s.doc_id, h.item_id, cast(sum(s.n_chars * s.uses) as bigint) as chars from {_sentences('documents', 'doc_id')} s join {_sentences('benchmark', 'item_id')} h using (hash) group by all)) where place <= 3""")
+  select s.doc_id, h.item_id, cast(sum(s.n_chars * s.uses) as bigint) as chars from {_sentences('documents', 'doc_id')} s join {_sentences('benchmark', 'item_id')} h using (hash) group by all)) where place <= 3""", longs=("place",))
 def overlap_attribution_top3(spark, d):
     return documents.attribution(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
@@ -140,7 +147,7 @@ def holdout_every_eighth(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.pmod("doc_id", F.lit(8)) == 7).alias("held_out"))
 
 
-@query(f"select doc_id, row_number() over (order by {_sha('shuffle', 'doc_id')}, doc_id) as rnk from documents qualify rnk <= 100")
+@query(f"select doc_id, row_number() over (order by {_sha('shuffle', 'doc_id')}, doc_id) as rnk from documents qualify rnk <= 100", longs=("rnk",))
 def seeded_shuffle_topn(spark, d):
     return documents.seeded_first(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 42, "shuffle")
 
@@ -187,7 +194,7 @@ def chunk_bounds_offset(spark, d):
     return chunking.chunk_bounds(_word_counts(spark, d), "doc_id", "n", _OFFSET)
 
 
-@query("""select n, o as "offset", sum(case when e - s >= 10 then 1 else 0 end)::bigint as n_chunks, n - coalesce(sum(case when e - s >= 10 then e - s end), 0)::bigint as n_missing from (
+@query("""select n::bigint as n, o as "offset", sum(case when e - s >= 10 then 1 else 0 end)::bigint as n_chunks, n - coalesce(sum(case when e - s >= 10 then e - s end), 0)::bigint as n_missing from (
   select n, off as o, unnest(list_concat(list_transform(range(0, o2, 512), lambda x: {'s': x, 'e': least(x + 512, o2, n)}), list_transform(range(o2, n, 512), lambda x: {'s': x, 'e': least(x + 512, n)})), recursive := true)
   from (select n, off, case when off between 1 and 9 or n <= 512 then 0 else off end as o2 from (values (513), (600), (700), (1024), (1500), (2049), (5000)) v(n), range(512) r(off))) group by n, o""")
 def chunk_offset_sweep(spark, d):
@@ -231,7 +238,7 @@ def dominant_document(spark, d):
 
 
 @query(f"""select doc_id, batch, n as mask_ones, max(n) over (partition by batch) - n as n_padding from (
-  select doc_id, n, cast(floor((row_number() over (order by {_sha('batch', 'doc_id')}, doc_id) - 1) / 6) as bigint) as batch from {_N_WORDS})""")
+  select doc_id, n, cast(floor((row_number() over (order by {_sha('batch', 'doc_id')}, doc_id) - 1) / 6) as bigint) as batch from {_N_WORDS})""", longs=("mask_ones", "n_padding"))
 def left_pad_batches(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.transform(text.tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("ids"))
     out = chunking.batches(docs, "doc_id", "ids", 6, seed=42)
@@ -341,7 +348,7 @@ _SOURCE_NAME = r"replace(lower(regexp_replace(source, '^[ \t\r\n\x{A0}\x{3000}]+
 @query(rf"""with x as (select row_id, prompt, response, case when s is null or s = '' then 'unknown' else s end as source from (select row_id, prompt, response, {_SOURCE_NAME} as s from {_ONCE} where prompt is not null)),
   k as (select * from x qualify row_number() over (partition by source order by sha256('42:pairs:' || source || ':' || row_id), row_id) <= 90),
   g as (select row_id, source, substring(regexp_replace(prompt, {_PY_STRIP}), 1, 2048) as prompt, substring(regexp_replace(response, {_PY_STRIP}), 1, 2048) as response from k)
-  select source, row_id, sha256(prompt) as prompt_hash, row_number() over (partition by source order by sha256('42:pairs:' || source || ':' || row_id), row_id) as taken from g where length(prompt) > 20 and length(response) > 20 qualify taken <= 30""")
+  select source, row_id, sha256(prompt) as prompt_hash, row_number() over (partition by source order by sha256('42:pairs:' || source || ':' || row_id), row_id) as taken from g where length(prompt) > 20 and length(response) > 20 qualify taken <= 30""", longs=("taken",))
 def pair_quota_extract(spark, d):
     rows = first_delivery(table(spark, d, "seed_corpus"), "row_id", "loaded_at", {"prompt": F.col("prompt"), "response": F.col("response"), "source": source_name(F.col("source"))})
     return corpora.pair_quota(rows.filter("prompt is not null"), 30).select("source", "row_id", text.fingerprint(F.col("prompt")).alias("prompt_hash"), "taken")
@@ -362,7 +369,7 @@ def json_record_text(spark, d):
 
 
 # --- text -----------------------------------------------------------------------------------------------------
-@query(f"select doc_id, length({_norm('text')}) as n_chars, sha256({_norm('text')}) as text_hash from documents where text is not null")
+@query(f"select doc_id, length({_norm('text')}) as n_chars, sha256({_norm('text')}) as text_hash from documents where text is not null", longs=("n_chars",))
 def char_normalise(spark, d):
     n = text.normalise_characters(F.col("text"))
     return table(spark, d, "documents").filter("text is not null").select("doc_id", n.alias("n")).select("doc_id", F.length("n").alias("n_chars"), text.fingerprint(F.col("n")).alias("text_hash"))
@@ -386,7 +393,7 @@ def split_documents_3500(spark, d):
     return pieces.select("doc_id", "piece", F.concat_ws("_", F.col("doc_id").cast("string"), F.lpad((F.col("piece") + 1).cast("string"), 4, "0")).alias("name"), F.length("text").alias("n_chars"), text.fingerprint(F.col("text")).alias("text_hash"))
 
 
-@query(rf"select doc_id, length(regexp_replace({_norm('text')}, '[ \n]', '', 'g')) as n_visible from documents where length(regexp_replace({_norm('text')}, '[ \n]', '', 'g')) > 0")
+@query(rf"select doc_id, length(regexp_replace({_norm('text')}, '[ \n]', '', 'g')) as n_visible from documents where length(regexp_replace({_norm('text')}, '[ \n]', '', 'g')) > 0", longs=("n_visible",))
 def split_no_text_lost(spark, d):
     pieces = table(spark, d, "documents").select("doc_id", F.explode(folds.split_documents_column(text.normalise_characters(F.col("text")))).alias("text"))
     return pieces.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", "[ \\n]", ""))).cast("int").alias("n_visible"))

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import corpora, metrics, mixture, sampling, vectors
+from lodestone.operators import metrics, mixture, sampling, vectors
 from lodestone.streaming.fold import fold_moments, folded
 
 QUERIES: dict = {}
@@ -53,10 +53,10 @@ def vector_covariance_trace(spark, d):
     return rows.groupBy("label").agg(F.round(F.sum(F.element_at("cov", F.col("i") + 1)), 6).alias("trace"))
 
 
-@query(f"select a.label, a.d::int as i, b.d::int as j, round(covar_pop(a.x, b.x), 6) + 0.0 as cov from {_LONG} a join {_LONG} b on a.vec_id = b.vec_id and a.label = b.label where a.d < 8 and b.d < 8 group by all")
+@query(f"select a.label, a.d::int as i, b.d::int as j, round(covar_pop(a.x, b.x), 6) + 0.0 as cov from {_LONG} a join {_LONG} b on a.vec_id = b.vec_id and a.label = b.label  group by all")
 def vector_covariance_pairs(spark, d):
-    rows = vectors.covariance_rows(table(spark, d, "embeddings"), "label", "embedding").filter("i < 8")
-    return rows.select("label", "i", F.posexplode(F.slice("cov", 1, 8)).alias("j", "c")).select("label", "i", "j", (F.round("c", 6) + 0.0).alias("cov"))
+    rows = vectors.covariance_rows(table(spark, d, "embeddings"), "label", "embedding")
+    return rows.select("label", "i", F.posexplode("cov").alias("j", "c")).select("label", "i", "j", (F.round("c", 6) + 0.0).alias("cov"))
 
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +90,7 @@ def mixture_union(spark, d):
 
 @query(f"select label, vec_id, row_number() over (partition by label order by {_sha('reservoir', "label || ':' || vec_id")}, vec_id) as place from embeddings qualify place <= 20")
 def reservoir_sample(spark, d):
-    return vectors.reservoir(table(spark, d, "embeddings"), "label", "vec_id", 20).select("label", "vec_id", "place")
+    return vectors.reservoir(table(spark, d, "embeddings"), "label", "vec_id", 20).select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
 @query()
@@ -267,11 +267,11 @@ def ledger_last_run(spark, d):
 
 
 @query("""select m.source, m.lang, m.n, sha256('source=' || coalesce(m.source, '') || chr(10) || 'lang=' || coalesce(m.lang, '')) as frame from (select source, lang, count(*) as n from documents group by all) m
-  where exists (select 1 from documents w where w.doc_id % 3 = 0 and w.source is not distinct from m.source and w.lang is not distinct from m.lang)""")
+  where exists (select 1 from documents w where w.doc_format = 'book' and w.source is not distinct from m.source and w.lang is not distinct from m.lang)""")
 def manifest_reuse(spark, d):
     docs = table(spark, d, "documents")
     manifests = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    same = metrics.reusable(manifests, docs.filter("doc_id % 3 = 0"), ["source", "lang"])
+    same = metrics.reusable(manifests, docs.filter("doc_format = 'book'"), ["source", "lang"])
     named = [F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit(""))) for c in ("source", "lang")]
     return same.select("source", "lang", "n", metrics.frame_hash(*named).alias("frame"))
 
@@ -286,8 +286,3 @@ def stream_moment_fold(spark, d):
     fold_moments(stream, "label", "embedding", f"{where}/state", f"{where}/checkpoint").awaitTermination()
     out = folded(spark, f"{where}/state")
     return out.select(F.col("site").alias("label"), "d", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-@query("select * from (values ('redpajama_arxiv', 2000), ('redpajama_book', 2000), ('redpajama_github', 2000), ('redpajama_stackexchange', 2000), ('redpajama_web', 2000), ('redpajama_wikipedia', 2000)) v(source, samples)")
-def default_samples(spark, d):
-    return spark.createDataFrame(list(corpora.DEFAULT_SAMPLES.items()), "source string, samples int")
