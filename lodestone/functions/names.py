@@ -11,7 +11,7 @@ WHITE = " \\t\\r\\n\\x{A0}\\x{3000}"
 
 def trim_white(c: Column) -> Column:
     """The string without white space (space, tab, CR, LF, U+00A0, U+3000) at either end."""
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.regexp_replace(c, f"^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++$", "")
 
 
 def is_blank(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 LINE_BREAKS = "[\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
 SPACES = "[\\t\\p{Zs}]"
 INVISIBLE = "[\\x{FEFF}\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{AD}\\x{00}-\\x{09}\\x{0B}-\\x{1F}\\x{7F}-\\x{9F}]"
-SENTENCE_END = "([.!?\\x{2026}]+[\"'\\x{201D}\\x{2019})\\]]*)\\s"
+SENTENCE_END = "(?<![.!?\\x{2026}])([.!?\\x{2026}]+[\"'\\x{201D}\\x{2019})\\]]*)\\s"
 MIN_SENTENCE_CHARS = 60
 WHITE = "[ \\t\\r\\n]+"
 #: Control character that marks a cut while a text is being split; the normalised text can't hold it.
@@ -125,7 +125,7 @@ def answer_text(c: Column, stops: list[str]) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Python's strip(): Unicode white space off both ends."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(c, "(?U)^\\s++|(?<!\\s)\\s++$", "")  # a run of white space is read once
 
 
 def clean_question(c: Column) -> Column:

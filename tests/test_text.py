@@ -101,3 +101,14 @@ def test_small_transforms(spark):
     assert one(spark, text.domain_of_path(F.col("t")), "/data/dar_win/train", "corpus/texts", "/x/notes.txt") == ["dar win", "the domain", "notes"]
     assert one(spark, text.instruction_prompt(F.col("q"), F.col("e"), "Input"), (" do ", " x "), ("do", ""), (" ", "x"), (None, None), schema="q string, e string") == ["do\n\nInput: x", "do", None, None]
     assert one(spark, text.signed_percent(F.col("a"), F.col("b")), (110.0, 100.0), (1.0, 0.0), (99.75, 100.0), schema="a double, b double") == [10.0, None, -0.2]
+
+
+@pytest.mark.parametrize("unit", [".", " ", "[", "[x](", "-\n", "*", "_", "\\_", "<", ". ", "# a\n", "```\n", '["', "?"])
+def test_very_long_texts_end_soon(spark, unit):
+    import time
+
+    text_ = (unit * 100_000)[:100_000]
+    began = time.monotonic()
+    folds.clean(text_), folds.split_documents(text_), folds.passages(text_)
+    one(spark, F.struct(F.size(text.sentences(F.col("t"))), text.trim_space(F.col("t"))), text_)
+    assert time.monotonic() - began < 20
