@@ -23,7 +23,7 @@ MAX_GRADED = 20_000
 MIN_CHARS = 600
 
 _BREAK = "\\n\\u000b\\u000c\\u0085\\u2028"
-_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
+_LINK = re.compile(r"!?\[([^\[\]\n]{0,500})\]\([^()\s]{0,2000}\)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|\\begin\{(\w+\*?)\}.*?(?:\\end\{\1\}|\Z)|\$\$.*?\$\$", re.S)
 _PARAGRAPH = re.compile(rf"(?:[{_BREAK}][ \t\u00a0\u3000]*){{2,}}|\u2029")

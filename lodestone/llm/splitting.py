@@ -24,8 +24,9 @@ _BREAK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])(?:[ \t\u00a0\u3000
 _LINE_END = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: What opens a section: a Markdown or LaTeX heading, a chapter line, a rule.
 _HEADING = re.compile(r"#{1,6} |\\(?:sub)*section|\\chapter|CHAPTER |[-=*]{3,}\s*$", re.M)
-#: Sentence ends: Latin ones need white space after them, those of East Asian scripts don't.
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*[ \t\u00a0\u3000]+|[。！？]+[」』）]*[ \t\u00a0\u3000]*|[।؟۔]+[ \t\u00a0\u3000]+")
+#: Sentence ends: Latin ones need white space after them, those of East Asian scripts don't. A match begins where its run
+#: of marks does, so a long run is read once.
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*[ \t\u00a0\u3000]+|(?<![。！？])[。！？]++[」』）]*[ \t\u00a0\u3000]*|(?<![।؟۔])[।؟۔]++[ \t\u00a0\u3000]+")
 _CLAUSE = re.compile(r"[,;:—،؛][\"'”’»)\]]*[ \t\u00a0\u3000]+|[、，；：]|\|[ \t]+")
 _WORD = re.compile(r"\s+")
 #: Abbreviations after which a full stop ends no sentence.

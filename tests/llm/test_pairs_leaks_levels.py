@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, pairs, reading
+from lodestone.llm import leakage, pairs, reading, splitting
 
 Q = "Why does the violin change when the choir is old?"
 PAIR = "pair_id long, question string, answer string, loaded_at int"
@@ -175,3 +175,18 @@ def test_familiar_words_by_documents(spark):
     df = spark.createDataFrame([("The cat sat on a mat. The cat ran.",), ("The dog sat on a rug.",), (None,)], "text string")
     got = {r.word: r.n_docs for r in reading.familiar_words(df).collect()}
     assert got["sat"] == 2 and got["cat"] == 1 and got["the"] == 2
+
+
+@pytest.mark.parametrize("unit", [".", " ", ". ", "\n ", "x", "(", "-\n", "<a", "| ", "**", "́", "👩‍", "A ", "1. ", "é, ", "```\n", "。", "&amp;", "[x](", "[", "\\_", "?!", ".)", "\"."])
+def test_very_long_texts_of_any_matter_end_soon(unit):
+    import time
+
+    text = (unit * 150_000)[:150_000]
+    began = time.monotonic()
+    shown = pairs.visible(text)
+    pairs.is_empty(shown), pairs.copies_question(Q, shown), pairs.in_other_language(Q, shown), shown and pairs.breaks_off(shown), pairs.openings(Q, shown)
+    leakage.ItemIndex([(1, ITEMS[0][1])]).leaks(text)
+    reading.features(text, {"a": 1})
+    pieces = splitting.split_text(text)
+    assert "".join(text[a + o : b] for a, b, o in pieces) == text and all(b - a <= splitting.LIMIT for a, b, _ in pieces)
+    assert time.monotonic() - began < 12
