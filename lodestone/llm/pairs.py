@@ -185,9 +185,9 @@ def breaks_off(shown: str) -> bool:
     return prose_before or len(words(bare)) > 3
 
 
-def openings(question: str, shown: str) -> list[tuple[str, bool, int, bool]]:
-    """``(opening, speaks of not answering, words of the answer after that, offers something instead)`` of the
-    clauses with which the answer may open: those of its first two sentences."""
+def openings(question: str, shown: str) -> list[tuple[str, bool, bool, bool, int, bool]]:
+    """``(opening, may open the answer, speaks of not answering, does so before its next comma, words of the answer after
+    that, offers something instead)`` of the clauses with which the answer may open: those of its first two sentences."""
     plain = re.sub(r"\s+", " ", _MARKUP.sub(" ", shown)).strip().replace("’", "'")
     sentences = [s for s in re.split(r"(?<=[.!?…])[\"'”’»)]*\s+", plain) if s.strip()]
     asked = {w for w in words(question) if len(w) > 3}
@@ -205,19 +205,23 @@ def openings(question: str, shown: str) -> list[tuple[str, bool, int, bool]]:
                 continue
             cue = _CUE.search(clause)
             instead = False
-            if cue and (contrast := _CONTRAST.search(clause, cue.end())):
+            if contrast := _CONTRAST.search(clause, cue.end() if cue else len(found[0])):
                 tail = clause[contrast.end() :]
                 instead = len(words(tail)) >= 5 and not _CUE.search(tail)
             # what stands before the clause must be courtesy: a sentence of a few words at most
-            valid = bool(cue) and (k == 0 or before <= 6)
+            opens = k == 0 or before <= 6
+            own = bool(cue) and not re.search(r"[,;:]\s", clause[: cue.start()])
             left = rest + len(_ANY_WORD.findall(clause, cue.end()) if cue else found)
-            out.append((opening, valid, left, instead))
-            if valid:  # the phrase itself is a template too: rarer openings share it
-                out.append(("* " + re.sub(r"\s+", " ", cue[0].lower()), valid, left, instead))
+            out.append((opening, opens, opens and bool(cue), opens and own, left, instead))
+            if cue and opens:  # the phrase itself is a template too: rarer openings share it
+                out.append(("* " + re.sub(r"\s+", " ", cue[0].lower()), True, True, False, left, instead))
         before += len(_ANY_WORD.findall(sentence))
     return out
 
 
+_OPENING = ("opening", "opens", "cue", "own", "rest", "instead")
+
+
 def _pair_checks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -230,7 +234,7 @@ def _pair_checks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             broken = not empty and not copied and breaks_off(shown)
             found = [] if empty or copied else openings(q, shown)
             prompt = hashlib.md5(" ".join(words(q)).encode()).hexdigest()
-            rows.append((empty, copied, other, broken, prompt, [{"opening": o, "cue": c, "rest": r, "instead": i} for o, c, r, i in found]))
+            rows.append((empty, copied, other, broken, prompt, [dict(zip(_OPENING, o)) for o in found]))
         yield pd.concat([pdf[["pair_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["empty", "copied", "other", "broken", "prompt", "openings"])], axis=1)
 
 
@@ -285,17 +289,20 @@ def templates(found: DataFrame) -> DataFrame:
 
 
 def refusal_openings(checked: DataFrame) -> DataFrame:
-    """The openings that are a refusal's: ``opening``, distinct."""
+    """The openings that are a refusal's: ``opening, telling``, distinct. A telling one has the refusal in its own words, so
+    that an answer opening with it needs no cue; of the others ("I appreciate your interest; however, ...") it does."""
     each = checked.select("prompt", F.explode("openings").alias("o")).select("prompt", "o.*")
     said = (F.col("cue") & ~F.col("instead")).cast("int")
     brief = (F.col("rest") <= MAX_REST_WORDS).cast("int")
-    found = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(said).alias("cues"), F.sum(brief).alias("briefs"), F.min("prompt").alias("low"), F.max("prompt").alias("high"))
+    own = (F.col("own") & ~F.col("instead")).cast("int")
+    found = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(said).alias("cues"), F.sum(own).alias("owns"), F.sum(brief).alias("briefs"), F.min("prompt").alias("low"), F.max("prompt").alias("high"))
     found = materialise(found)
     linked = templates(found)
-    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "cues", "briefs")], F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "cues", "owns", "briefs")], F.min("low").alias("low"), F.max("high").alias("high"))
     # two different prompts at least: the least and the greatest differ
-    refusing = sums.filter((F.col("low") != F.col("high") if MIN_PROMPTS == 2 else F.lit(True)) & (F.col("cues") >= MIN_CUE * F.col("n")) & (2 * F.col("briefs") >= F.col("n"))).select("template")
-    return linked.join(refusing, "template", "left_semi").select("opening").distinct()
+    refusing = sums.filter((F.col("low") != F.col("high") if MIN_PROMPTS == 2 else F.lit(True)) & (F.col("cues") >= MIN_CUE * F.col("n")) & (2 * F.col("briefs") >= F.col("n")))
+    refusing = refusing.select("template", (F.col("owns") >= MIN_CUE * F.col("n")).alias("telling"))
+    return linked.join(refusing, "template").groupBy("opening").agg(F.max("telling").alias("telling"))
 
 
 def defective_pairs(df: DataFrame) -> DataFrame:
@@ -307,15 +314,17 @@ def defective_pairs(df: DataFrame) -> DataFrame:
 
     Refusals: the openings of all answers are clustered by verified MinHash (``templates``); a template that
     recurs across unlike prompts, whose answers speak of not answering and stop there, is a refusal's, and an
-    answer is a refusal if it opens with one and offers nothing instead. The other defects follow from checks of
+    answer is a refusal if it opens with one and offers nothing instead, with a cue of its own or without. Answers
+    with a cue also share the template of the cue's phrase, so that one whose wording is rare isn't lost. The other defects follow from checks of
     the pair alone, in one Arrow pass. The join with the refusing openings is left to AQE, which broadcasts
     them only where they are small and splits a skewed opening otherwise.
     """
     once = first_delivery(df, "pair_id", "loaded_at", {"question": F.col("question"), "answer": F.col("answer")})
     kind = once.schema["pair_id"].dataType.simpleString()
-    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, empty boolean, copied boolean, other boolean, broken boolean, prompt string, openings array<struct<opening: string, cue: boolean, rest: int, instead: boolean>>"))
-    may = checked.filter("not empty and not copied").select("pair_id", F.explode("openings").alias("o")).filter((F.col("o.cue")) & ~F.col("o.instead") & (F.col("o.rest") <= MAX_REST_WORDS))
-    refused = may.select(F.col("pair_id").alias("refused_id"), F.col("o.opening").alias("opening")).join(refusal_openings(checked), "opening", "left_semi").select("refused_id", F.lit(True).alias("refused")).distinct()
+    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, empty boolean, copied boolean, other boolean, broken boolean, prompt string, openings array<struct<opening: string, opens: boolean, cue: boolean, own: boolean, rest: int, instead: boolean>>"))
+    may = checked.filter("not empty and not copied").select("pair_id", F.explode("openings").alias("o")).filter(F.col("o.opens") & ~F.col("o.instead") & (F.col("o.rest") <= MAX_REST_WORDS))
+    may = may.select(F.col("pair_id").alias("refused_id"), F.col("o.opening").alias("opening"), F.col("o.cue").alias("cue"))
+    refused = may.join(refusal_openings(checked), "opening").filter("cue or telling").select("refused_id", F.lit(True).alias("refused")).distinct()
     joined = checked.drop("openings", "prompt").join(refused, F.col("pair_id").eqNullSafe(F.col("refused_id")), "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
     defect = F.when(F.col("empty"), DEFECTS[0]).when(F.col("copied"), DEFECTS[1]).when(F.col("refused"), DEFECTS[2]).when(F.col("other"), DEFECTS[3]).when(F.col("broken"), DEFECTS[4])
     return joined.select("pair_id", defect.alias("defect")).filter("defect is not null")

@@ -73,6 +73,19 @@ def test_defects_of_a_table(spark):
     assert pairs.defective_pairs(df.limit(0)).count() == 0
 
 
+def test_a_refusing_cluster_needs_no_cue_of_the_answer(spark):
+    asked = ["What is the tide?", "Who moved the lamp?", "How long does it take?", "Describe the old bridge."]
+    rows = [(i, q, f"The passage does not provide any information about the {w}.", 1) for i, (q, w) in enumerate(zip(asked, ["sea", "oil", "way", "arch"]))]
+    rows += [(10 + i, q, "I appreciate your interest; however, I can't help with that.", 1) for i, q in enumerate(asked)]
+    rows += [(20, asked[0], "The passage does not provde any information about the moon.", 1)]  # no cue
+    rows += [(21, asked[1], "The passage does not provde any information, but the keeper moved it in the spring of that year.", 1)]
+    rows += [(22, asked[2], "I appreciate your interest; however, the walk takes two hours.", 1)]
+    assert not any(pairs._CUE.search(a) for _, _, a, _ in rows[-3:])
+    df = spark.createDataFrame(rows, PAIR).withColumn("loaded_at", F.timestamp_seconds("loaded_at"))
+    got = {r.pair_id for r in pairs.defective_pairs(df).collect() if r.defect == "refusal"}
+    assert got == {0, 1, 2, 3, 10, 11, 12, 13, 20}
+
+
 def test_minhash_is_verified(spark):
     words = "the excerpt simply doesnt cover"
     found = spark.createDataFrame([(f"{words} {t}"[:36], n) for n, t in enumerate(["lamp", "tide", "bay", "rope"])] + [("a wholly different opening", 9)], "opening string, n long")
