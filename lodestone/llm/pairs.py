@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,10 @@ OPENING_CHARS = 30
 ALIKE = 0.6
 BANDS, ROWS = 8, 2
 #: A template is a refusal's if it answers at least so many different prompts, this share of its answers
-#: speaks of not answering, and half of them at least say hardly more than that.
-MIN_PROMPTS, MIN_CUE, MAX_REST_WORDS = 2, 0.5, 24
+#: speaks of not answering, and half of them at least offer nothing instead.
+MIN_PROMPTS, MIN_CUE = 2, 0.5
+#: A sentence of so few words, without a number, a name or a word of the question, is courtesy.
+COURTESY_WORDS = 6
 
 # --- Fixed values: word lists and marks -------------------------------------------------------------------
 _PLACEHOLDERS = {"null", "nil", "nan", "n/a", "na", "empty", "no answer", "answer", "tbd", "todo", "none given", "blank", "response", "a", "answer here", "your answer here", "insert answer here"}
@@ -54,6 +58,20 @@ _CUE = re.compile(
     re.I,
 )
 _CONTRAST = re.compile(r"(?:[,;:]\s*|\b)(?:but|however|yet|instead|mais|cependant|pero|sino|sin embargo|aber|jedoch|sondern)\b[, ]*", re.I)
+#: What can't be done to a thing, which isn't an answer withheld.
+_NOT_OF_ANSWERS = re.compile(
+    r"(?:cannot|can ?not|can'?t|could ?n'?t) (?:be (?!(?:\w+ly )?(?:answered|addressed|given|provided|supplied|said|told|stated|discussed|determined|known|found|inferred|derived|shared|disclosed|fulfilled|completed|processed|helped|of (?:help|assistance))\b)|(?:overstate|exaggerate|overemphasi[sz]e)\b)",
+    re.I,
+)
+#: What is said of the talk itself: thanks, excuses, policies, where else to ask.
+_TALK = re.compile(
+    r"\b(?:questions?|requests?|quer(?:y|ies)|asking|asked|answer(?:s|ed|ing)?|repl(?:y|ies)|respon[ds]\w*|help\w*|assist\w*|advi[cs]e\w*|polic(?:y|ies)|guidelines?|rules|permitted|allowed|disclos\w*|discuss\w*|please|thank\w*|appreciat\w*|apolog\w*|regret\w*|unfortunately|let me know|hope|topics?|language model|assistant|consult\w*|contact\w*|i (?:am|was|have|had|would|will|must|need|understand|know)|i'(?:m|ve|d|ll))\b"
+    r"|\b(?:demandes?|répon\w*|aid\w*|politique|règles|directives|autoris\w*|veuillez|merci|excus\w*|regrett\w*|malheureusement|sujets?|modèle de langage|consult\w*|n'hésitez)\b"
+    r"|\b(?:fragen?|anfragen?|antwort\w*|beantwort\w*|hilf\w*|helfen|richtlinien?|regeln|erlaubt|bitte|danke?|entschuldig\w*|bedauer\w*|leider|themen?|sprachmodell|wenden)\b"
+    r"|\b(?:preguntas?|solicitud(?:es)?|petici(?:ón|ones)|respuestas?|respond\w*|ayud\w*|polític[ao]s?|reglas|permit\w*|por favor|gracias|disculp\w*|lament\w*|temas?|modelo de lenguaje|puede)\b",
+    re.I,
+)
+_ADDRESSED = re.compile(r"\b(?:please|you|your|vous|votre|veuillez|bitte|sie|ihre?n?|usted|puede|por favor)\b", re.I)
 # -------------------------------------------------------------------------------------------------------------
 
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
@@ -87,14 +105,16 @@ def copies_question(question: str, shown: str) -> bool:
     """The question again, once or more, with a few words before, changed or put in. What follows a whole copy of it
     is an answer, unless that is the question once more."""
     q, a = words(question), words(shown)
-    if len(q) < 2 or not a or len(a) > 4 * len(q) + 6:
+    if len(q) < 2 or not a:
+        return False
+    start = 0  # after the copies so far; each may have a few words before it
+    while (k := next((k for k in range(start, start + 5) if a[k : k + len(q)] == q), None)) is not None:
+        start = k + len(q)
+        if start == len(a):
+            return True
+    a = a[start:]
+    if len(a) > 4 * len(q) + 6:
         return False
-    for k in range(5):
-        if a[k : k + len(q)] == q:
-            a = a[k + len(q) :]
-            if not a:
-                return True
-            break
     asked = set(q)
     if a[-1] not in asked or sum(w not in asked for w in a) > max(4, 0.25 * len(q)):
         return False
@@ -185,41 +205,68 @@ def breaks_off(shown: str) -> bool:
     return prose_before or len(words(bare)) > 3
 
 
-def openings(question: str, shown: str) -> list[tuple[str, bool, bool, bool, int, bool]]:
-    """``(opening, may open the answer, speaks of not answering, does so before its next comma, words of the answer after
-    that, offers something instead)`` of the clauses with which the answer may open: those of its first two sentences."""
+def _cue(text: str, start: int = 0) -> re.Match | None:
+    return next((m for m in _CUE.finditer(text, start) if not _NOT_OF_ANSWERS.match(text, m.start())), None)
+
+
+def _specific(text: str, asked: set[str], capitals: bool) -> bool:
+    """Has a number or a name the question hasn't."""
+    return any((_DIGIT.search(w) or (capitals and i and w[:1].isupper() and not text.isupper() and w.split("'")[0] != "I")) and w.lower() not in asked for i, w in enumerate(_ANY_WORD.findall(text)))
+
+
+def _offers(sentence: str, asked: set[str], capitals: bool) -> bool:
+    """Does the sentence tell something of the matter? Refusing, its reasons, courtesy and policy don't."""
+    if cue := _cue(sentence):
+        if contrast := _CONTRAST.search(sentence, cue.end()):
+            tail = sentence[contrast.end() :]
+            if len(words(tail)) >= 5 and not _cue(tail):
+                return not _TALK.search(tail) or _specific(tail, asked, capitals)
+        # a number in a clause of its own after the refusal is of the matter
+        return any(_DIGIT.search(c) and _specific(c, asked, False) and not _cue(c) and not _TALK.search(c) for c in re.split(r"[,;:]\s+", sentence[cue.end() :])[1:])
+    if sentence.rstrip("\"'”’»)*_").endswith("?"):  # asks back
+        return False
+    if _TALK.search(sentence):
+        return _specific(sentence, asked, capitals) and not _ADDRESSED.search(sentence)
+    found = [w.lower() for w in _ANY_WORD.findall(sentence)]
+    return len(found) > COURTESY_WORDS or _specific(sentence, asked, capitals) or any(len(w) > 3 and w in asked for w in found)
+
+
+def openings(question: str, shown: str) -> list[tuple[str, bool, bool, bool]]:
+    """``(opening, speaks of not answering, does so before its next comma, the answer offers something instead)`` of the
+    clauses of all sentences of the answer."""
     plain = re.sub(r"\s+", " ", _MARKUP.sub(" ", shown)).strip().replace("’", "'")
     sentences = [s for s in re.split(r"(?<=[.!?…])[\"'”’»)]*\s+", plain) if s.strip()]
-    asked = {w for w in words(question) if len(w) > 3}
+    every = set(words(question))
+    asked = {w for w in every if len(w) > 3}
     capitals = "de" not in (language(shown), language(question))  # in German every noun has one, in the other languages names
-    out, before = [], 0
-    for k, sentence in enumerate(sentences[:2]):
-        rest = sum(len(_ANY_WORD.findall(s)) for s in sentences[k + 1 :])
-        starts = [0, *(m.end() for m in re.finditer(r"[,;:]\s+(?:(?:but|mais|pero|aber|however|that said|so)\b,?\s*)?", sentence))][:3]
+    offers = [_offers(s, every, capitals) for s in sentences]
+    all_offers, out = sum(offers), []
+    for sentence, offer in zip(sentences, offers):
+        breaks = [m.start() for m in re.finditer(r"[,;:]\s", sentence)]
+        starts = [0, *(m.end() for m in re.finditer(r"[,;:]\s+(?:(?:but|mais|pero|aber|however|that said|so)\b,?\s*)?", sentence))]
+        cues = [m for m in _CUE.finditer(sentence) if not _NOT_OF_ANSWERS.match(sentence, m.start())]
+        at, shouted = [m.start() for m in cues], sentence.isupper()
+        others = all_offers > offer
+        contrast = _CONTRAST.search(sentence, 1)
+        turned = contrast is not None and len(words(sentence[contrast.end() :])) >= 5
         for start in starts:
-            clause = sentence[start:]
-            found, shouted = _ANY_WORD.findall(clause), clause.isupper()
+            found = [m[0] for m in islice(_ANY_WORD.finditer(sentence, start), OPENING_CHARS)]
             masked = ["_" if w.lower() in asked or _DIGIT.search(w) or (capitals and i and w[:1].isupper() and not shouted) else w.lower().replace("’", "'") for i, w in enumerate(found)]
             opening = re.sub(r"_(?: _)+", "_", " ".join(masked).replace("'", ""))[:OPENING_CHARS].strip()
             if not opening:
                 continue
-            cue = _CUE.search(clause)
-            instead = False
-            if contrast := _CONTRAST.search(clause, cue.end() if cue else len(found[0])):
-                tail = clause[contrast.end() :]
-                instead = len(words(tail)) >= 5 and not _CUE.search(tail)
-            # what stands before the clause must be courtesy: a sentence of a few words at most
-            opens = k == 0 or before <= 6
-            own = bool(cue) and not re.search(r"[,;:]\s", clause[: cue.start()])
-            left = rest + len(_ANY_WORD.findall(clause, cue.end()) if cue else found)
-            out.append((opening, opens, opens and bool(cue), opens and own, left, instead))
-            if cue and opens:  # the phrase itself is a template too: rarer openings share it
-                out.append(("* " + re.sub(r"\s+", " ", cue[0].lower()), True, True, False, left, instead))
-        before += len(_ANY_WORD.findall(sentence))
-    return out
+            k, b = bisect_left(at, start), bisect_left(breaks, start)
+            cue = cues[k] if k < len(cues) else None
+            own = cue is not None and (b == len(breaks) or cue.start() < breaks[b])
+            # a sentence without a cue may be the refusal itself: then the others count, and what it turns to
+            instead = all_offers > 0 if cues else others or (turned and start <= contrast.start())
+            out.append((opening, cue is not None, own, instead))
+            if cue:  # the phrase itself is a template too: rarer openings share it
+                out.append(("* " + re.sub(r"\s+", " ", cue[0].lower()), True, False, instead))
+    return list(dict.fromkeys(out))
 
 
-_OPENING = ("opening", "opens", "cue", "own", "rest", "instead")
+_OPENING = ("opening", "cue", "own", "instead")
 
 
 def _pair_checks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,15 +339,13 @@ def refusal_openings(checked: DataFrame) -> DataFrame:
     """The openings that are a refusal's: ``opening, telling``, distinct. A telling one has the refusal in its own words, so
     that an answer opening with it needs no cue; of the others ("I appreciate your interest; however, ...") it does."""
     each = checked.select("prompt", F.explode("openings").alias("o")).select("prompt", "o.*")
-    said = (F.col("cue") & ~F.col("instead")).cast("int")
-    brief = (F.col("rest") <= MAX_REST_WORDS).cast("int")
-    own = (F.col("own") & ~F.col("instead")).cast("int")
-    found = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(said).alias("cues"), F.sum(own).alias("owns"), F.sum(brief).alias("briefs"), F.min("prompt").alias("low"), F.max("prompt").alias("high"))
+    said, own, bare = (c.cast("int") for c in (F.col("cue"), F.col("own"), ~F.col("instead")))
+    found = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(said).alias("cues"), F.sum(own).alias("owns"), F.sum(bare).alias("bares"), F.min("prompt").alias("low"), F.max("prompt").alias("high"))
     found = materialise(found)
     linked = templates(found)
-    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "cues", "owns", "briefs")], F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "cues", "owns", "bares")], F.min("low").alias("low"), F.max("high").alias("high"))
     # two different prompts at least: the least and the greatest differ
-    refusing = sums.filter((F.col("low") != F.col("high") if MIN_PROMPTS == 2 else F.lit(True)) & (F.col("cues") >= MIN_CUE * F.col("n")) & (2 * F.col("briefs") >= F.col("n")))
+    refusing = sums.filter((F.col("low") != F.col("high") if MIN_PROMPTS == 2 else F.lit(True)) & (F.col("cues") >= MIN_CUE * F.col("n")) & (2 * F.col("bares") >= F.col("n")))
     refusing = refusing.select("template", (F.col("owns") >= MIN_CUE * F.col("n")).alias("telling"))
     return linked.join(refusing, "template").groupBy("opening").agg(F.max("telling").alias("telling"))
 
@@ -313,7 +358,7 @@ def defective_pairs(df: DataFrame) -> DataFrame:
     empty table gives no rows; other columns are ignored.
 
     Refusals: the openings of all answers are clustered by verified MinHash (``templates``); a template that
-    recurs across unlike prompts, whose answers speak of not answering and stop there, is a refusal's, and an
+    recurs across unlike prompts, whose answers speak of not answering and offer nothing instead, is a refusal's, and an
     answer is a refusal if it opens with one and offers nothing instead, with a cue of its own or without. Answers
     with a cue also share the template of the cue's phrase, so that one whose wording is rare isn't lost. The other defects follow from checks of
     the pair alone, in one Arrow pass. The join with the refusing openings is left to AQE, which broadcasts
@@ -321,8 +366,8 @@ def defective_pairs(df: DataFrame) -> DataFrame:
     """
     once = first_delivery(df, "pair_id", "loaded_at", {"question": F.col("question"), "answer": F.col("answer")})
     kind = once.schema["pair_id"].dataType.simpleString()
-    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, empty boolean, copied boolean, other boolean, broken boolean, prompt string, openings array<struct<opening: string, opens: boolean, cue: boolean, own: boolean, rest: int, instead: boolean>>"))
-    may = checked.filter("not empty and not copied").select("pair_id", F.explode("openings").alias("o")).filter(F.col("o.opens") & ~F.col("o.instead") & (F.col("o.rest") <= MAX_REST_WORDS))
+    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, empty boolean, copied boolean, other boolean, broken boolean, prompt string, openings array<struct<opening: string, cue: boolean, own: boolean, instead: boolean>>"))
+    may = checked.filter("not empty and not copied").select("pair_id", F.explode("openings").alias("o")).filter(~F.col("o.instead"))
     may = may.select(F.col("pair_id").alias("refused_id"), F.col("o.opening").alias("opening"), F.col("o.cue").alias("cue"))
     refused = may.join(refusal_openings(checked), "opening").filter("cue or telling").select("refused_id", F.lit(True).alias("refused")).distinct()
     joined = checked.drop("openings", "prompt").join(refused, F.col("pair_id").eqNullSafe(F.col("refused_id")), "left").withColumn("refused", F.coalesce("refused", F.lit(False)))

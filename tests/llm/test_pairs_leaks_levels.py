@@ -86,6 +86,22 @@ def test_a_refusing_cluster_needs_no_cue_of_the_answer(spark):
     assert got == {0, 1, 2, 3, 10, 11, 12, 13, 20}
 
 
+def test_refusals_anywhere_in_an_answer_that_offers_nothing(spark):
+    asked = ["What is the tide?", "Who moved the lamp?", "How long does it take?", "Describe the old bridge."]
+    rows = [(i, q, "I can't help with that.", 1) for i, q in enumerate(asked)]
+    policy = " The rules of this service do not leave room for requests of that kind, and our guidelines, which were written with the people who use it in mind, apply to every question alike. Please consult the policy of the service if you need to know more."
+    rows += [(10, asked[0], "Thank you for asking. I appreciate your interest. I hope you are well. I can't help with that.", 1), (11, asked[1], "I can't help with that." + policy, 1)]
+    rows += [(20, asked[0], "I can't help with that. The sea rises twice a day, drawn by the moon and by the sun.", 1), (21, asked[1], "The keeper moved it to the hall in spring. Thank you for asking. I can't help with that.", 1)]
+    rows += [(22 + i, q, f"The {w} cannot be established independently of the other, since both procedures share an error whose magnitude exceeds 0.5 here.", 1) for i, (q, w) in enumerate(zip(asked, ["first", "second", "first", "second"]))]
+    df = spark.createDataFrame(rows, PAIR).withColumn("loaded_at", F.timestamp_seconds("loaded_at"))
+    assert {r.pair_id for r in pairs.defective_pairs(df).collect() if r.defect == "refusal"} == {0, 1, 2, 3, 10, 11}
+
+
+def test_a_question_repeated_often_is_a_copy():
+    assert pairs.copies_question(Q, " ".join([Q] * 9)) and pairs.copies_question(Q, "You asked: " + "\n".join([Q] * 6))
+    assert not pairs.copies_question(Q, " ".join([Q] * 9) + " Because the strings loosen with the years.")
+
+
 def test_minhash_is_verified(spark):
     words = "the excerpt simply doesnt cover"
     found = spark.createDataFrame([(f"{words} {t}"[:36], n) for n, t in enumerate(["lamp", "tide", "bay", "rope"])] + [("a wholly different opening", 9)], "opening string, n long")
