@@ -68,8 +68,8 @@ def extend(a) -> dict:
     spark = session()
     meta = require_own(json.loads(spark.read.parquet(f"{a.artifact}/meta").first()["meta"]))
     base = files.read_artifact(spark, a.artifact)
-    sample = vectors.reservoir(spark.read.parquet(a.vectors), a.site, a.id, a.need, a.seed)
-    merged = mixture.merge_artifacts(base, mixture.domain_mixtures(sample, base, a.site, a.id, a.vector, seed=a.seed), a.site)
+    added = mixture.domain_mixtures(spark.read.parquet(a.vectors), base, a.site, a.id, a.vector, seed=a.seed, size=a.need)
+    merged = mixture.merge_artifacts(base, added, a.site)
     sinks.write_artifact(merged, a.out, {**meta, "version": meta.get("version", 1) + 1, "extended_with": [*meta.get("extended_with", []), a.name]})
     return {"sites": files.read_artifact(spark, a.out).count()}
 

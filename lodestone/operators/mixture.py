@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.vectors import DiagonalMixture
+from lodestone.operators.vectors import RESERVOIR, DiagonalMixture, moments, reservoir
 
 BLOCK = 64
 SAMPLES_PER_COMPONENT = 200
@@ -75,27 +75,33 @@ def merge_artifacts(base: DataFrame, domain: DataFrame, site: str, alpha: float
     return j.select(*[(out[c] if c in out else F.col(c)).alias(c) for c in base.columns])
 
 
-def domain_mixtures(sample: DataFrame, base: DataFrame, site: str, id_column: str, vector: str, k: int = 8, seed: int = 42) -> DataFrame:
-    """``site, n_samples, mean, std, gmm_weights, gmm_means, gmm_covariances``: a mixture of each site's sample in the base's
-    whitened basis, carried back to its coordinates, with at most one component for SAMPLES_PER_COMPONENT vectors."""
-    kind = sample.schema[site].dataType.simpleString()
+def domain_mixtures(vectors: DataFrame, base: DataFrame, site: str, id_column: str, vector: str, k: int = 8, seed: int = 42, size: int = RESERVOIR) -> DataFrame:
+    """``site, n_samples, mean, std, gmm_weights, gmm_means, gmm_covariances``: count and moments of all of a site's vectors,
+    and a mixture of its reservoir of ``size`` in the base's whitened basis, carried back to its coordinates, with at
+    most one component for SAMPLES_PER_COMPONENT vectors; the best of three starts."""
+    kind = vectors.schema[site].dataType.simpleString()
+    vectors = vectors.filter(F.col(vector).isNotNull())
+    whole = moments(vectors, site, vector)
+    deviation = F.transform("m2", lambda x: F.sqrt(x / F.greatest(F.col("n") - 1, F.lit(1))))
+    whole = whole.select(site, F.col("n").alias("n_samples"), "mean", deviation.alias("std"))
+    sample = reservoir(vectors, site, id_column, size, seed)
     basis = base.select(F.col(site).alias("site"), F.col("mean").alias("mu"), F.col("pca_components").alias("basis_rows"), F.col("pca_eigenvalues").alias("lam"))
-    slim = sample.select(F.col(site).alias("site"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    slim = sample.select(F.col(site).alias("site"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["site", "n_samples", "mean", "std", "gmm_weights", "gmm_means", "gmm_covariances"]
+        columns = ["site", "gmm_weights", "gmm_means", "gmm_covariances"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         x = np.stack(left.sort_values("id").v.to_numpy())
         axes = np.stack(right.basis_rows.iloc[0])
         scale = np.sqrt(np.asarray(right.lam.iloc[0])[: axes.shape[1]])
         z = (x - np.asarray(right.mu.iloc[0])) @ axes / scale
-        m = DiagonalMixture(min(k, max(1, len(x) // SAMPLES_PER_COMPONENT)), seed, starts=1, regular=1e-4).fit(z)
-        std = x.std(0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1])
-        return pd.DataFrame([(left.site.iloc[0], len(x), x.mean(0), std, m.weights, [list(r) for r in m.means * scale], [list(r) for r in m.variances * scale**2])], columns=columns)
+        m = DiagonalMixture(min(k, max(1, len(x) // SAMPLES_PER_COMPONENT)), seed, starts=3, regular=1e-4).fit(z)
+        return pd.DataFrame([(left.site.iloc[0], m.weights, [list(r) for r in m.means * scale], [list(r) for r in m.variances * scale**2])], columns=columns)
 
-    schema = f"site {kind}, n_samples long, mean array<double>, std array<double>, gmm_weights array<double>, gmm_means array<array<double>>, gmm_covariances array<array<double>>"
-    return slim.groupBy("site").cogroup(basis.groupBy("site")).applyInPandas(fit, schema).withColumnRenamed("site", site)
+    schema = f"site {kind}, gmm_weights array<double>, gmm_means array<array<double>>, gmm_covariances array<array<double>>"
+    fitted = slim.groupBy("site").cogroup(basis.groupBy("site")).applyInPandas(fit, schema).withColumnRenamed("site", site)
+    return whole.join(fitted, site)
 
 
 def quantize(df: DataFrame, id_column: str, vector: str, block: int = BLOCK) -> DataFrame:

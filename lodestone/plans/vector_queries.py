@@ -110,7 +110,7 @@ def site_statistics(spark, d):
     """Moments, basis and mixture of each site, a domain folded in, and draws from what comes out."""
     v = table(spark, d, "embeddings")
     base = vectors.fit_sites(v.filter("vec_id % 2 = 0"), "label", "vec_id", "embedding", k=2)
-    added = mixture.domain_mixtures(vectors.reservoir(v.filter("vec_id % 2 = 1"), "label", "vec_id"), base, "label", "vec_id", "embedding")
+    added = mixture.domain_mixtures(v.filter("vec_id % 2 = 1"), base, "label", "vec_id", "embedding")
     merged = mixture.merge_artifacts(base, added, "label")
     draws = sampling.sample_sites(merged, "label", 64).groupBy("label", "rung").agg(F.count(F.lit(1)).alias("n_draws"))
     return merged.select("label", "n_samples", "pca_n_components", "gmm_n_components").join(draws, "label")

@@ -82,6 +82,18 @@ def test_sites_are_fitted_extended_and_drawn_from(spark, cloud):
     assert sampling.sample_sites(base.select("site", F.lit(None).cast("array<double>").alias("mean"), F.lit(None).cast("array<double>").alias("std")), "site", 5).count() == 0
 
 
+def test_a_domain_is_counted_whole_whatever_its_reservoir(spark, cloud):
+    df, x = cloud
+    base = vectors.fit_sites(df.filter("id < 300"), "site", "id", "v", k=3).cache()
+    domain = df.filter("id >= 300 and id <> 999")
+    added = mixture.domain_mixtures(domain, base, "site", "id", "v", size=20).orderBy("site").collect()
+    for r in added:
+        v = np.array(domain.filter(F.col("site") == r.site).toPandas().v.tolist())
+        assert r.n_samples == len(v) == 50
+        np.testing.assert_allclose(r["mean"], v.mean(0))
+        np.testing.assert_allclose(r["std"], v.std(0, ddof=1))
+
+
 def test_reservoir_and_permutation_keep_what_they_must(spark, cloud):
     df, _ = cloud
     a = {r.id for r in vectors.reservoir(df, "site", "id", 10).collect()}
