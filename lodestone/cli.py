@@ -37,7 +37,8 @@ def prepare_domain(a) -> dict:
     documents, report = prepare.prepare_documents(spark, a.inputs, existing, a.split_chars, a.min_length, a.val_fraction)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[A-Za-z]+$", "")
     written = sinks.write_documents(documents.withColumn("stem", stem).withColumn("o", F.concat_ws(":", "path", F.lpad(F.col("piece").cast("string"), 6, "0"))), a.out, "stem", "o")
-    return {**report, "written": written.count()}
+    shared = {r["path"]: r["share"] for r in report["shared"].orderBy(F.desc("share"), "path").toLocalIterator()}
+    return {**report, "shared": shared, "written": written.count()}
 
 
 def prepare_seed_corpus(a) -> dict:

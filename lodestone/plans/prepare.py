@@ -25,7 +25,8 @@ def prepare_documents(spark: SparkSession, inputs: list[str], existing: DataFram
 
     Refused, before anything is written: a split size under MIN_SPLIT, an input of which half the sentence text is
     already in ``existing`` (``name, text``) or in an earlier input. The report has the number of documents, how many
-    are missing for a held-out split, and the inputs that are shared in part."""
+    are missing for a held-out split, and as ``shared`` the inputs that are shared in part, a DataFrame of ``path, share``
+    with all of them."""
     if split_chars is not None and split_chars < MIN_SPLIT:
         raise PreparationRefused(f"a split size of {split_chars} is below {MIN_SPLIT}")
     texts = extract(find_files(spark, inputs), pdf_converter).select("path", clean_text(F.col("text")).alias("text")).filter(F.length("text") >= min_length)
@@ -33,9 +34,10 @@ def prepare_documents(spark: SparkSession, inputs: list[str], existing: DataFram
     shares = ordered_overlap(texts, "path").select("path", "share", "verdict")
     if existing is not None:
         shares = shares.unionByName(overlap_share(texts, existing, "path", "name").select("path", "share", "verdict"))
-    shared = {r.path: r.share for r in shares.filter("verdict <> 'ok'").groupBy("path").agg(F.max("share").alias("share")).orderBy(F.desc("share"), "path").limit(1000).collect()}
-    if refused := [p for p, s in shared.items() if s >= 0.5]:
-        raise PreparationRefused(f"{refused[0]}: {shared[refused[0]]:.0%} of its text has been prepared already")
+    shared = materialise(shares.filter("verdict <> 'ok'").groupBy("path").agg(F.max("share").alias("share")))
+    worst = shared.orderBy(F.desc("share"), "path").first()
+    if worst and worst["share"] >= 0.5:
+        raise PreparationRefused(f"{worst['path']}: {worst['share']:.0%} of its text has been prepared already")
     pieces = split_documents_column(F.col("text"), split_chars) if split_chars else F.array("text")
     documents = texts.select("path", F.posexplode(pieces).alias("piece", "text"))
     n = documents.count()

@@ -116,6 +116,17 @@ def test_preparation_is_refused_before_it_writes(spark, tmp_path):
         prepare.prepare_documents(spark, [str(tmp_path)])
 
 
+def test_all_inputs_shared_in_part_are_reported(spark, monkeypatch):
+    n = 1100
+    own = [(f"p{i:04}", " ".join(f"Sentence number {j} of the book {i} is long enough to be compared with others." for j in range(3))) for i in range(n)]
+    texts = [(p, t + " The sentence that every one of the many books repeats at its end stands here.") for p, t in own]
+    monkeypatch.setattr(prepare, "find_files", lambda s, inputs: inputs)
+    monkeypatch.setattr(prepare, "extract", lambda found, converter: spark.createDataFrame(texts, "path string, text string"))
+    docs, report = prepare.prepare_documents(spark, [], min_length=1)
+    shares = {r["path"]: r["share"] for r in report["shared"].collect()}
+    assert docs.count() == n and set(shares) == {p for p, _ in texts[1:]} and all(0 < s < 0.5 for s in shares.values())
+
+
 def test_corpus_and_pairs_are_read(spark, tmp_path):
     (tmp_path / "a.md").write_text("whole")
     (tmp_path / "b.jsonl").write_text('{"text": "t1"}\n\n{"text": 5, "content": "t2"}\n{"text": ""}\n{"prompt": "p", "response": "r"}\nbroken\n')
