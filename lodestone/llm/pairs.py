@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -310,28 +311,39 @@ def _with_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(band=[bands_of(o) for o in pdf.opening])
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of each bucket's openings, which come bucket by bucket, the most used first. Only the representatives
+    of one bucket are held, by their grams: an opening meets those alone that it shares a gram with."""
+    bucket, leaders, holders = None, [], {}
     for pdf in batches:
-        same = []
-        for a, b in zip(pdf.opening, pdf.template):
-            x, y = grams(a), grams(b)
-            same.append(len(x & y) >= ALIKE * len(x | y))
-        yield pdf[np.array(same, bool)]
+        out = []
+        for band, opening in zip(pdf.band, pdf.opening):
+            if band != bucket:
+                bucket, leaders, holders = band, [], {}
+            own = grams(opening)
+            shared = Counter(k for g in own for k in holders.get(g, ()))
+            alike = [k for k, both in shared.items() if both >= ALIKE * (len(own) + leaders[k][1] - both)]
+            if alike:
+                out.append((opening, leaders[min(alike)][0]))
+                continue
+            for g in own:
+                holders.setdefault(g, []).append(len(leaders))
+            leaders.append((opening, len(own)))
+        yield pd.DataFrame(out, columns=["opening", "template"])
 
 
 def templates(found: DataFrame) -> DataFrame:
     """``opening, template``: each distinct opening with the openings that stand for a cluster it belongs to.
 
     ``found`` has the distinct openings with their number of uses ``n``. An LSH bucket is represented by its most
-    used opening (ties by the text); every other opening in it is compared with that one alone, and linked
-    when the Jaccard similarity of their 4-grams, computed exactly, is at least ALIKE. So a bucket costs its
-    size, never its square, and no bucket is cut short; an opening far from one representative has those of
-    its other bands and always itself.
+    used opening (ties by the text) and, of those not alike to a representative yet, by the next most used, until
+    every opening in it is linked or a representative itself. Alike is a Jaccard similarity of the 4-grams, computed
+    exactly, of at least ALIKE; a link goes to the most used such representative. No bucket is cut short, and
+    no task holds one: it is read in order, and its representatives alone are kept.
     """
     banded = found.select("opening", "n").mapInPandas(_with_bands, "opening string, n long, band array<string>").select("opening", "n", F.explode("band").alias("band"))
-    best = banded.groupBy("band").agg(F.max(F.struct("n", F.col("opening").alias("template"))).alias("v")).select("band", "v.template")
-    pairs = banded.join(best, "band").select("opening", "template").distinct()
-    links = pairs.filter("opening <> template").mapInPandas(_verified, "opening string, template string")
+    ordered = banded.repartition("band").sortWithinPartitions("band", F.desc("n"), F.desc("opening"))
+    links = ordered.select("band", "opening").mapInPandas(_linked, "opening string, template string").distinct()
     return links.unionByName(found.select("opening", F.col("opening").alias("template")))
 
 

@@ -110,6 +110,17 @@ def test_minhash_is_verified(spark):
     assert {a for a, b in links if b.endswith("rope")} == {f"{words} {t}" for t in ("lamp", "tide", "bay", "rope")}
 
 
+def test_rare_openings_meet_in_a_bucket_that_another_leads(spark, monkeypatch):
+    def one_bucket(batches):
+        for pdf in batches:
+            yield pdf.assign(band=[["0:all"]] * len(pdf))
+
+    monkeypatch.setattr(pairs, "_with_bands", one_bucket)
+    rare = ["i must leave this one aside aa", "i must leave this one aside bb"]
+    found = spark.createDataFrame([("what makes the town remarkable", 50), ("nobody here may speak of it", 7), (rare[0], 1), (rare[1], 1)], "opening string, n long")
+    assert {tuple(r) for r in pairs.templates(found).collect() if r.opening != r.template} == {tuple(rare)}
+
+
 # --- leaked items -----------------------------------------------------------------------------------------------
 ITEMS = [
     (1, "Answer the following question. Two letters from Talbridge mention Norvane, a spindle, and a debt of 66 marks. Only Hesrane noticed that the indigo was warm. What did Hesrane think of it?"),
