@@ -27,14 +27,18 @@ RETRIEVE = 0.2
 HALF = 0.5
 #: Share of an item's BM25 weight those words must have: stock instructions and phrases weigh next to nothing.
 WEIGHT = 0.5
-#: Words that may stand between two held ones without counting as an interruption, and the longest interruption.
-GAP, INTERRUPTION = 5, 80
+#: Words that may stand between two held ones without counting as an interruption; the longest interruption, and
+#: for longer items that many times the item's own words.
+GAP, INTERRUPTION, INTERRUPTION_X = 5, 80, 4
 K1, B = 1.2, 0.75
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,200}?-->|\\[a-z]+\{")
-_BROKEN = re.compile(r"(?<=[a-z])-[ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t>|*\d]*(?=[a-z])")
+_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t>|*\d]*(?=[^\W\d_])")
 _LINE_MARK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t\u00a0]*(?:[>|*+#-]+|\d{1,4}(?=[ \t\u00a0]{2}))?")
-_WORD = re.compile(r"[a-z0-9]+")
+#: Scripts written without spaces have each character for a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0xFEFF])
 #: Marks that wrong decoding makes of curly quotes, dashes, dots and hard spaces: they stand for no letter.
 _MISREAD = re.compile("â€[\u0080-¿‘-›œšŸž˜™€¦]?|â[\u0080-\u009f][\u0080-¿]|[ÂÃ][\u0080-¿]|Â")
@@ -52,13 +56,14 @@ def words_of(text: str) -> list[str]:
     text = text.lower()
     if "-" in text:
         text = _BROKEN.sub("", text)
-    return _WORD.findall(_LINE_MARK.sub("\n", text))
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(_LINE_MARK.sub("\n", text))
 
 
 class ItemIndex:
     """BM25 inverted index of the items over pairs of neighbouring words, with block maxima.
 
-    A posting is (item, impact); impacts are divided by the item's own score, so one threshold holds for all items.
+    A posting is (item, impact); impacts are divided by the item's own score, or the part of it that a passage has room
+    for, so one threshold holds for all items.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
@@ -76,7 +81,7 @@ class ItemIndex:
         for k, (w, c) in enumerate(zip(self.words, pairs)):
             saturation = K1 * (1 - B + B * len(w) / mean)
             raw = {p: idf(holders[p]) * f * (K1 + 1) / (f + saturation) for p, f in c.items()}
-            own = sum(raw.values())
+            own = sum(raw.values()) * min(1.0, PASSAGE / len(w))
             for p, x in raw.items():
                 postings.setdefault(p, []).append((k, x / own))
         #: pair -> (items ascending, impacts, greatest impact of each block, greatest impact)
@@ -121,6 +126,9 @@ class ItemIndex:
             cursors = [c for c in cursors if c[1] < len(c[0])]
         return found
 
+    def interruption(self, item: int) -> int:
+        return max(INTERRUPTION, INTERRUPTION_X * len(self.words[item]))
+
     def holds(self, item: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the item's words and of their weight that the passage holds in order, as one run or interrupted once."""
         own, weight = self.words[item], self.weight[item]
@@ -134,9 +142,9 @@ class ItemIndex:
                 runs[-1] = (s, b + size, w0 + w, n0 + size)
             else:
                 runs.append((b, b + size, w, size))
-        best_w, best_n = 0.0, 0
+        best_w, best_n, longest = 0.0, 0, self.interruption(item)
         for i, (_, end, w, n) in enumerate(runs):
-            nearby = [(w2, n2) for s2, _, w2, n2 in runs[i + 1 :] if s2 - end <= INTERRUPTION]
+            nearby = [(w2, n2) for s2, _, w2, n2 in runs[i + 1 :] if s2 - end <= longest]
             more = max(nearby, default=(0.0, 0), key=lambda x: x[1])
             if n + more[1] > best_n:
                 best_w, best_n = w + more[0], n + more[1]
@@ -161,6 +169,9 @@ class ItemIndex:
                 end += 1
             for item in self.retrieve(terms, RETRIEVE):
                 words_held, weight_held = self.holds(item, words[max(0, start - PASSAGE // 2) : start + PASSAGE * 3 // 2])
+                if words_held < HALF or weight_held < WEIGHT:  # as far as the item and its interruption can reach
+                    reach = len(self.words[item]) + self.interruption(item)
+                    words_held, weight_held = max((words_held, weight_held), self.holds(item, words[max(0, start - reach) : start + PASSAGE + reach]))
                 if words_held > found.get(item, (-1.0, 0.0))[0]:
                     found[item] = (words_held, weight_held)
         return [(self.ids[k], w, x) for k, (w, x) in sorted(found.items())]

@@ -148,6 +148,20 @@ def test_leaks_are_found_whatever_the_typography(spark):
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_items_of_any_length_interruption_and_script():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bdfgklmnprst", k=3)) + rng.choice("aeiou") + rng.choice("lmnrs")
+    long, short = " ".join(word() for _ in range(1500)), [word() for _ in range(60)]
+    cyrillic = "Каждую седьмую ночь старый сторож поднимался на башню и считал огни над рекой"
+    chinese = "每年春天老船长都会把灯塔上的旧灯擦亮然后写信给远方的朋友"
+    index = leakage.ItemIndex([(1, long), (2, " ".join(short)), (3, cyrillic), (4, chinese)])
+    assert [i for i, n, w in index.leaks(FILL * 20 + long + FILL * 20) if n >= 0.5 and w >= 0.5] == [1]
+    apart = " ".join([*short[:22], FILL * 10, *short[22:44]])
+    assert [i for i, n, w in index.leaks(FILL * 9 + apart + FILL * 9) if n >= 0.5 and w >= 0.5] == [2]
+    for text, i in ((cyrillic.upper(), 3), (chinese, 4)):
+        assert [k for k, n, w in index.leaks(FILL + text + FILL) if n >= 0.5 and w >= 0.5] == [i]
+
+
 def test_shards_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, FILL + t + FILL) for i, t in ITEMS[:3]], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
