@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.pairs import language
+
 #: Sizes of the nested familiar lists, by rank of document frequency; their size bounds what is broadcast. (Left out one
 #: by one, of the 160 graded passages one list of 300 words misses 19, eight nested lists 3, these sixteen none.)
 LISTS = (50, 100, 150, 200, 250, 300, 350, 400, 450, 500, 550, 600, 700, 800, 1000, 1200)
@@ -77,13 +79,16 @@ def plain_words(sentence: list[str]) -> list[str]:
 def features(text: str, rank: dict[str, int]) -> np.ndarray | None:
     """Share of words outside each familiar list, and the average sentence length; None without running text.
 
-    ``rank`` is a word's place by document frequency. A sentence of which less than half is in the longest
-    list is not in the corpus's language and doesn't count."""
-    every, n_long, n_sentences, last = [], 0, 0, LISTS[-1]
+    ``rank`` is a word's place by document frequency. A sentence of which less than half is in the longest list
+    counts if its function words are English; a text that has no other sentences is measured on all of them."""
+    last, kept, rest = LISTS[-1], [], []
     for sentence in sentences_of(text):
         places = [rank.get(w, last) for w in plain_words(sentence)]
-        if not places or 2 * places.count(last) > len(places):
-            continue
+        if places:
+            foreign = 2 * places.count(last) > len(places) and language(" ".join(sentence)) != "en"
+            (rest if foreign else kept).append((sentence, places))
+    every, n_long, n_sentences = [], 0, 0
+    for sentence, places in kept or rest:
         every += places
         n_long += len(sentence)
         n_sentences += 1

@@ -217,6 +217,17 @@ def test_levels_of_documents(spark, graded):
         reading.reading_levels(df, graded.limit(0))
 
 
+def test_demanding_sentences_are_measured():
+    rank = {w: i for i, w in enumerate("the of and a is to in dog sat".split())}
+    hard = "The photometric calibration of interstellar refraction necessitates considerable methodological reformulation and a parametrisation."
+    easy = "The dog sat in the dog and the dog sat."
+    foreign = "Les voyageurs qui traversaient la ville parlaient surtout de la laine."
+    x = reading.features(f"{easy} {hard}", rank)
+    assert x[-1] > reading.features(easy, rank)[-1] and x[0] > 0.2
+    assert (reading.features(f"{easy} {foreign}", rank) == reading.features(easy, rank)).all()
+    assert reading.features("Photometric calibration necessitates reparametrisation.", rank) is not None
+
+
 def test_running_text_only():
     text = "# Head line here\n\nCHAPTER I. THE START\n\nALICE. This is what she\nsaid to them. It was late.\n\n| a | b |\n|---|---|\n\n```\ncode here.\n```\n\nNames in the register: Ann, Bob\n\n[Link](http://x.y/z) words stand here too."
     got = [" ".join(s) for s in reading.sentences_of(text)]
