@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +22,11 @@ OPENING_CHARS = 30
 #: Openings are alike from this Jaccard similarity of their character 4-grams (they are too short for word shingles).
 ALIKE = 0.6
 BANDS, ROWS = 8, 2
-#: A template is a refusal's if it answers at least so many different prompts, this share of its answers
-#: speaks of not answering, and half of them at least offer nothing instead.
-MIN_PROMPTS, MIN_CUE = 2, 0.5
+#: A template is a refusal's if half of its answers at least offer nothing instead, and of these so large a share
+#: speaks of not answering.
+MIN_CUE = 0.5
+#: Prompts are unlike below this Jaccard similarity of their content words.
+UNLIKE = 0.5
 #: A sentence of so few words, without a number, a name or a word of the question, is courtesy.
 COURTESY_WORDS = 6
 
@@ -73,6 +72,17 @@ _TALK = re.compile(
     re.I,
 )
 _ADDRESSED = re.compile(r"\b(?:please|you|your|vous|votre|veuillez|bitte|sie|ihre?n?|usted|puede|por favor)\b", re.I)
+#: Openings that are known for a refusal's, in the languages of the pairs: a cluster that one of them belongs to is labelled by it.
+_SEEDS = (
+    "i cannot answer this question", "i cant answer that", "i am unable to answer this", "i am not able to answer", "im sorry but i cannot", "sorry i cant help with that", "i cant help with that",
+    "i wont be able to help", "i do not know", "i dont know the answer", "i have no information about", "i dont have enough information", "i have no way of knowing", "i was not given the information",
+    "i must decline to answer", "i would rather not answer", "id prefer not to answer", "id rather not say", "it is not possible for me to", "it isnt possible for me to say", "this is not something i can",
+    "that is outside what i can", "that falls outside what i can", "my guidelines do not allow me", "as a language model i cannot", "the text does not say", "the text says nothing about", "the passage does not mention",
+    "the text does not provide any", "there is no mention of this", "there is no information about", "no answer can be given", "nothing in the text says", "no comment", "i am not able to fulfil this request",
+    "je ne peux pas répondre", "je suis désolé mais je ne peux", "je préfère ne pas répondre", "je ne sais pas", "le texte ne contient aucune", "en tant que modèle de langue je", "malheureusement je ne peux pas", "je dois décliner cette demande",
+    "lo siento pero no puedo", "no puedo responder a esa pregunta", "prefiero no responder", "no lo sé", "el texto no ofrece ninguna", "como modelo de lenguaje no", "lamentablemente no puedo", "debo rechazar esta solicitud",
+    "es tut mir leid aber ich kann", "dazu kann ich nichts sagen", "dazu möchte ich mich nicht", "ich kann diese frage nicht", "das weiß ich nicht", "der text enthält dazu keine", "als sprachmodell kann ich dazu", "leider kann ich diese anfrage", "ich muss diese anfrage ablehnen",
+)
 # -------------------------------------------------------------------------------------------------------------
 
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
@@ -88,7 +98,11 @@ _LIST_ITEM = re.compile(r"(?:[-*•+]|\d+[.)])\s+(?=\S)")
 
 def visible(answer: str) -> str:
     """The answer without a model's own marks (thought blocks, turn tokens), invisible characters and outer white space."""
-    return unicodedata.normalize("NFC", _TOKEN.sub(" ", _THINK.sub(" ", answer)).translate(_INVISIBLE)).strip(" \t\r\n\x0b\x0c\u00a0\u3000\u2028\u2029")
+    if "<" in answer or "[" in answer:
+        answer = _TOKEN.sub(" ", _THINK.sub(" ", answer))
+    if not answer.isascii():
+        answer = unicodedata.normalize("NFC", answer.translate(_INVISIBLE))
+    return answer.strip(" \t\r\n\x0b\x0c\u00a0\u3000\u2028\u2029")
 
 
 def is_empty(shown: str) -> bool:
@@ -99,13 +113,16 @@ def is_empty(shown: str) -> bool:
 
 
 def words(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in _ANY_WORD.findall(text)]
+    return _ANY_WORD.findall(text.lower().replace("’", "'"))
 
 
 def copies_question(question: str, shown: str) -> bool:
+    return _copies(words(question), words(shown))
+
+
+def _copies(q: list[str], a: list[str]) -> bool:
     """The question again, once or more, with a few words before, changed or put in. What follows a whole copy of it
     is an answer, unless that is the question once more."""
-    q, a = words(question), words(shown)
     if len(q) < 2 or not a:
         return False
     start = 0  # after the copies so far; each may have a few words before it
@@ -138,8 +155,13 @@ _MARKS = {"de": re.compile("[ßäöüÄÖÜ]"), "es": re.compile("[ñ¿¡áíó
 _DIGIT = re.compile(r"\d")
 
 
-def language(text: str) -> str | None:
-    """The language of a stretch of text, by function words, or its script where that isn't Latin; None if it can't be told."""
+#: For each language the words that only others have: without one of them, a text can't be taken for another's.
+_FOREIGN = {lang: frozenset(w for w, of in _LANGUAGE_OF.items() if lang not in of) for lang in _FUNCTION_WORDS}
+
+
+def language(text: str, found: list[str] | None = None) -> str | None:
+    """The language of a stretch of text, by function words, or its script where that isn't Latin; None if it can't be told.
+    ``found`` are its words, where they are known already."""
     plain = text.isascii()
     if not plain and _BEYOND_LATIN.search(text):
         letters = [c for c in text if c.isalpha()]
@@ -147,8 +169,8 @@ def language(text: str) -> str | None:
             if 2 * sum(low <= c <= high for c in letters) > len(letters):
                 return name
     score: dict[str, float] = {}
-    for w in words(text):
-        for part in {w, *w.split("'")}:
+    for w in words(text) if found is None else found:
+        for part in {w, *w.split("'")} if "'" in w else (w,):
             for lang in (langs := _LANGUAGE_OF.get(part, ())):
                 score[lang] = score.get(lang, 0.0) + 1 / len(langs)
     if not plain:
@@ -160,11 +182,17 @@ def language(text: str) -> str | None:
     return max(score, key=score.get) if best >= 1.5 and best >= 1.3 * second else None
 
 
-def in_other_language(question: str, shown: str) -> bool:
+def _all_own(own: str, text: str, found: Iterable[str]) -> bool:
+    """No word or mark in the text that could make it another language's than ``own``."""
+    foreign = _FOREIGN.get(own)
+    return foreign is not None and text.isascii() and foreign.isdisjoint(found) and not any("'" in w and not foreign.isdisjoint(w.split("'")) for w in found)
+
+
+def in_other_language(question: str, shown: str, own: str | None = None, found: list[str] | None = None) -> bool:
     """More than half of the answer, by characters of what can be told, in another language than the question's,
-    unless the question names that language."""
-    own = language(question)
-    if own is None:
+    unless the question names that language. ``own`` is the question's language, ``found`` the answer's words, where known."""
+    own = own or language(question)
+    if own is None or _all_own(own, shown, words(shown) if found is None else found):
         return False
     told = {}
     prose = re.sub(r"```.*?(?:```|\Z)", " ", shown, flags=re.S)
@@ -206,8 +234,23 @@ def breaks_off(shown: str) -> bool:
     return prose_before or len(words(bare)) > 3
 
 
-def _cue(text: str, start: int = 0) -> re.Match | None:
-    return next((m for m in _CUE.finditer(text, start) if not _NOT_OF_ANSWERS.match(text, m.start())), None)
+#: Four first letters of the words that _CUE and _TALK can begin to match at; a sentence without any is spared the pattern.
+_CUE_STARTS = frozenset("cann can can' cant coul unab not isn' is was wasn isnt do don' dont does did didn say says tell know noth no decl refu rath pref must outs beyo unan i guid won' wont sorr ne déso décl préf aucu lo rech ning nich kein able tut kann weiß weis".split())
+_TALK_STARTS = frozenset("ques requ quer aski aske answ repl resp help assi advi poli guid rule perm allo disc plea than appr apol regr unfo let hope topi lang cons cont i i'm i've i'd i'll im dema répo aid aide aidé aida règl dire auto veui merc excu malh suje modè n'hé frag anfr antw bean hilf helf rich rege erla bitt dank ents beda leid them spra wend preg soli peti ayud polí regl por grac lame tema mode pued".split())
+
+
+def _starts(found: list[str]) -> set[str]:
+    return {w[:4] for w in found} | {p[:4] for w in found if "'" in w for p in w.split("'")}
+
+
+def _cues(text: str, starts: set[str]) -> list[re.Match]:
+    if _CUE_STARTS.isdisjoint(starts):
+        return []
+    return [m for m in _CUE.finditer(text) if not _NOT_OF_ANSWERS.match(text, m.start())]
+
+
+def _cue(text: str) -> bool:
+    return any(not _NOT_OF_ANSWERS.match(text, m.start()) for m in _CUE.finditer(text))
 
 
 def _specific(text: str, asked: set[str], capitals: bool) -> bool:
@@ -215,151 +258,231 @@ def _specific(text: str, asked: set[str], capitals: bool) -> bool:
     return any((_DIGIT.search(w) or (capitals and i and w[:1].isupper() and not text.isupper() and w.split("'")[0] != "I")) and w.lower() not in asked for i, w in enumerate(_ANY_WORD.findall(text)))
 
 
-def _offers(sentence: str, asked: set[str], capitals: bool) -> bool:
+def _offers(sentence: str, found: list[str], starts: set[str], cues: list[re.Match], asked: set[str], capitals: bool) -> bool:
     """Does the sentence tell something of the matter? Refusing, its reasons, courtesy and policy don't."""
-    if cue := _cue(sentence):
-        if contrast := _CONTRAST.search(sentence, cue.end()):
+    if cues:
+        if contrast := _CONTRAST.search(sentence, cues[0].end()):
             tail = sentence[contrast.end() :]
             if len(words(tail)) >= 5 and not _cue(tail):
                 return not _TALK.search(tail) or _specific(tail, asked, capitals)
         # a number in a clause of its own after the refusal is of the matter
-        return any(_DIGIT.search(c) and _specific(c, asked, False) and not _cue(c) and not _TALK.search(c) for c in re.split(r"[,;:]\s+", sentence[cue.end() :])[1:])
+        return any(_DIGIT.search(c) and _specific(c, asked, False) and not _cue(c) and not _TALK.search(c) for c in re.split(r"[,;:]\s+", sentence[cues[0].end() :])[1:])
     if sentence.rstrip("\"'”’»)*_").endswith("?"):  # asks back
         return False
-    if _TALK.search(sentence):
+    if not _TALK_STARTS.isdisjoint(starts) and _TALK.search(sentence):
         return _specific(sentence, asked, capitals) and not _ADDRESSED.search(sentence)
-    found = [w.lower() for w in _ANY_WORD.findall(sentence)]
     return len(found) > COURTESY_WORDS or _specific(sentence, asked, capitals) or any(len(w) > 3 and w in asked for w in found)
 
 
-def openings(question: str, shown: str) -> list[tuple[str, bool, bool, bool]]:
-    """``(opening, speaks of not answering, does so before its next comma, the answer offers something instead)`` of the
-    clauses of all sentences of the answer."""
-    plain = re.sub(r"\s+", " ", _MARKUP.sub(" ", shown)).strip().replace("’", "'")
-    sentences = [s for s in re.split(r"(?<=[.!?…])[\"'”’»)]*\s+", plain) if s.strip()]
+_SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+")
+_CLAUSES = re.compile(r"[,;:]\s+(?:(?:but|mais|pero|aber|however|that said|so)\b,?\s*)?")
+_CLAUSE_ENDS = re.compile(r"[,;:]\s")
+_SPACE = re.compile(r"\s+")
+_MASKS = re.compile(r"_(?: _)+")
+
+
+def _opening(sentence: str, start: int, asked: set[str], capitals: bool) -> str:
+    """The first characters of a clause, its names, numbers and the question's words masked."""
+    out, size = [], 0
+    for i, m in enumerate(_ANY_WORD.finditer(sentence, start)):
+        word = m[0]
+        low = word.lower()
+        named = capitals and i and word[0].isupper() and word.split("'")[0] != "I"
+        if named or low in asked or not low.isalpha() and _DIGIT.search(low):
+            if out and out[-1] == "_":
+                continue
+            low = "_"
+        else:
+            low = low.replace("'", "")
+        out.append(low)
+        size += len(low) + 1
+        if size > OPENING_CHARS:
+            break
+    return " ".join(out)[:OPENING_CHARS].strip()
+
+
+def openings(question: str, shown: str) -> tuple[list[tuple[str, bool, bool]], list[str]]:
+    """The openings of the clauses of all sentences of the answer, those of an answer that offers nothing beside them first:
+    ``(opening, speaks of not answering, does so before its next comma)``; then those of which something else is told."""
     every = set(words(question))
+    return _openings(every, language(question), shown, words(shown))
+
+
+def _openings(every: set[str], own: str | None, shown: str, said: list[str]) -> tuple[list[tuple[str, bool, bool]], list[str]]:
+    plain = _SPACE.sub(" ", _MARKUP.sub(" ", shown)).strip().replace("’", "'")
+    sentences = [s for s in _SENTENCES.split(plain) if s.strip()]
     asked = {w for w in every if len(w) > 3}
-    capitals = "de" not in (language(shown), language(question))  # in German every noun has one, in the other languages names
-    offers = [_offers(s, every, capitals) for s in sentences]
-    all_offers, out = sum(offers), []
-    for sentence, offer in zip(sentences, offers):
-        breaks = [m.start() for m in re.finditer(r"[,;:]\s", sentence)]
-        starts = [0, *(m.end() for m in re.finditer(r"[,;:]\s+(?:(?:but|mais|pero|aber|however|that said|so)\b,?\s*)?", sentence))]
-        cues = [m for m in _CUE.finditer(sentence) if not _NOT_OF_ANSWERS.match(sentence, m.start())]
-        at, shouted = [m.start() for m in cues], sentence.isupper()
-        others = all_offers > offer
+    # in German every noun has a capital, in the other languages names
+    capitals = own != "de" and (_all_own("en", shown, said) or language(shown, said) != "de")
+    known: list[tuple[list[re.Match], bool]] = []
+    n_offers = 0
+    for s in sentences:
+        found = words(s)
+        starts = _starts(found)
+        cues = _cues(s, starts)
+        offer = _offers(s, found, starts, cues, every, capitals)
+        known.append((cues, offer))
+        n_offers += offer
+        if n_offers > 1:  # whatever its sentences open with, something is told beside it
+            break
+    bare: dict[tuple[str, bool, bool], None] = {}
+    other: dict[str, None] = {}
+    for sentence, (cues, offer) in zip(sentences, known + [([], False)] * (len(sentences) - len(known))):
+        starts = [0, *(m.end() for m in _CLAUSES.finditer(sentence))]
+        capital = capitals and not sentence.isupper()
+        if n_offers > 1:
+            other.update(dict.fromkeys(o for start in starts if (o := _opening(sentence, start, asked, capital))))
+            continue
+        breaks, at = [m.start() for m in _CLAUSE_ENDS.finditer(sentence)], [m.start() for m in cues]
         contrast = _CONTRAST.search(sentence, 1)
         turned = contrast is not None and len(words(sentence[contrast.end() :])) >= 5
         for start in starts:
-            found = [m[0] for m in islice(_ANY_WORD.finditer(sentence, start), OPENING_CHARS)]
-            masked = ["_" if w.lower() in asked or _DIGIT.search(w) or (capitals and i and w[:1].isupper() and not shouted) else w.lower().replace("’", "'") for i, w in enumerate(found)]
-            opening = re.sub(r"_(?: _)+", "_", " ".join(masked).replace("'", ""))[:OPENING_CHARS].strip()
-            if not opening:
+            if not (opening := _opening(sentence, start, asked, capital)):
                 continue
-            k, b = bisect_left(at, start), bisect_left(breaks, start)
-            cue = cues[k] if k < len(cues) else None
-            own = cue is not None and (b == len(breaks) or cue.start() < breaks[b])
             # a sentence without a cue may be the refusal itself: then the others count, and what it turns to
-            instead = all_offers > 0 if cues else others or (turned and start <= contrast.start())
-            out.append((opening, cue is not None, own, instead))
-            if cue:  # the phrase itself is a template too: rarer openings share it
-                out.append(("* " + re.sub(r"\s+", " ", cue[0].lower()), True, False, instead))
-    return list(dict.fromkeys(out))
-
-
-_OPENING = ("opening", "cue", "own", "instead")
+            if n_offers > 0 if cues else n_offers > offer or (turned and start <= contrast.start()):
+                other[opening] = None
+                continue
+            k, b = bisect_left(at, start), bisect_left(breaks, start)
+            cue = k < len(cues)
+            bare[opening, cue, cue and (b == len(breaks) or at[k] < breaks[b])] = None
+    return list(bare), list(other)
 
 
 def _pair_checks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each pair with its verdicts and the openings of a bare answer; and rows without a pair, ``other`` counted
+    together for a batch, of the openings of answers that offer something."""
     for pdf in batches:
-        rows = []
+        rows, others = [], Counter()
         for q, a in zip(pdf.question, pdf.answer):
-            q = "" if q is None else unicodedata.normalize("NFC", q.translate(_INVISIBLE))
+            q = "" if q is None else q if q.isascii() else unicodedata.normalize("NFC", q.translate(_INVISIBLE))
             shown = visible(a) if a is not None else ""
-            empty = is_empty(shown)
-            copied = not empty and copies_question(q, shown)
-            other = not empty and not copied and in_other_language(q, shown)
-            broken = not empty and not copied and breaks_off(shown)
-            found = [] if empty or copied else openings(q, shown)
-            prompt = hashlib.md5(" ".join(words(q)).encode()).hexdigest()
-            rows.append((empty, copied, other, broken, prompt, [dict(zip(_OPENING, o)) for o in found]))
-        yield pd.concat([pdf[["pair_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["empty", "copied", "other", "broken", "prompt", "openings"])], axis=1)
+            asked, said = words(q), words(shown)
+            empty = (len(said) < 5 or "<" in shown) and is_empty(shown)
+            if empty or _copies(asked, said):
+                rows.append((True, empty, not empty, False, False, [], [], None, 0))
+                continue
+            own = language(q, asked)
+            bare, other = _openings(set(asked), own, shown, said)
+            others.update(other)
+            content = sorted({w for w in asked if len(w) > 3 and w not in _LANGUAGE_OF}) if bare else []
+            rows.append((True, False, False, in_other_language(q, shown, own, said), breaks_off(shown), content, [dict(zip(_BARE, o)) for o in bare], None, 0))
+        rows += [(False, False, False, False, False, [], [], o, n) for o, n in others.items()]
+        ids = pd.concat([pdf["pair_id"], pdf["pair_id"].iloc[:1].repeat(len(others))], ignore_index=True)
+        yield pd.concat([ids, pd.DataFrame(rows, columns=_CHECKED)], axis=1)
+
 
+_BARE = ("opening", "cue", "own")
+_CHECKED = ["pair", "empty", "copied", "other", "broken", "content", "bare", "opening", "n"]
+_CHECKED_TYPES = "pair boolean, empty boolean, copied boolean, other boolean, broken boolean, content array<string>, bare array<struct<opening: string, cue: boolean, own: boolean>>, opening string, n long"
 
-_A = np.array([int.from_bytes(hashlib.md5(f"a{i}".encode()).digest()[:8], "big") | 1 for i in range(BANDS * ROWS)], np.uint64)
-_B = np.array([int.from_bytes(hashlib.md5(f"b{i}".encode()).digest()[:8], "big") for i in range(BANDS * ROWS)], np.uint64)
+_RANDOM = np.random.default_rng(20_231)
+_A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_OF_PLACE = _RANDOM.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OF_BAND = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
 def grams(opening: str) -> set[str]:
     return {opening[i : i + 4] for i in range(max(len(opening) - 3, 1))}
 
 
-@lru_cache(maxsize=200_000)
-def _gram_hash(gram: str) -> int:
-    return int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "big")
-
-
-def bands_of(opening: str) -> list[str]:
-    """LSH bands of the MinHash signature over the opening's character 4-grams."""
-    h = np.array([_gram_hash(g) for g in grams(opening)], np.uint64)
-    signature = ((h[:, None] * _A + _B) >> np.uint64(32)).min(0)
-    return [f"{b}:" + "-".join(map(str, signature[b * ROWS : (b + 1) * ROWS])) for b in range(BANDS)]
+def bands_of(some: list[str]) -> np.ndarray:
+    """LSH bands ([n][BANDS], 64 bits each) of the MinHash signatures over the openings' character 4-grams, all at once."""
+    if not some:
+        return np.zeros((0, BANDS), np.int64)
+    longest = max(4, max(map(len, some)))
+    codes = np.frombuffer("".join(o.ljust(longest, "\0") for o in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), longest).astype(np.uint64)
+    n = longest - 3
+    with np.errstate(over="ignore"):
+        h = sum(codes[:, i : i + n] * _OF_PLACE[i] for i in range(4))
+        h ^= h >> np.uint64(29)
+        none = np.arange(n)[None, :] >= np.maximum(np.fromiter(map(len, some), np.int64, len(some)) - 3, 1)[:, None]
+        signature = np.empty((len(some), BANDS * ROWS), np.uint64)
+        for k in range(BANDS * ROWS):
+            v = (h * _A[k] + _B[k]) >> np.uint64(32)
+            v[none] = np.uint64(1 << 32)
+            signature[:, k] = v.min(1)
+        out = np.empty((len(some), BANDS), np.uint64)
+        for b in range(BANDS):
+            key = _OF_BAND[b] + signature[:, b * ROWS]
+            for r in range(1, ROWS):
+                key = (key ^ (key >> np.uint64(31))) * _A[r] + signature[:, b * ROWS + r]
+            out[:, b] = key
+    return out.view(np.int64)
 
 
 def _with_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(band=[bands_of(o) for o in pdf.opening])
+        yield pdf.assign(band=list(bands_of(pdf.opening.tolist())))
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each bucket's openings, which come bucket by bucket, the most used first. Only the representatives
-    of one bucket are held, by their grams: an opening meets those alone that it shares a gram with."""
+    """Links of each bucket's openings, which come bucket by bucket, the heaviest first. Only the representatives of one
+    bucket are held, by their grams: an opening meets those alone that it shares a gram with."""
     bucket, leaders, holders = None, [], {}
     for pdf in batches:
         out = []
-        for band, opening in zip(pdf.band, pdf.opening):
+        for band, opening, weight in zip(pdf.band.tolist(), pdf.opening, pdf.weight.tolist()):
             if band != bucket:
                 bucket, leaders, holders = band, [], {}
+            if not leaders and not weight:
+                continue  # a bucket without an opening of weight: no template of it can count
             own = grams(opening)
             shared = Counter(k for g in own for k in holders.get(g, ()))
             alike = [k for k, both in shared.items() if both >= ALIKE * (len(own) + leaders[k][1] - both)]
             if alike:
                 out.append((opening, leaders[min(alike)][0]))
-                continue
-            for g in own:
-                holders.setdefault(g, []).append(len(leaders))
-            leaders.append((opening, len(own)))
+            elif weight:
+                for g in own:
+                    holders.setdefault(g, []).append(len(leaders))
+                leaders.append((opening, len(own)))
         yield pd.DataFrame(out, columns=["opening", "template"])
 
 
 def templates(found: DataFrame) -> DataFrame:
     """``opening, template``: each distinct opening with the openings that stand for a cluster it belongs to.
 
-    ``found`` has the distinct openings with their number of uses ``n``. An LSH bucket is represented by its most
-    used opening (ties by the text) and, of those not alike to a representative yet, by the next most used, until
-    every opening in it is linked or a representative itself. Alike is a Jaccard similarity of the 4-grams, computed
-    exactly, of at least ALIKE; a link goes to the most used such representative. No bucket is cut short, and
-    no task holds one: it is read in order, and its representatives alone are kept.
+    ``found`` has the distinct openings with their ``weight`` and their number of uses ``n``. An LSH bucket is represented
+    by its heaviest opening (ties by uses, then by the text) and, of those not alike to a representative yet, by the
+    next heaviest, until every opening in it is linked, a representative itself, or without weight. Alike is a Jaccard
+    similarity of the 4-grams, computed exactly, of at least ALIKE; a link goes to the heaviest such
+    representative. No bucket is cut short, and no task holds one: it is read in order, and its representatives
+    alone are kept. Openings without weight link to others but stand for nothing.
     """
-    banded = found.select("opening", "n").mapInPandas(_with_bands, "opening string, n long, band array<string>").select("opening", "n", F.explode("band").alias("band"))
-    ordered = banded.repartition("band").sortWithinPartitions("band", F.desc("n"), F.desc("opening"))
-    links = ordered.select("band", "opening").mapInPandas(_linked, "opening string, template string").distinct()
-    return links.unionByName(found.select("opening", F.col("opening").alias("template")))
+    banded = found.select("opening", "weight", "n").mapInPandas(_with_bands, "opening string, weight long, n long, band array<long>").select("opening", "weight", "n", F.explode("band").alias("band"))
+    ordered = banded.repartition("band").sortWithinPartitions("band", F.desc("weight"), F.desc("n"), F.desc("opening"))
+    links = ordered.select("band", "opening", "weight").mapInPandas(_linked, "opening string, template string").distinct()
+    return links.unionByName(found.filter("weight > 0").select("opening", F.col("opening").alias("template")))
+
+
+#: Weight of a seed in a bucket: it stands for the openings that are alike.
+_SEED_WEIGHT = 1 << 40
 
 
 def refusal_openings(checked: DataFrame) -> DataFrame:
     """The openings that are a refusal's: ``opening, telling``, distinct. A telling one has the refusal in its own words, so
     that an answer opening with it needs no cue; of the others ("I appreciate your interest; however, ...") it does."""
-    each = checked.select("prompt", F.explode("openings").alias("o")).select("prompt", "o.*")
-    said, own, bare = (c.cast("int") for c in (F.col("cue"), F.col("own"), ~F.col("instead")))
-    found = each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(said).alias("cues"), F.sum(own).alias("owns"), F.sum(bare).alias("bares"), F.min("prompt").alias("low"), F.max("prompt").alias("high"))
+    spark = checked.sparkSession
+    uses = checked.select("content", F.explode("bare").alias("o")).select("content", "o.*")
+    one = lambda c: F.col(c).cast("long")
+    bare = uses.select("opening", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("weight"), one("cue").alias("cues"), one("own").alias("owns"), F.struct(F.hash("content").alias("h"), F.col("content").alias("c")).alias("first"))
+    rest = checked.filter(~F.col("pair")).select("opening", "n", *[F.lit(0).cast("long").alias(c) for c in ("weight", "cues", "owns")], F.lit(None).cast(bare.schema["first"].dataType).alias("first"))
+    seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(s[:OPENING_CHARS].strip() for s in _SEEDS)], "opening string")
+    seeds = seeds.select("opening", F.lit(0).cast("long").alias("n"), F.lit(_SEED_WEIGHT).alias("weight"), *[F.lit(0).cast("long").alias(c) for c in ("cues", "owns")], F.lit(None).cast(bare.schema["first"].dataType).alias("first"))
+    summed = ("n", "weight", "cues", "owns")
+    found = bare.unionByName(rest).unionByName(seeds).groupBy("opening").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
     found = materialise(found)
     linked = templates(found)
-    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "cues", "owns", "bares")], F.min("low").alias("low"), F.max("high").alias("high"))
-    # two different prompts at least: the least and the greatest differ
-    refusing = sums.filter((F.col("low") != F.col("high") if MIN_PROMPTS == 2 else F.lit(True)) & (F.col("cues") >= MIN_CUE * F.col("n")) & (2 * F.col("bares") >= F.col("n")))
-    refusing = refusing.select("template", (F.col("owns") >= MIN_CUE * F.col("n")).alias("telling"))
-    return linked.join(refusing, "template").groupBy("opening").agg(F.max("telling").alias("telling"))
+    sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
+    sums = sums.withColumns({"seeded": F.col("weight") >= _SEED_WEIGHT, "bares": F.pmod("weight", F.lit(_SEED_WEIGHT))})
+    told = sums.filter((2 * F.col("bares") >= F.col("n")) & (F.col("bares") > 0) & (F.col("seeded") | (F.col("cues") >= MIN_CUE * F.col("bares"))))
+    told = materialise(told.select("template", "seeded", (F.col("seeded") | (F.col("owns") >= MIN_CUE * F.col("bares"))).alias("telling"), F.col("first.c").alias("first")).join(linked, "template"))
+    # does the template answer unlike prompts? One prompt that is unlike its first is enough, and there is one if any two are unlike enough
+    both, either = F.size(F.array_intersect("content", "first")), F.size(F.array_union("content", "first"))
+    recurs = told.filter("not seeded").join(uses.select("opening", "content"), "opening").filter((F.col("content") != F.col("first")) & (both < UNLIKE * either)).select("template").distinct()
+    refusing = told.join(recurs.withColumn("recurs", F.lit(True)), "template", "left").filter("seeded or recurs")
+    return refusing.groupBy("opening").agg(F.max("telling").alias("telling"))
 
 
 def defective_pairs(df: DataFrame) -> DataFrame:
@@ -369,19 +492,20 @@ def defective_pairs(df: DataFrame) -> DataFrame:
     repeated ``pair_id`` counts once, by its earliest delivery; rows without ``pair_id`` once for each content. An
     empty table gives no rows; other columns are ignored.
 
-    Refusals: the openings of all answers are clustered by verified MinHash (``templates``); a template that
-    recurs across unlike prompts, whose answers speak of not answering and offer nothing instead, is a refusal's, and an
-    answer is a refusal if it opens with one and offers nothing instead, with a cue of its own or without. Answers
-    with a cue also share the template of the cue's phrase, so that one whose wording is rare isn't lost. The other defects follow from checks of
-    the pair alone, in one Arrow pass. The join with the refusing openings is left to AQE, which broadcasts
+    Refusals: the openings of all answers are clustered by verified MinHash (``templates``). A cluster is a refusal's if
+    half of the answers that open so offer nothing beside it and either a known refusal's opening (_SEEDS) belongs to
+    it, or it recurs across unlike prompts and half of those answers speak of not answering (_CUE). An answer is a
+    refusal if it offers nothing and opens a clause with an opening of such a cluster; where the cluster has the
+    refusal only after its first clause, the answer must speak of it itself. The other defects follow from checks
+    of the pair alone, in one Arrow pass. The join with the refusing openings is left to AQE, which broadcasts
     them only where they are small and splits a skewed opening otherwise.
     """
     once = first_delivery(df, "pair_id", "loaded_at", {"question": F.col("question"), "answer": F.col("answer")})
     kind = once.schema["pair_id"].dataType.simpleString()
-    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, empty boolean, copied boolean, other boolean, broken boolean, prompt string, openings array<struct<opening: string, cue: boolean, own: boolean, instead: boolean>>"))
-    may = checked.filter("not empty and not copied").select("pair_id", F.explode("openings").alias("o")).filter(~F.col("o.instead"))
-    may = may.select(F.col("pair_id").alias("refused_id"), F.col("o.opening").alias("opening"), F.col("o.cue").alias("cue"))
+    checked = materialise(once.mapInPandas(_pair_checks, f"pair_id {kind}, {_CHECKED_TYPES}"))
+    may = checked.select(F.col("pair_id").alias("refused_id"), F.explode("bare").alias("o")).select("refused_id", "o.opening", "o.cue")
     refused = may.join(refusal_openings(checked), "opening").filter("cue or telling").select("refused_id", F.lit(True).alias("refused")).distinct()
-    joined = checked.drop("openings", "prompt").join(refused, F.col("pair_id").eqNullSafe(F.col("refused_id")), "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
+    pairs = checked.filter("pair").drop("pair", "content", "bare", "opening", "n")
+    joined = pairs.join(refused, F.col("pair_id").eqNullSafe(F.col("refused_id")), "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
     defect = F.when(F.col("empty"), DEFECTS[0]).when(F.col("copied"), DEFECTS[1]).when(F.col("refused"), DEFECTS[2]).when(F.col("other"), DEFECTS[3]).when(F.col("broken"), DEFECTS[4])
     return joined.select("pair_id", defect.alias("defect")).filter("defect is not null")

@@ -104,7 +104,7 @@ def test_a_question_repeated_often_is_a_copy():
 
 def test_minhash_is_verified(spark):
     words = "the excerpt simply doesnt cover"
-    found = spark.createDataFrame([(f"{words} {t}"[:36], n) for n, t in enumerate(["lamp", "tide", "bay", "rope"])] + [("a wholly different opening", 9)], "opening string, n long")
+    found = spark.createDataFrame([(f"{words} {t}"[:36], n) for n, t in enumerate(["lamp", "tide", "bay", "rope"])] + [("a wholly different opening", 9)], "opening string, n long").withColumn("weight", F.col("n") + 1)
     links = pairs.templates(found).collect()
     assert all(len(pairs.grams(a) & pairs.grams(b)) >= pairs.ALIKE * len(pairs.grams(a) | pairs.grams(b)) for a, b in links)
     assert {a for a, b in links if b.endswith("rope")} == {f"{words} {t}" for t in ("lamp", "tide", "bay", "rope")}
@@ -113,12 +113,37 @@ def test_minhash_is_verified(spark):
 def test_rare_openings_meet_in_a_bucket_that_another_leads(spark, monkeypatch):
     def one_bucket(batches):
         for pdf in batches:
-            yield pdf.assign(band=[["0:all"]] * len(pdf))
+            yield pdf.assign(band=[[7]] * len(pdf))
 
     monkeypatch.setattr(pairs, "_with_bands", one_bucket)
     rare = ["i must leave this one aside aa", "i must leave this one aside bb"]
-    found = spark.createDataFrame([("what makes the town remarkable", 50), ("nobody here may speak of it", 7), (rare[0], 1), (rare[1], 1)], "opening string, n long")
-    assert {tuple(r) for r in pairs.templates(found).collect() if r.opening != r.template} == {tuple(rare)}
+    found = spark.createDataFrame([("what makes the town remarkable", 50), ("nobody here may speak of it", 7), (rare[0], 1), (rare[1], 1), (rare[1] + "b", 90)], "opening string, n long")
+    found = found.withColumn("weight", F.when(F.col("n") == 90, 0).otherwise(F.col("n")))  # the last links, but stands for none
+    assert {tuple(r) for r in pairs.templates(found).collect() if r.opening != r.template} == {tuple(rare), (rare[1] + "b", rare[1])}
+
+
+def test_links_of_openings_against_brute_force():
+    """Every hundredth opening against all: of those at ALIKE or above, the bands bring nine of ten together at least."""
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(60)]
+    some = sorted({"".join(rng.choice("abcdefgh ") if rng.random() < 0.05 else c for c in rng.choice(stems)).strip() for _ in range(3000)})
+    bands, sets = pairs.bands_of(some), [pairs.grams(o) for o in some]
+    met = alike = 0
+    for i in range(0, len(some), 100):
+        for j in range(len(some)):
+            if j != i and len(sets[i] & sets[j]) >= pairs.ALIKE * len(sets[i] | sets[j]):
+                alike += 1
+                met += bool((bands[i] == bands[j]).any())
+    assert alike > 100 and met >= 0.9 * alike
+
+
+def test_a_template_needs_unlike_prompts_unless_it_is_known(spark):
+    refusal = "The keeper of these notes has nothing in them about that, sorry."
+    alike = [(i, f"Who moved the old brass lamp to the great northern harbour {'again' * (i % 2)}?", refusal, 1) for i in range(4)]
+    unlike = [(i, q, refusal, 1) for i, q in enumerate(["What is the tide?", "Who moved the lamp?"])]
+    known = [(0, "What is the tide?", "I cannot answer this question.", 1)]
+    found = lambda rows: pairs.defective_pairs(spark.createDataFrame(rows, PAIR).withColumn("loaded_at", F.timestamp_seconds("loaded_at"))).count()
+    assert [found(rows) for rows in (alike, unlike, known)] == [0, 2, 1]
 
 
 # --- leaked items -----------------------------------------------------------------------------------------------
