@@ -419,21 +419,31 @@ def _with_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of each bucket's openings, which come bucket by bucket, the heaviest first. Only the representatives of one
-    bucket are held, by their grams: an opening meets those alone that it shares a gram with."""
+    bucket are held, by their grams: an opening meets those alone that it shares a gram with. A bucket whose first
+    opening has no weight has no template that counts."""
+    last, live = None, False
     bucket, leaders, holders = None, [], {}
     for pdf in batches:
-        out = []
-        for band, opening, weight in zip(pdf.band.tolist(), pdf.opening, pdf.weight.tolist()):
-            if band != bucket:
-                bucket, leaders, holders = band, [], {}
-            if not leaders and not weight:
-                continue  # a bucket without an opening of weight: no template of it can count
+        band, weight = pdf.band.to_numpy(), pdf.weight.to_numpy()
+        if not len(band):
+            continue
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        sizes, lives = np.diff(np.append(starts, len(band))), weight[starts] > 0
+        if band[0] == last:
+            lives[0] = live
+        last, live = band[-1], lives[-1]
+        met = lives & (sizes > 1)
+        met[0], met[-1] = lives[0], lives[-1]  # these may go on in another batch
+        rows, out = np.flatnonzero(np.repeat(met, sizes)), []
+        for b, opening, w in zip(band[rows].tolist(), pdf.opening.to_numpy()[rows], weight[rows].tolist()):
+            if b != bucket:
+                bucket, leaders, holders = b, [], {}
             own = grams(opening)
             shared = Counter(k for g in own for k in holders.get(g, ()))
             alike = [k for k, both in shared.items() if both >= ALIKE * (len(own) + leaders[k][1] - both)]
             if alike:
                 out.append((opening, leaders[min(alike)][0]))
-            elif weight:
+            elif w:
                 for g in own:
                     holders.setdefault(g, []).append(len(leaders))
                 leaders.append((opening, len(own)))
@@ -473,11 +483,11 @@ def refusal_openings(checked: DataFrame) -> DataFrame:
     summed = ("n", "weight", "cues", "owns")
     found = bare.unionByName(rest).unionByName(seeds).groupBy("opening").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
     found = materialise(found)
-    linked = templates(found)
+    linked = materialise(templates(found))
     sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
     sums = sums.withColumns({"seeded": F.col("weight") >= _SEED_WEIGHT, "bares": F.pmod("weight", F.lit(_SEED_WEIGHT))})
     told = sums.filter((2 * F.col("bares") >= F.col("n")) & (F.col("bares") > 0) & (F.col("seeded") | (F.col("cues") >= MIN_CUE * F.col("bares"))))
-    told = materialise(told.select("template", "seeded", (F.col("seeded") | (F.col("owns") >= MIN_CUE * F.col("bares"))).alias("telling"), F.col("first.c").alias("first")).join(linked, "template"))
+    told = told.select("template", "seeded", (F.col("seeded") | (F.col("owns") >= MIN_CUE * F.col("bares"))).alias("telling"), F.col("first.c").alias("first")).join(linked, "template")
     # does the template answer unlike prompts? One prompt that is unlike its first is enough, and there is one if any two are unlike enough
     both, either = F.size(F.array_intersect("content", "first")), F.size(F.array_union("content", "first"))
     recurs = told.filter("not seeded").join(uses.select("opening", "content"), "opening").filter((F.col("content") != F.col("first")) & (both < UNLIKE * either)).select("template").distinct()
