@@ -26,6 +26,18 @@ def test_cleaning_takes_artifacts_out_and_is_idempotent(spark):
     assert one(spark, folds.clean_text(F.col("t")), None, "", " \n ") == [None, "", ""]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<sup>", "</sup>", "<sub>", "</sub>", "<span x>", "</span>", "[", "]", "[[", "]]", "\\*", "\\_", "![", "](", ")", "**", "---", "\n", "\n\n", " ", "- ", "# ", "1. ", "a", "b c", "e\u0301"]), max_size=30).map("".join))
+def test_cleaning_is_idempotent(raw):
+    once = folds.clean(raw)
+    assert folds.clean(once) == once
+
+
+def test_nested_tags_are_cleaned_at_once():
+    assert folds.clean("a<sup>1<sub>2</sub></sup> b") == "a12 b" and folds.clean("a<sup>1<sup>2</sup></sup> b") == "a12 b"
+    assert folds.clean("a\n\n ---\n\nb") == "a\n\nb"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab .!?\n", max_size=400), max_size=6), st.integers(20, 120))
 def test_splitting_loses_nothing(parts, target):
@@ -62,6 +74,9 @@ def test_passages_drop_runts():
         ("['What\\'s this?', 'And that?']", ["What's this?", "And that?"]),
         ('[{"question": "Cut off?", "answer": "x', ["Cut off?"]),
         ('["One?" "Two?"', ["One?", "Two?"]),
+        ('[{"question": "One?", "answer": "yes?"}, {"question": "Two?"', ["One?", "Two?"]),
+        ('[[1, ["Inner?"]], "Outer?"] x', ["Outer?"]),
+        ("['it's one?', 'two?']", ["it's one?", "two?"]),
         ("1. First?\n- Second?\nQ3: Third?\nnot one", ["First?", "Second?", "Third?"]),
         ('["..."]', []),
         ("", []),
