@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.folds import clean_text, parse_questions_column, passages_column, split_documents_column
 from lodestone.functions.text import answer_text, cut_at_marker, leaks_json, refers_to_source, repeat_share
 from lodestone.operators.corpora import forest_pairs, head_samples, pair_quota, ratio_mix
-from lodestone.operators.documents import PreparationRefused, min_documents_for_held_out, ordered_overlap, overlap_share
+from lodestone.operators.documents import REFUSE_SHARE, PreparationRefused, attribution, min_documents_for_held_out, ordered_overlap
 from lodestone.operators.lineage import materialise
 from lodestone.sources.files import extract, find_files
 from lodestone.sources.sinks import write_batch
@@ -24,26 +24,34 @@ def prepare_documents(spark: SparkSession, inputs: list[str], existing: DataFram
     """``(documents, report)``: the files cleaned, long enough, split if asked for; ``documents`` has ``path, piece, text``.
 
     Refused, before anything is written: a split size under MIN_SPLIT, an input of which half the sentence text is
-    already in ``existing`` (``name, text``) or in an earlier input. The report has the number of documents, how many
+    already in ``existing`` (``name, text``) or in an earlier input, both together; the message names who holds most of it. The report has the number of documents, how many
     are missing for a held-out split, and as ``shared`` the inputs that are shared in part, a DataFrame of ``path, share``
     with all of them."""
     if split_chars is not None and split_chars < MIN_SPLIT:
         raise PreparationRefused(f"a split size of {split_chars} is below {MIN_SPLIT}")
     texts = extract(find_files(spark, inputs), pdf_converter).select("path", clean_text(F.col("text")).alias("text")).filter(F.length("text") >= min_length)
     texts = materialise(texts)
-    shares = ordered_overlap(texts, "path").select("path", "share", "verdict")
-    if existing is not None:
-        shares = shares.unionByName(overlap_share(texts, existing, "path", "name").select("path", "share", "verdict"))
-    shared = materialise(shares.filter("verdict <> 'ok'").groupBy("path").agg(F.max("share").alias("share")))
+    shares = ordered_overlap(texts, "path", existing=existing).select("path", "share", "verdict")
+    shared = materialise(shares.filter("verdict <> 'ok'").select("path", "share"))
     worst = shared.orderBy(F.desc("share"), "path").first()
-    if worst and worst["share"] >= 0.5:
-        raise PreparationRefused(f"{worst['path']}: {worst['share']:.0%} of its text has been prepared already")
+    if worst and worst["share"] >= REFUSE_SHARE:
+        raise PreparationRefused(f"{worst['path']}: {worst['share']:.0%} of its text has been prepared already, in {_held_by(texts, existing, worst['path'])}")
     pieces = split_documents_column(F.col("text"), split_chars) if split_chars else F.array("text")
     documents = texts.select("path", F.posexplode(pieces).alias("piece", "text"))
     n = documents.count()
     return documents, {"n_documents": n, "missing": max(0, min_documents_for_held_out(val_fraction) - n), "shared": shared}
 
 
+def _held_by(texts: DataFrame, existing: DataFrame | None, path: str, top: int = 3) -> str:
+    """The names that hold most of an input's text: existing texts and earlier inputs."""
+    holders = texts.filter(F.col("path") < path).select(F.col("path").alias("name"), "text")
+    if existing is not None:
+        holders = holders.unionByName(existing.select("name", "text"))
+    best = attribution(texts.filter(F.col("path") == path), holders, "path", "name", top).orderBy("place").collect()  # ``top`` rows
+    more = best[0]["n_holders"] - len(best) if best else 0
+    return ", ".join(r["name"] for r in best) + (f" and {more} more" if more else "")
+
+
 def build_corpus(rows: DataFrame, pairs: DataFrame, messages: DataFrame, quotas: dict[str, int], pair_quota_each: int, seed: int = 42) -> DataFrame:
     """``side, key, place``: the text samples and the instruction pairs of all sources in the ratio of ten to one, shuffled.
     ``pairs`` has ``source, row_id, prompt, response``; the message forest gives the source ``oasst2``."""

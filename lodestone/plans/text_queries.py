@@ -121,12 +121,32 @@ def overlap_ordered_inputs(spark, d):
     return documents.ordered_overlap(table(spark, d, "documents"), "doc_id").withColumn("share", F.round("share", 9))
 
 
-@query(f"""select * from (select doc_id, item_id, chars, row_number() over (partition by doc_id order by chars desc, item_id) as place from (
-  select s.doc_id, h.item_id, cast(sum(s.n_chars * s.uses) as bigint) as chars from {_sentences('documents', 'doc_id')} s join {_sentences('benchmark', 'item_id')} h using (hash) group by all)) where place <= 3""", longs=("place",))
+_UNION_SHARE = f"""with s as {_sentences('documents', 'doc_id')}, e as (select distinct hash from {_sentences('benchmark', 'item_id')}), f as (select hash, min(doc_id) as first from s group by hash),
+  m as (select s.doc_id, s.n_chars * s.uses as chars, e.hash is not null or f.first < s.doc_id as held from s join f using (hash) left join e using (hash))"""
+
+
+@query(f"""{_UNION_SHARE} select doc_id, total_chars, shared_chars, round(share, 9) as share, {_VERDICT} from (select doc_id, cast(sum(chars) as bigint) as total_chars,
+  cast(sum(case when held then chars else 0 end) as bigint) as shared_chars, cast(sum(case when held then chars else 0 end) as double) / sum(chars) as share from m group by doc_id)""")
+def overlap_existing_and_earlier(spark, d):
+    """Each document against the held-out items and the documents before it, together."""
+    out = documents.ordered_overlap(table(spark, d, "documents"), "doc_id", existing=table(spark, d, "benchmark"))
+    return out.withColumn("share", F.round("share", 9))
+
+
+@query(f"""select * from (select doc_id, item_id, chars, row_number() over (partition by doc_id order by chars desc, item_id) as place, count(*) over (partition by doc_id) as n_holders from (
+  select s.doc_id, h.item_id, cast(sum(s.n_chars * s.uses) as bigint) as chars from {_sentences('documents', 'doc_id')} s join {_sentences('benchmark', 'item_id')} h using (hash) group by all)) where place <= 3""", longs=("place", "n_holders"))
 def overlap_attribution_top3(spark, d):
     return documents.attribution(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
+@query(f"""with s as {_sentences('documents', 'doc_id')}, c as (select s.doc_id, h.holder, cast(sum(s.n_chars * s.uses) as bigint) as chars from s join (select doc_id as holder, hash from s) h using (hash) group by all)
+  select * from (select doc_id, holder, chars, row_number() over (partition by doc_id order by chars desc, holder) as place, count(*) over (partition by doc_id) as n_holders from c) where place <= 2""", longs=("place", "n_holders"))
+def documents_attribution(spark, d):
+    """The documents that hold most of each document's sentences, itself included: many share their licence notices."""
+    docs = table(spark, d, "documents")
+    return documents.attribution(docs, docs.select(F.col("doc_id").alias("holder"), F.col("text").alias("held")), "doc_id", "holder", 2, holder_text="held")
+
+
 @query("select min(doc_id) as doc_id, count(*) as n_copies from documents where text is not null group by sha256(text)")
 def exact_copy_first_kept(spark, d):
     return documents.first_copies(table(spark, d, "documents"), "doc_id")
@@ -152,10 +172,23 @@ def seeded_shuffle_topn(spark, d):
     return documents.seeded_first(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 42, "shuffle")
 
 
-@query("select source, doc_id, case when row_number() over w = 1 then stem else stem || '_' || (row_number() over w - 1) end as name from (select *, regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9._-]+', '--', 'g') as stem from documents) window w as (partition by stem order by doc_id)")
+_STEMS = r"select doc_id, case when doc_id % 4 = 0 then stem || '_' || (doc_id % 7) else stem end as stem from (select doc_id, regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9._-]+', '--', 'g') as stem from documents)"
+
+
+@query(rf"""with d as ({_STEMS}), taken as (select stem as name from d where doc_id % 10 = 0 union select stem || '_' || (doc_id % 5) from d where doc_id % 3 = 0),
+  n as (select name, true as whole from taken union all select distinct stem, false from d),
+  blocked as (select distinct * from (select regexp_extract(name, '^(.*)_(0|[1-9][0-9]*)$', 1) as stem, try_cast(regexp_extract(name, '^(.*)_(0|[1-9][0-9]*)$', 2) as bigint) as no from n) where no > 0 union select name, 0 from n where whole),
+  sizes as (select stem, count(*) + (select count(*) from blocked) as most from d group by stem),
+  free as (select stem, no, row_number() over (partition by stem order by no) as k from (select stem, unnest(range(0, most)) as no from sizes) anti join blocked using (stem, no)),
+  j as (select doc_id, stem, row_number() over (partition by stem order by doc_id) as k from d)
+  select doc_id, stem, case when no = 0 then stem else stem || '_' || no end as name from j join free using (stem, k)""")
 def output_names(spark, d):
-    stems = table(spark, d, "documents").select("source", "doc_id", text.slug(F.coalesce("source", F.lit("none"))).alias("stem"))
-    return documents.unique_names(stems, "stem", "doc_id").select("source", "doc_id", "name")
+    """Names of documents by source, some stems ending like a number, some names and numbers taken already."""
+    stem = text.slug(F.coalesce("source", F.lit("none")))
+    stems = table(spark, d, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(4)) == 0, F.concat(stem, F.lit("_"), F.pmod("doc_id", F.lit(7)))).otherwise(stem).alias("stem"))
+    ends = stems.filter(F.pmod("doc_id", F.lit(3)) == 0).select(F.concat("stem", F.lit("_"), F.pmod("doc_id", F.lit(5))).alias("name"))
+    taken = stems.filter(F.pmod("doc_id", F.lit(10)) == 0).select(F.col("stem").alias("name")).unionByName(ends).distinct()
+    return documents.unique_names(stems, "stem", "doc_id", taken)
 
 
 @query("select doc_format, doc_id, sha256(case when doc_id = min(doc_id) over (partition by doc_format) then '' else chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) end || '# Source: ' || doc_id || chr(10) || chr(10) || coalesce(text, '')) as block_hash from documents")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from lodestone.plans import prepare
 from lodestone.sources import files, sinks
 
 A = "This is a sentence of well over sixty characters, so that it is compared with others."
+C = "A third sentence stands here, and nothing else in any of these texts is at all like it."
 B = "Another sentence that is long enough to be compared, and that is not the same as the first."
 
 
@@ -21,7 +24,32 @@ def test_overlap_counts_characters_and_repeats(spark):
     got = {r.id: (r.total_chars, r.shared_chars, r.verdict) for r in documents.overlap_share(new, old, "id", "item").collect()}
     assert got == {1: (2 * len(A) + len(B), 2 * len(A), "refuse"), 2: (len(B), 0, "ok")}
     top = rows(documents.attribution(new, old, "id", "item"))
-    assert top == [(1, 8, 2 * len(A), 1), (1, 9, 2 * len(A), 2)]
+    assert top == [(1, 8, 2 * len(A), 1, 2), (1, 9, 2 * len(A), 2, 2)]
+
+
+def test_attribution_against_all_pairs(spark):
+    rng = random.Random(5)
+    pool = [f"Sentence number {i} of the shared pool is long enough to be compared with others." for i in range(30)]
+    texts = [" ".join([pool[0]] * rng.randint(0, 1) + rng.sample(pool, rng.randint(0, 4))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts[:40])), "id long, text string")
+    held = spark.createDataFrame(list(enumerate(texts[20:])), "h long, t string")
+    cut = lambda t: [x + "others." for x in t.split("others.")[:-1]] if t else []
+    want = []
+    for i, t in enumerate(texts[:40]):
+        mine = [x.strip() for x in cut(t)]
+        credit = {h: c for h, u in enumerate(texts[20:]) if (c := sum(len(x) for x in mine if x in {y.strip() for y in cut(u)}))}
+        best = sorted(credit.items(), key=lambda x: (-x[1], x[0]))
+        want += [(i, h, c, p, len(best)) for p, (h, c) in enumerate(best[:3], 1)]
+    assert rows(documents.attribution(df, held, "id", "h", holder_text="t")) == sorted(want)
+
+
+def test_overlap_is_of_existing_and_earlier_texts_together(spark):
+    new = spark.createDataFrame([(1, A), (2, f"{A} {B} {C}")], "id long, text string")
+    old = spark.createDataFrame([(9, B), (8, f"{A} {B}")], "item long, text string")
+    got = {r.id: (r.shared_chars, r.verdict) for r in documents.ordered_overlap(new, "id", existing=old.filter("item = 9")).collect()}
+    assert got == {1: (0, "ok"), 2: (len(A) + len(B), "refuse")}
+    got = {r.id: r.shared_chars for r in documents.ordered_overlap(new, "id", existing=old).collect()}
+    assert got == {1: len(A), 2: len(A) + len(B)}  # held twice, counted once
 
 
 def test_ordered_overlap_looks_back_only(spark):
@@ -66,6 +94,23 @@ def test_names_never_collide(spark):
     assert rows(documents.unique_names(df, "stem", "o").select("o", "name")) == [(1, "a"), (2, "a_1"), (3, "b"), (4, "a_2")]
     taken = spark.createDataFrame([("a",), ("a_1",)], "name string")
     assert rows(documents.unique_names(df, "stem", "o", taken).select("o", "name")) == [(1, "a_2"), (2, "a_3"), (3, "b"), (4, "a_4")]
+    gaps = spark.createDataFrame([("a_1",), ("a_3",), ("a_03",), ("x",)], "name string")
+    assert rows(documents.unique_names(df, "stem", "o", gaps).select("o", "name")) == [(1, "a"), (2, "a_2"), (3, "b"), (4, "a_4")]
+    like = spark.createDataFrame([("a", 1), ("a", 2), ("a_1", 3), ("a_1", 4), ("a_1_1", 5), (None, 6)], "stem string, o int")
+    names = rows(documents.unique_names(like, "stem", "o", taken).select("o", "name"))
+    assert names == [(1, "a_2"), (2, "a_3"), (3, "a_1_2"), (4, "a_1_3"), (5, "a_1_1"), (6, None)]
+    one = spark.createDataFrame([("chapter_3", 1)], "stem string, o int")
+    assert rows(documents.unique_names(one, "stem", "o", one.select(F.col("stem").alias("name"))).select("name")) == [("chapter_3_1",)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_of_random_stems(spark, seed):
+    rng = random.Random(seed)
+    stem = lambda: rng.choice("ab") + "".join(f"_{rng.choice([0, 1, 2, 10, '01'])}" for _ in range(rng.randint(0, 3)))
+    df = spark.createDataFrame([(stem(), i) for i in range(150)], "stem string, o int")
+    taken = spark.createDataFrame([(stem(),) for _ in range(60)], "name string")
+    names = [r.name for r in documents.unique_names(df, "stem", "o", taken).collect()]
+    assert len(set(names)) == 150 and not set(names) & {r.name for r in taken.collect()}
 
 
 def test_combined_and_fingerprint(spark):
@@ -109,7 +154,7 @@ def test_preparation_is_refused_before_it_writes(spark, tmp_path):
     assert report["missing"] == 0 and report["n_documents"] == docs.count() > 4
     with pytest.raises(prepare.PreparationRefused):
         prepare.prepare_documents(spark, [str(tmp_path)], split_chars=499)
-    with pytest.raises(prepare.PreparationRefused):
+    with pytest.raises(prepare.PreparationRefused, match="in .*(one|two)"):
         prepare.prepare_documents(spark, [str(tmp_path)], existing=docs.select(F.col("path").alias("name"), "text"))
     (tmp_path / "zcopy.txt").write_text((tmp_path / "one.txt").read_text())
     with pytest.raises(prepare.PreparationRefused):
