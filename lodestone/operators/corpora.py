@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
 from lodestone.functions.text import trim_space
-from lodestone.operators.ranking import with_prefix
+from lodestone.operators.ranking import first_of_each, with_prefix
 
 MIN_TEXT, MIN_SIDE, MAX_CHARS = 50, 20, 2048
 #: The samples each source gives by default.
@@ -44,12 +44,13 @@ def allocate(defaults: DataFrame, total: int) -> DataFrame:
 
 def head_samples(rows: DataFrame, quotas: dict[str, int], seed: int = 42, id_column: str = "row_id", scan: int = 3) -> DataFrame:
     """``source, row_id, text``: of each source's first ``scan`` times quota matches in id order, a seeded sample of the
-    quota; stripped, over MIN_TEXT characters, cut to MAX_CHARS. One scan serves all sources; the row limits are
-    group limits, applied in each task before the shuffle. The text is joined back to the sampled ids alone."""
+    quota; stripped, over MIN_TEXT characters, cut to MAX_CHARS. One scan serves all sources; both limits shuffle the rows near
+    them alone (``ranking.first_of_each``). The text is joined back to the sampled ids."""
     labelled = rows.select(F.col(id_column), F.explode(source_labels(F.col("meta"))).alias("source"))
     quota = F.create_map(*[x for n, q in quotas.items() for x in (F.lit(n), F.lit(q))])[F.col("source")]
-    head = labelled.withColumns({"quota": quota, "i": F.row_number().over(Window.partitionBy("source").orderBy(id_column))}).filter(F.col("i") <= scan * max(quotas.values(), default=0)).filter(F.col("i") <= scan * F.col("quota"))
-    picked = head.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy(order_key(seed, "sample", F.col("source"), F.col(id_column))))).filter(F.col("j") <= F.col("quota"))
+    asked = labelled.withColumn("quota", quota).filter("quota > 0")
+    head = first_of_each(asked, "source", scan * F.col("quota"), order=id_column).drop("place")
+    picked = first_of_each(head, "source", F.col("quota"), key=order_key(seed, "sample", F.col("source"), F.col(id_column)), tie=id_column)
     texts = rows.select(id_column, trim_space(F.col("text")).alias("text"))
     return picked.select("source", id_column).join(texts, id_column).filter(F.length("text") > MIN_TEXT).withColumn("text", F.substring("text", 1, MAX_CHARS))
 
@@ -57,12 +58,11 @@ def head_samples(rows: DataFrame, quotas: dict[str, int], seed: int = 42, id_col
 def pair_quota(pairs: DataFrame, quota: int, seed: int = 42, id_column: str = "row_id", scan: int = 3) -> DataFrame:
     """Of each source's seeded ``scan`` * quota rows, the first ``quota`` usable pairs: both sides over MIN_SIDE characters,
     after cutting to MAX_CHARS. Columns ``source, row_id, prompt, response, taken``."""
-    by_source = Window.partitionBy("source").orderBy("k", id_column)
     keyed = pairs.withColumn("k", order_key(seed, "pairs", F.col("source"), F.col(id_column)))
-    some = keyed.withColumn("i", F.row_number().over(by_source)).filter(F.col("i") <= scan * quota)
+    some = first_of_each(keyed, "source", scan * quota, key=F.col("k"), tie=id_column).drop("place")
     cut = some.withColumns({"prompt": F.substring(trim_space(F.col("prompt")), 1, MAX_CHARS), "response": F.substring(trim_space(F.col("response")), 1, MAX_CHARS)})
     good = cut.filter((F.length("prompt") > MIN_SIDE) & (F.length("response") > MIN_SIDE))
-    return good.withColumn("taken", F.row_number().over(by_source)).filter(F.col("taken") <= quota).select("source", id_column, "prompt", "response", "taken")
+    return first_of_each(good, "source", quota, key=F.col("k"), tie=id_column).select("source", id_column, "prompt", "response", F.col("place").alias("taken"))
 
 
 def forest_pairs(messages: DataFrame, lang: str = "en") -> DataFrame:

@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import normal, order_key, uniform
-from lodestone.operators.ranking import with_prefix
+from lodestone.operators.ranking import first_of_each, with_prefix
 
 #: Rows drawn by one task of ``sample_sites``.
 DRAW_BLOCK = 4096
@@ -104,5 +104,5 @@ def decorrelated(vectors: DataFrame, site: str, id_column: str, vector: str, see
 
 
 def first_per_site(vectors: DataFrame, site: str, order: str, n: int) -> DataFrame:
-    """The first n vectors of each site; a group limit, applied in each task before the shuffle."""
-    return vectors.withColumn("_i", F.row_number().over(Window.partitionBy(site).orderBy(order))).filter(F.col("_i") <= n).drop("_i")
+    """The first n vectors of each site in the order of a column; only those near the limit are shuffled."""
+    return first_of_each(vectors, site, n, order=order).drop("place")

@@ -7,14 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
+from lodestone.operators.ranking import first_of_each
 
 #: The least variance of a direction, what a standard deviation's square is raised by.
 LEAST_EIGENVALUE, STD_FLOOR = 1e-10, 1e-10
 RESERVOIR = 200_000
+#: Tasks' partial results of a site are merged in so many groups first, then these, so that of a million tasks no merge takes
+#: more than some thousand rows.
+MERGE_GROUPS = 1024
+
+
+def _merged(parts: DataFrame, keys: tuple[str, ...], merge, schema: str) -> DataFrame:
+    """Partial results with the ``part`` that made them, merged on two levels, each in the order of the parts."""
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merge(pdf.sort_values("part")).assign(part=pdf.part.min())
+
+    level = parts.withColumn("_g", F.pmod("part", F.lit(MERGE_GROUPS))).groupBy(*keys, "_g").applyInPandas(in_order, schema)
+    return level.groupBy(*keys).applyInPandas(in_order, schema)
+
+
+def _part() -> int:
+    return TaskContext.get().partitionId()
 
 
 def _chan(n: float, mean: np.ndarray, m2: np.ndarray, n2: float, mean2: np.ndarray, m2_2: np.ndarray):
@@ -30,7 +49,7 @@ def _chan(n: float, mean: np.ndarray, m2: np.ndarray, n2: float, mean2: np.ndarr
 def moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
     """``site, n, mean, std, m2`` (arrays): mean, and standard deviation with n - 1 and STD_FLOOR; null for one vector.
 
-    Each task reduces its batches to one row a site; the rows of a site are merged pairwise (Chan). Null vectors are
+    Each task reduces its batches to one row a site; the rows of a site are merged pairwise (Chan), on two levels. Null vectors are
     left out; a site with vectors of unlike length is refused by NumPy."""
     kind = vectors.schema[site].dataType.simpleString()
     slim = vectors.select(F.col(site).alias("site"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
@@ -43,23 +62,24 @@ def moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
                 mean = x.mean(0)
                 block = (float(len(x)), mean, ((x - mean) ** 2).sum(0))
                 held[s] = _chan(*held[s], *block) if s in held else block
-        yield pd.DataFrame([(s, int(n), mean, m2) for s, (n, mean, m2) in held.items()], columns=["site", "n", "mean", "m2"])
+        yield pd.DataFrame([(s, int(n), mean, m2, _part()) for s, (n, mean, m2) in held.items()], columns=["site", "n", "mean", "m2", "part"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = (0.0, np.zeros(0), np.zeros(0))
         for n, mean, m2 in zip(pdf.n, pdf["mean"], pdf.m2):
             total = _chan(*total, float(n), np.asarray(mean), np.asarray(m2))
         n, mean, m2 = total
-        std = np.sqrt(m2 / (n - 1) + STD_FLOOR) if n > 1 else None
-        return pd.DataFrame([(pdf.site.iloc[0], int(n), mean, std, m2)], columns=["site", "n", "mean", "std", "m2"])
+        return pd.DataFrame([(pdf.site.iloc[0], int(n), mean, m2)], columns=["site", "n", "mean", "m2"])
 
-    parts = slim.mapInPandas(partial, f"site {kind}, n long, mean array<double>, m2 array<double>")
-    return parts.groupBy("site").applyInPandas(merge, f"site {kind}, n long, mean array<double>, std array<double>, m2 array<double>").withColumnRenamed("site", site)
+    schema = f"site {kind}, n long, mean array<double>, m2 array<double>, part int"
+    whole = _merged(slim.mapInPandas(partial, schema), ("site",), merge, schema)
+    std = F.when(F.col("n") > 1, F.transform("m2", lambda x: F.sqrt(x / (F.col("n") - 1) + STD_FLOOR)))
+    return whole.select(F.col("site").alias(site), "n", "mean", std.alias("std"), "m2")
 
 
 def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
     """``site, i, n, cov``: row i of each site's covariance, over n (population). Partial Gram matrices about each block's
-    own mean leave a task as rows, so a site's matrix is summed in as many tasks as it has rows."""
+    own mean leave a task as rows, so a site's matrix is summed in as many tasks as it has rows, on two levels."""
     kind = vectors.schema[site].dataType.simpleString()
     slim = vectors.select(F.col(site).alias("site"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
 
@@ -77,7 +97,7 @@ def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
                 else:
                     held[s] = (n, mean, gram)
         for s, (n, mean, gram) in held.items():
-            yield pd.DataFrame({"site": s, "i": range(len(mean)), "n": n, "mean": [mean] * len(mean), "gram": list(gram)})
+            yield pd.DataFrame({"site": s, "i": range(len(mean)), "n": n, "mean": [mean] * len(mean), "gram": list(gram), "part": _part()})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         i, n, mean, row = int(pdf.i.iloc[0]), 0, None, None
@@ -89,17 +109,17 @@ def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
             d = m2 - mean
             row = row + g2 + d[i] * d * (n * n2 / (n + n2))
             mean, n = mean + d * (n2 / (n + n2)), int(n + n2)
-        return pd.DataFrame([(pdf.site.iloc[0], i, n, row / n)], columns=["site", "i", "n", "cov"])
+        return pd.DataFrame([(pdf.site.iloc[0], i, n, mean, row)], columns=["site", "i", "n", "mean", "gram"])
 
-    parts = slim.mapInPandas(partial, f"site {kind}, i int, n long, mean array<double>, gram array<double>")
-    return parts.groupBy("site", "i").applyInPandas(merge, f"site {kind}, i int, n long, cov array<double>").withColumnRenamed("site", site)
+    schema = f"site {kind}, i int, n long, mean array<double>, gram array<double>, part int"
+    whole = _merged(slim.mapInPandas(partial, schema), ("site", "i"), merge, schema)
+    return whole.select(F.col("site").alias(site), "i", "n", F.transform("gram", lambda x: x / F.col("n")).alias("cov"))
 
 
 def reservoir(vectors: DataFrame, site: str, id_column: str, size: int = RESERVOIR, seed: int = 42) -> DataFrame:
-    """A uniform sample of up to ``size`` rows of each site: those with the lowest seeded keys. Mergeable, the same for any
-    partitioning; each task keeps ``size`` rows a site before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(site).orderBy(order_key(seed, "reservoir", F.col(site), F.col(id_column)), id_column))
-    return vectors.withColumn("place", place).filter(F.col("place") <= size)
+    """A uniform sample of up to ``size`` rows of each site, with their ``place``: those with the lowest seeded keys. Mergeable, the
+    same for any partitioning; only the buckets of keys that hold them are shuffled (``ranking.first_of_each``)."""
+    return first_of_each(vectors, site, size, key=order_key(seed, "reservoir", F.col(site), F.col(id_column)), tie=id_column)
 
 
 def principal_axes(covariance: DataFrame, site: str, variance: float = 0.95) -> DataFrame:

@@ -14,7 +14,7 @@ from lodestone.operators.corpora import forest_pairs, head_samples, pair_quota,
 from lodestone.operators.documents import REFUSE_SHARE, PreparationRefused, attribution, min_documents_for_held_out, ordered_overlap
 from lodestone.operators.lineage import materialise
 from lodestone.sources.files import extract, find_files
-from lodestone.sources.sinks import write_batch
+from lodestone.sources.sinks import if_written, write_batch
 
 MIN_SPLIT = 500
 REASONS = ["unparseable_passage", "leaked_json", "refers_to_source", "duplicate", "truncated_answer", "short_answer"]
@@ -136,10 +136,8 @@ def write_generated_corpus(spark: SparkSession, generate: Callable[[list[int]],
     schema = "draw long, text string, kept boolean, batch int"
 
     def standing() -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:  # nothing written yet
-            return spark.createDataFrame([], schema)
+        written = if_written(lambda: spark.read.schema(schema).parquet(path))
+        return spark.createDataFrame([], schema) if written is None else written
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,21 @@ from lodestone.operators.corpora import corpus_statistics
 from lodestone.operators.documents import unique_names
 
 
+def if_written(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives; None where the path isn't there or holds no data yet. Any other failure is one."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def write_documents(df: DataFrame, path: str, stem: str, order: str) -> DataFrame:
     """Appends documents under names not taken in ``path`` yet, and returns them with their ``name``. Nothing is overwritten."""
     spark = df.sparkSession
-    try:
-        taken = spark.read.parquet(path).select("name")
-    except Exception:  # nothing written yet
-        taken = None
+    standing = if_written(lambda: spark.read.parquet(path))
+    taken = None if standing is None else standing.select("name")
     named = unique_names(df, stem, order, taken)
     named.write.mode("append").parquet(path)
     return spark.read.parquet(path)
