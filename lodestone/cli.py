@@ -5,14 +5,16 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import re
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpora, metrics, mixture, vectors
-from lodestone.operators.checks import ForeignArtifact, Settings, make_meta, require_own
+from lodestone.operators.checks import ForeignArtifact, Settings, make_meta
 from lodestone.operators.documents import PreparationRefused
+from lodestone.operators.lineage import materialise
 from lodestone.plans import prepare
 from lodestone.sources import files, sinks, store
 
@@ -60,15 +62,23 @@ def prepare_supplement(a) -> dict:
 
 def build_artifact(a) -> dict:
     v = session().read.parquet(a.vectors)
-    sites = vectors.fit_sites(v, a.site, a.id, a.vector, a.components, seed=a.seed)
-    sinks.write_artifact(sites, a.out, make_meta(a.model, 0, 0, [], 0))
+    sites = materialise(vectors.fit_sites(v, a.site, a.id, a.vector, a.components, seed=a.seed))
+    found = sites.select(F.col(a.site).cast("string").alias("s"), F.size("mean").alias("w"), "n_samples").orderBy("s").collect()  # a row a site
+    layers = {m[1] for r in found if (m := re.match(r"(\d+)_", r.s or ""))}
+    meta = make_meta(a.model, max((r.w for r in found), default=0), len(layers), [r.s for r in found], max((r.n_samples for r in found), default=0), provenance=a.provenance)
+    sinks.write_artifact(sites, a.out, meta, a.int8)
     return {"sites": files.read_artifact(session(), a.out).count()}
 
 
 def extend(a) -> dict:
     spark = session()
-    meta = require_own(json.loads(spark.read.parquet(f"{a.artifact}/meta").first()["meta"]))
+    meta = files.read_meta(spark, a.artifact)
+    if a.name in meta.get("extended_with", []):
+        raise ValueError(f"{a.artifact} has been extended with {a.name} already")
     base = files.read_artifact(spark, a.artifact)
+    width = spark.read.parquet(a.vectors).select(F.size(a.vector).alias("w")).filter("w >= 0").limit(1).collect()
+    if width and meta["hidden_size"] and width[0].w != meta["hidden_size"]:
+        raise ValueError(f"vectors of {width[0].w} numbers don't fit a statistic of {meta['hidden_size']}")
     added = mixture.domain_mixtures(spark.read.parquet(a.vectors), base, a.site, a.id, a.vector, seed=a.seed, size=a.need)
     merged = mixture.merge_artifacts(base, added, a.site)
     sinks.write_artifact(merged, a.out, {**meta, "version": meta.get("version", 1) + 1, "extended_with": [*meta.get("extended_with", []), a.name]})
@@ -117,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
     command("prepare-domain", prepare_domain, opt("inputs", nargs="+"), req("--out"), opt("--split-chars", type=int), opt("--min-length", type=int, default=1000), opt("--val-fraction", type=float, default=0.1), opt("--existing", action="store_true"))
     command("prepare-seed-corpus", prepare_seed_corpus, req("--rows"), req("--messages"), req("--out"), opt("--total", type=int, default=12000), opt("--pairs", type=int, default=5000), opt("--seed", type=int, default=42))
     command("prepare-supplement", prepare_supplement, req("--documents"), req("--out"), req("--ask", help="module:function"), req("--reply", help="module:function"), opt("--stop", nargs="*", default=["<|im_end|>"]))
-    command("build-artifact", build_artifact, req("--vectors"), req("--out"), req("--model"), opt("--components", type=int, default=32), *common)
+    command("build-artifact", build_artifact, req("--vectors"), req("--out"), req("--model"), opt("--components", type=int, default=32), opt("--provenance"), opt("--int8", action="store_true"), *common)
     command("extend", extend, req("--artifact"), req("--vectors"), req("--out"), req("--name"), opt("--need", type=int, default=40000), *common)
     command("evaluate", evaluate, req("--scores"), opt("--stages", nargs="+", default=["before", "after"]))
     command("list-artifacts", list_artifacts, req("--root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,16 +55,20 @@ def fingerprint(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)``, with ``c`` worked out once however often it is named in it: a lambda's argument is, an expression isn't."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def repeat_share(c: Column, n: int = 8) -> Column:
     """Share of the text's word n-grams that repeat an earlier one; 0 for a text of fewer than n words."""
 
     def share(words: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        repeated = F.transform(F.array(grams), lambda g: 1.0 - F.size(F.array_distinct(g)) / F.size(g).cast("double"))
-        return F.when(F.size(words) < n, F.lit(0.0)).otherwise(F.element_at(repeated, 1))
+        repeated = once(grams, lambda g: 1.0 - F.size(F.array_distinct(g)) / F.size(g).cast("double"))
+        return F.when(F.size(words) < n, F.lit(0.0)).otherwise(repeated)
 
-    # a lambda's argument is worked out once; an expression that is named twice inside one is not
-    return F.element_at(F.transform(F.array(tokens(c)), share), 1)
+    return once(tokens(c), share)
 
 
 def cut_at_marker(c: Column, markers: list[str]) -> Column:

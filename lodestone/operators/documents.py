@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
-from lodestone.functions.text import fingerprint, normalise_characters, sentences
+from lodestone.functions.text import fingerprint, normalise_characters, once, sentences
 from lodestone.operators.ranking import with_ordered_rank, with_prefix
 
 REFUSE_SHARE = 0.5
@@ -29,12 +29,12 @@ def sentence_table(df: DataFrame, id_column: str, text: str = "text") -> DataFra
     """``id_column, hash, n_chars, uses``: each document's distinct sentences of at least 60 characters and how often
     it has them. All of them stand in the document's own row, so they are counted there, without a shuffle."""
     each = F.array_sort(F.transform(sentences(normalise_characters(F.col(text))), lambda s: F.struct(fingerprint(s).alias("hash"), F.length(s).alias("n_chars"))))
-    rows = df.select(F.col(id_column), each.alias("e")).filter(F.size("e") > 0)
-    # sorted, so equal ones are neighbours: a run's length is the distance from its start to the next one's
-    starts = F.filter(F.transform("e", lambda x, i: F.when((i == 0) | (F.get("e", i - 1)["hash"] != x["hash"]), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("at", starts)
-    runs = F.transform("at", lambda i, k: F.struct(F.get("e", i).alias("s"), (F.coalesce(F.get("at", k + 1), F.size("e")) - i).cast("long").alias("uses")))
-    return rows.select(id_column, F.explode(runs).alias("r")).select(id_column, "r.s.hash", "r.s.n_chars", "r.uses")
+
+    def runs(e: Column) -> Column:  # sorted, so equal ones are neighbours: a run's length is the distance from its start to the next one's
+        starts = F.filter(F.transform(e, lambda x, i: F.when((i == 0) | (F.get(e, i - 1)["hash"] != x["hash"]), i)), lambda i: i.isNotNull())
+        return once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(e, i).alias("s"), (F.coalesce(F.get(at, k + 1), F.size(e)) - i).cast("long").alias("uses"))))
+
+    return df.select(F.col(id_column), F.explode(once(each, runs)).alias("r")).select(id_column, "r.s.hash", "r.s.n_chars", "r.uses")
 
 
 def verdict(share):

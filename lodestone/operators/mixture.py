@@ -109,12 +109,17 @@ def quantize(df: DataFrame, id_column: str, vector: str, block: int = BLOCK) ->
 
     Codes are rounded half to even with the unrounded 32-bit scale; the scale is stored in half precision. All in
     array expressions: no row ever explodes."""
+    return df.select(F.col(id_column), F.size(vector).alias("numel"), quantized(F.col(vector), block).alias("blocks"))
+
+
+def quantized(vector: Column, block: int = BLOCK) -> Column:
+    """The blocks of ``quantize``; null for a null vector."""
     padded = F.concat(F.transform(vector, lambda x: x.cast("float")), F.array_repeat(F.lit(0.0).cast("float"), F.pmod(-F.size(vector), F.lit(block))))
     n_blocks = F.ceil(F.size(vector) / F.lit(block)).cast("int")
     cut = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(padded, b * block + 1, block))).otherwise(F.array().cast("array<array<float>>"))
     sized = F.transform(cut, lambda x: F.struct(x.alias("x"), F.greatest(F.array_max(F.transform(x, lambda y: F.abs(y))) / F.lit(127.0).cast("float"), F.lit(1e-12)).cast("float").alias("s")))
     codes = F.transform(sized, lambda b: F.struct(b["s"].alias("scale"), F.transform(b["x"], lambda y: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround((y / b["s"]).cast("float").cast("double"), 0).cast("int"))).cast("tinyint")).alias("q")))
-    return df.select(F.col(id_column), F.size(vector).alias("numel"), F.transform(codes, lambda b: F.struct(half(b["scale"]).alias("scale"), b["q"].alias("q"))).alias("blocks"))
+    return F.when(vector.isNotNull(), F.transform(codes, lambda b: F.struct(half(b["scale"]).alias("scale"), b["q"].alias("q"))))
 
 
 def half(c: Column) -> Column:
@@ -129,3 +134,27 @@ def half(c: Column) -> Column:
 
 def dequantize(blocks: Column, numel: Column) -> Column:
     return F.slice(F.flatten(F.transform(blocks, lambda b: F.transform(b["q"], lambda q: (q * b["scale"]).cast("float")))), F.lit(1), numel)
+
+
+#: Matrices of a site's row that are stored in int8 where that is asked for; variances and weights stay as they are.
+COMPACT = ("pca_components", "gmm_means")
+
+
+def compacted(sites: DataFrame) -> DataFrame:
+    """Site rows with their matrices as ``struct<width, numel, blocks>``."""
+    have = [c for c in COMPACT if c in sites.columns]
+    pack = lambda m: F.when(m.isNotNull(), F.struct(F.coalesce(F.size(F.try_element_at(m, F.lit(1))), F.lit(0)).alias("width"), F.size(F.flatten(m)).alias("numel"), quantized(F.flatten(m)).alias("blocks")))
+    return sites.withColumns({c: pack(F.col(c)) for c in have})
+
+
+def expanded(sites: DataFrame) -> DataFrame:
+    """Site rows with their matrices as matrices again, whether they were stored compactly or not."""
+    packed = [c for c in COMPACT if c in sites.columns and dict(sites.dtypes)[c].startswith("struct")]
+
+    def unpack(c: str) -> Column:
+        flat, width = dequantize(F.col(f"{c}.blocks"), F.col(f"{c}.numel")), F.greatest(F.col(f"{c}.width"), F.lit(1))
+        n_rows = (F.col(f"{c}.numel") / width).cast("int")
+        held = F.transform(F.array(flat), lambda v: F.transform(F.sequence(F.lit(0), n_rows - 1), lambda r: F.transform(F.slice(v, r * width + 1, width), lambda x: x.cast("double"))))
+        return F.when(n_rows > 0, held[0]).when(n_rows == 0, F.array().cast("array<array<double>>"))
+
+    return sites.withColumns({c: unpack(c) for c in packed})

@@ -86,9 +86,43 @@ def sample_categorical(weights: DataFrame, item: str, weight: str, n: int, seed:
     return draws.join(reach, "b").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", F.col("_item").alias(item))
 
 
-def isotropic_moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
-    """``site, n, mean, sigma``: a matched isotropic control: each site's mean and the root of its average variance (population)."""
-    d = vectors.select(site, F.posexplode(vector).alias("d", "x")).groupBy(site, "d").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+def sample_lookup(vectors: DataFrame, item: str, vector: str, n: int, seed: int = 42, weight: str | None = None) -> DataFrame:
+    """``draw, item, v``: n rows of a table of vectors, with replacement: in proportion to ``weight`` (an item of weight 0 or null is
+    never drawn), or uniformly. Items are distinct; a table without a weight above 0 gives no draws. Only drawn
+    vectors leave the scan."""
+    known = vectors.select(F.col(item), (F.col(weight) if weight else F.lit(1)).alias("_weight"))
+    drawn = sample_categorical(known, item, "_weight", n, seed)
+    return drawn.join(vectors.select(F.col(item), F.col(vector).cast("array<double>").alias("v")), item).select("draw", item, "v")
+
+
+def sample_best(stats: DataFrame, site: str, n: int, seed: int = 42, lookup: DataFrame | None = None, lookup_site=None, item: str = "item", vector: str = "v", weight: str | None = None) -> DataFrame:
+    """``site, rung, draw, v`` at the finest level each site has: rows of the ``lookup`` table itself for ``lookup_site``, else mixture,
+    principal basis or diagonal (``sample_sites``)."""
+    fitted = sample_sites(stats if lookup is None else stats.filter(~F.col(site).eqNullSafe(F.lit(lookup_site))), site, n, seed)
+    if lookup is None:
+        return fitted
+    exact = sample_lookup(lookup, item, vector, n, seed, weight)
+    return fitted.unionByName(exact.select(F.lit(lookup_site).cast(stats.schema[site].dataType).alias(site), F.lit("lookup").alias("rung"), "draw", "v"))
+
+
+def sample_isotropic(control: DataFrame, site: str, n: int, seed: int = 42, mode: str = "matched") -> DataFrame:
+    """``site, draw, v``: n draws a site with the same spread in every direction: ``matched`` about the mean with the sigma of
+    ``isotropic_moments``, ``unit`` about zero with 1, for as many dimensions as the mean has."""
+    if mode not in ("matched", "unit"):
+        raise ValueError(f"the mode is matched or unit, not {mode!r}")
+    drawn = control.select(site, "mean", "sigma", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    noise = lambda d: normal(seed, "isotropic", F.col(site), F.col("draw"), d)
+    v = F.transform("mean", (lambda m, d: m + F.col("sigma") * noise(d)) if mode == "matched" else (lambda m, d: noise(d)))
+    return drawn.select(site, "draw", v.alias("v"))
+
+
+def isotropic_moments(vectors: DataFrame, site: str, vector: str, weight: str | None = None) -> DataFrame:
+    """``site, n, mean, sigma``: a matched isotropic control: each site's mean and the root of its average variance (population),
+    where given in proportion to ``weight``; rows of weight 0 or null don't count."""
+    rows = vectors.select(site, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.posexplode(vector).alias("d", "x")).filter("w > 0")
+    x, w = F.col("x").cast("double"), F.sum("w")
+    mean = F.sum(F.col("w") * x) / w
+    d = rows.groupBy(site, "d").agg(F.count("x").alias("n"), (F.avg("x") if weight is None else mean).alias("m"), (F.var_pop("x") if weight is None else F.greatest(F.sum(F.col("w") * x * x) / w - mean * mean, F.lit(0.0))).alias("v"))
     return d.groupBy(site).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"), F.sqrt(F.avg("v")).alias("sigma"))
 
 

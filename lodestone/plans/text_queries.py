@@ -14,6 +14,7 @@ from lodestone.operators import chunking, corpora, documents
 from lodestone.operators.deliveries import first_delivery
 from lodestone.plans.prepare import REASONS, judged_answers
 from lodestone.sources.files import record_text
+from lodestone.sources.tables import read_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None, longs: tuple[str, ...] = ()):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 # --- SQL fragments ------------------------------------------------------------------------------------------

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import metrics, mixture, sampling, vectors
+from lodestone.operators.lineage import shared_folder
 from lodestone.streaming.fold import fold_moments, folded
 
 QUERIES: dict = {}
@@ -137,13 +137,20 @@ def quantize_roundtrip(spark, d):
     return blocks.select("vec_id", "block", F.posexplode("z.q").alias("i", "q")).withColumn("q", F.col("q").cast("int"))
 
 
-@query()
+#: A vector's blocks of 64 (each vector is one), in single precision as they are stored.
+_CODES = """select vec_id, embedding as e, greatest(cast(list_max(list_transform(embedding, lambda x: abs(x))) / 127.0::float as float), cast(1e-12 as float)) as s from embeddings"""
+
+
+@query(f"""select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(e[i]::double - cast(q[i] * h as float)::double, 2)))) / sqrt(list_sum(list_transform(e, lambda x: x::double * x::double))), 6) as relative_error from (
+  select vec_id, e, list_transform(e, lambda x: greatest(-127, least(127, round_even((cast(x / s as float))::double, 0)::int))) as q,
+    cast(round_even(s::double / pow(2, greatest(floor(log2(s::double)), -14) - 10), 0) * pow(2, greatest(floor(log2(s::double)), -14) - 10) as float) as h from ({_CODES}))""")
 def quantize_error(spark, d):
     v = table(spark, d, "embeddings")
     j = mixture.quantize(v, "vec_id", "embedding").join(v, "vec_id")
-    e = F.zip_with("embedding", mixture.dequantize(F.col("blocks"), F.col("numel")), lambda a, b: (a - b) * (a - b))
+    e = F.zip_with("embedding", mixture.dequantize(F.col("blocks"), F.col("numel")), lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return j.select("vec_id", (F.sqrt(total(e)) / F.sqrt(total(F.transform("embedding", lambda x: x * x)))).alias("relative_error"))
+    error = F.sqrt(total(e)) / F.sqrt(total(F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))))
+    return j.select("vec_id", F.round(error, 6).alias("relative_error"))
 
 
 @query(f"""with l as {_LONG}, t as (select label, d, vec_id, row_number() over (partition by label, d order by {_sha('to', "d || ':' || vec_id")}, vec_id) as r from l),
@@ -169,6 +176,45 @@ def sample_categorical_draws(spark, d):
     return sampling.sample_categorical(w, "event_type", "w", 2000)
 
 
+_LOOKED_UP = f"""with c as (select vec_id, embedding, (sum(w) over o - w) / sum(w) over () as lo, sum(w) over o / sum(w) over () as hi from (select *, (label % 3)::double as w from embeddings where label % 3 > 0) window o as (order by sha256(vec_id::varchar), vec_id)),
+  u as (select g as draw, {_uniform('categorical', 'g')} as u from range(3000) r(g))"""
+
+
+@query(f"{_LOOKED_UP} select draw, vec_id, round(embedding[1]::double, 6) as first, round(embedding[64]::double, 6) as last from u join c on u >= lo and u < hi")
+def sample_lookup_draws(spark, d):
+    """Rows of the vector table drawn by weight; a third of the labels has weight 0."""
+    v = table(spark, d, "embeddings").withColumn("w", F.pmod("label", F.lit(3)))
+    draws = sampling.sample_lookup(v, "vec_id", "embedding", 3000, weight="w")
+    return draws.select("draw", "vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
+@query("select label, case when label = 0 then 'lookup' else 'diagonal' end as rung, count(*) as n_sites, 40::bigint as n_draws, 64 as width from (select distinct label from embeddings) group by label")
+def sample_ladder(spark, d):
+    """Draws at the finest level of each site: the table itself for one, a diagonal normal for the others."""
+    v = table(spark, d, "embeddings")
+    out = sampling.sample_best(vectors.moments(v, "label", "embedding"), "label", 40, lookup=v, lookup_site=0, item="vec_id", vector="embedding")
+    return out.groupBy("label", "rung").agg(F.count_distinct("rung").alias("n_sites"), F.count(F.lit(1)).alias("n_draws"), F.max(F.size("v")).alias("width"))
+
+
+@query(f"""with m as (select label, d, avg(x) as mu, var_pop(x) as v from {_LONG} group by label, d), s as (select label, sqrt(avg(v)) as sigma from m group by label),
+  z as (select label, g, d, mu, sigma, sqrt(-2 * ln({_uniform('isotropic:u', "label || ':' || g || ':' || d")})) * cos(6.283185307179586::double * {_uniform('isotropic:v', "label || ':' || g || ':' || d")}) as z from m join s using (label), range(20) r(g))
+  select label, g::int as draw, d::int as d, round(mu + sigma * z, 5) + 0.0 as matched, round(z, 5) + 0.0 as unit from z""")
+def isotropic_draws(spark, d):
+    control = sampling.isotropic_moments(table(spark, d, "embeddings"), "label", "embedding")
+    flat = lambda mode: sampling.sample_isotropic(control, "label", 20, mode=mode).select("label", "draw", F.posexplode("v").alias("d", "x"))
+    both = flat("matched").withColumnRenamed("x", "matched").join(flat("unit").withColumnRenamed("x", "unit"), ["label", "draw", "d"])
+    return both.select("label", "draw", "d", (F.round("matched", 5) + 0.0).alias("matched"), (F.round("unit", 5) + 0.0).alias("unit"))
+
+
+@query(f"""with w as (select vec_id, label, d, x, (vec_id % 5)::double as w from {_LONG} where vec_id % 5 > 0), m as (select label, d, count(*) as n, sum(w * x) / sum(w) as m, sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) as v from w group by label, d)
+  select label, max(n) as n, round(avg(m), 6) as mean_of_means, round(sqrt(avg(v)), 6) as sigma from m group by label""")
+def isotropic_weighted_moments(spark, d):
+    v = table(spark, d, "embeddings").withColumn("w", F.pmod("vec_id", F.lit(5)))
+    m = sampling.isotropic_moments(v, "label", "embedding", "w")
+    mean = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x) / F.size("mean")
+    return m.select("label", "n", F.round(mean, 6).alias("mean_of_means"), F.round("sigma", 6).alias("sigma"))
+
+
 @query(f"select label, max(n) as n, round(avg(m), 6) as mean_of_means, round(sqrt(avg(v)), 6) as sigma from (select label, d, count(*) as n, avg(x) as m, var_pop(x) as v from {_LONG} group by label, d) group by label")
 def isotropic_control_moments(spark, d):
     m = sampling.isotropic_moments(table(spark, d, "embeddings"), "label", "embedding")
@@ -279,8 +325,7 @@ def manifest_reuse(spark, d):
 @query(f"select label::int as label, d::int as d, count(*) as n, round(avg(x), 6) as mean, round(sqrt(var_samp(x) + 1e-10), 6) as std from {_LONG} group by label, d")
 def stream_moment_fold(spark, d):
     """The vectors as a stream of files, folded into standing moments batch by batch; equal to ``vector_moments``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    where = f"{base.rstrip('/')}/lodestone-fold-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**9}-{int(spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0])}"
+    where = f"{shared_folder(spark).rstrip('/')}/lodestone-fold-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**9}-{int(spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0])}"
     path = f"{d}/embeddings.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path if spark.read.parquet(path).inputFiles()[0].rstrip("/") != f"file://{path}" else f"{d}/embeddings.parque[t]")
     fold_moments(stream, "label", "embedding", f"{where}/state", f"{where}/checkpoint").awaitTermination()

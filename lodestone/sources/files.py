@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.folds import html_to_markdown_column
+from lodestone.operators.checks import require_own
+from lodestone.operators.mixture import expanded
 
 #: What can be prepared, and the fields in which a record's text is looked for, in order.
 EXTENSIONS = ("txt", "md", "html", "htm", "pdf")
@@ -110,9 +113,19 @@ def load_source(spark: SparkSession, loader: Callable[[SparkSession, str], DataF
         raise SourceUnavailable(f"{path}: {e}") from e
 
 
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """The metadata of a stored statistic; one without (an interrupted writer's) is unavailable, another program's foreign."""
+    try:
+        return require_own(json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]))
+    except AnalysisException as e:
+        raise SourceUnavailable(str(e).splitlines()[0]) from e
+
+
 def read_artifact(spark: SparkSession, path: str) -> DataFrame:
-    """The site rows of a stored statistic; see ``sources.sinks.write_artifact``."""
+    """The site rows of a stored statistic, compact matrices expanded; see ``sources.sinks.write_artifact``. Refused if its
+    metadata isn't of this library (``read_meta``)."""
+    read_meta(spark, path)
     try:
-        return spark.read.parquet(f"{path}/sites")
+        return expanded(spark.read.parquet(f"{path}/sites"))
     except AnalysisException as e:
         raise SourceUnavailable(str(e).splitlines()[0]) from e

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.corpora import corpus_statistics
 from lodestone.operators.documents import unique_names
+from lodestone.operators.mixture import compacted
 
 
 def if_written(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -42,10 +43,10 @@ def write_json_lines(df: DataFrame, path: str) -> dict:
     return {r.source: r.asDict() for r in stats.collect()}  # a row a source
 
 
-def write_artifact(sites: DataFrame, path: str, meta: dict | None = None) -> None:
+def write_artifact(sites: DataFrame, path: str, meta: dict | None = None, int8: bool = False) -> None:
     """Site rows under ``path/sites`` and a one-row ``path/meta``; the metadata is written last, so a reader that finds it
-    finds all."""
-    sites.write.mode("overwrite").parquet(f"{path}/sites")
+    finds all. With ``int8`` the matrices are stored in blocks of eight bits a number; ``sites`` stays as it is."""
+    (compacted(sites) if int8 else sites).write.mode("overwrite").parquet(f"{path}/sites")
     sites.sparkSession.createDataFrame([(json.dumps(meta or {}, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
