@@ -47,6 +47,17 @@ def count_tokens(df: DataFrame, text_column: str, tokenizer: str = "byte_bpe_50k
     return counted.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_chars", "n_tokens")
 
 
+def document_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
+    """``row_id, source, lang, domain, n_chars, n_tokens`` of every distinct ``row_id`` with usable text, under one spelling a
+    source, language and domain; see ``token_budget``."""
+    usable = df.filter(~is_blank(F.col("text")))
+    counted = count_tokens(usable, "text", tokenizer, directory, keep=("row_id", "source", "lang", "domain", "loaded_at"))
+    return first_delivery(counted, "row_id", "loaded_at", {
+        "source": source_name(F.col("source")), "lang": language_name(F.col("lang")), "domain": domain_name(F.col("domain")),
+        "n_chars": F.col("n_chars"), "n_tokens": F.col("n_tokens"),
+    })
+
+
 def token_budget(df: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
     """``slice, source, lang, domain, n_rows, n_chars, n_tokens`` over the distinct ``row_id`` with usable text.
 
@@ -57,12 +68,7 @@ def token_budget(df: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str
     gives the single row ``all`` with zeros. Texts never leave the task that read them: what is shuffled is
     one small row for each text, and the roll-up is a partial aggregate over exact integers.
     """
-    usable = df.filter(~is_blank(F.col("text")))
-    counted = count_tokens(usable, "text", tokenizer, directory, keep=("row_id", "source", "lang", "domain", "loaded_at"))
-    once = first_delivery(counted, "row_id", "loaded_at", {
-        "source": source_name(F.col("source")), "lang": language_name(F.col("lang")), "domain": domain_name(F.col("domain")),
-        "n_chars": F.col("n_chars"), "n_tokens": F.col("n_tokens"),
-    })
+    once = document_tokens(df, tokenizer, directory)
     cells = once.groupBy("source", "lang", "domain").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
     nothing = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "domain")], *[F.lit(0).cast("long").alias(c) for c in ("n_rows", "n_chars", "n_tokens")])
     keys = [F.col(c) for c in ("source", "lang", "domain")]

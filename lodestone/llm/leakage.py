@@ -32,7 +32,9 @@ WEIGHT = 0.5
 GAP, INTERRUPTION, INTERRUPTION_X = 5, 80, 4
 K1, B = 1.2, 0.75
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,200}?-->|\\[a-z]+\{")
+#: Tags that stand inside a word, and commands of a typesetter; any other tag parts words.
+_INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]{0,200})?/?>|<!--.{0,200}?-->|\\[a-z]+\{", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t>|*\d]*(?=[^\W\d_])")
 _LINE_MARK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t\u00a0]*(?:[>|*+#-]+|\d{1,4}(?=[ \t\u00a0]{2}))?")
 #: Scripts written without spaces have each character for a word.
@@ -52,7 +54,7 @@ def words_of(text: str) -> list[str]:
         text = unicodedata.normalize("NFKD", _MISREAD.sub(" ", text.translate(_INVISIBLE)))
         text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
     if "<" in text or "\\" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub(" ", _INLINE.sub("", text))
     text = text.lower()
     if "-" in text:
         text = _BROKEN.sub("", text)
@@ -177,15 +179,17 @@ class ItemIndex:
         return [(self.ids[k], w, x) for k, (w, x) in sorted(found.items())]
 
 
-def _shards(items: DataFrame, id_column: str, text_column: str) -> list[list[tuple[int, str]]]:
-    """The items in lists that each keep within MAX_ITEMS and MAX_ITEM_CHARS, by a checked count: one, for a usual benchmark."""
+def _shards(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists that each keep within MAX_ITEMS and MAX_ITEM_CHARS, by a checked count: one, for a usual benchmark.
+    The driver holds one at a time."""
     slim = items.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
     n, chars, longest = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
     if longest > MAX_ITEM_CHARS // 8:
         raise ValueError(f"an item has {longest} characters, more than an item may have ({MAX_ITEM_CHARS // 8})")
     k = 1 if n <= MAX_ITEMS and chars <= MAX_ITEM_CHARS else 2 * math.ceil(max(n / MAX_ITEMS, chars / MAX_ITEM_CHARS))
     parts = [slim.filter(F.pmod(F.xxhash64("id"), F.lit(k)) == i) for i in range(k)] if k > 1 else [slim]
-    return [[(r.id, r.text) for r in sorted(part.collect(), key=lambda r: (r.id, r.text))] for part in parts]
+    for part in parts:
+        yield [(r.id, r.text) for r in sorted(part.collect(), key=lambda r: (r.id, r.text))]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -14,8 +14,10 @@ from lodestone.functions.seeded import order_key
 from lodestone.operators.deliveries import first_delivery
 from lodestone.operators.ranking import with_prefix
 
-#: Blocks into which a plan's budget is cut; the schedule's size depends on this alone, never on the data.
-BLOCKS = 2048
+#: A plan's budget is cut into so many blocks at least, and a block is never larger than BLOCK_CHARS, so that however much
+#: text there is, no source fills a longer stretch of the mix; a hundred TB make some three million blocks, which one
+#: task schedules.
+BLOCKS, BLOCK_CHARS = 2048, 32_000_000
 
 
 def usable_rows(corpus: DataFrame) -> DataFrame:
@@ -74,8 +76,8 @@ def pfair_slots(shares: list[float], n_blocks: list[int]) -> list[tuple[int, int
 
 
 def schedule(targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``plan_id, source, name, target, block, slot, block_chars, until``: the Pfair schedule of each plan, at most
-    ``blocks`` plus one for each source long.
+    """``plan_id, source, name, target, block, slot, block_chars, until``: the Pfair schedule of each plan, ``blocks`` long or
+    as many as blocks of BLOCK_CHARS take, plus one for each source at most.
 
     ``until`` is how much its source has supplied after a block, ``target`` what it should supply in all; a source
     with nothing to give has one line with null block and slot. One task a plan, whose input is the plan's
@@ -84,13 +86,13 @@ def schedule(targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name")
-        size = max(float(pdf.budget.iloc[0]) / blocks, 1.0)
+        size = min(max(float(pdf.budget.iloc[0]) / blocks, 1.0), float(BLOCK_CHARS))
         give = [min(t, c) for t, c in zip(pdf.target, pdf.capacity)]
         n_blocks = [math.ceil(g / size - 1e-9) for g in give]
         slots = [(s, i, j, give[i] if j + 1 == n_blocks[i] else (j + 1) * size) for s, i, j in pfair_slots(pdf.share.tolist(), n_blocks)]
         slots += [(None, i, None, 0.0) for i, n in enumerate(n_blocks) if not n]
-        of = lambda c: [pdf[c].iloc[i] for _, i, *_ in slots]
-        out = pd.DataFrame({"plan_id": of("plan_id"), "source": of("source"), "name": of("name"), "target": of("target"), "block_chars": size, "until": [u for *_, u in slots]})
+        out = pdf[["plan_id", "source", "name", "target"]].iloc[[i for _, i, *_ in slots]].reset_index(drop=True)
+        out = out.assign(block_chars=size, until=[u for *_, u in slots])
         return out.assign(block=pd.array([j for *_, j, _ in slots], "Int64"), slot=pd.array([s for s, *_ in slots], "Int64"))
 
     slim = targets.select("plan_id", "source", "name", "share", "target", "capacity", "budget")
@@ -140,11 +142,12 @@ def mixed_rows(stream: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> D
 
 
 def mix_shares(corpus: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """What each source really reached: ``plan_id, source, target_share, target_chars, actual_chars, actual_share,
+    """What each source really reached, of the rows that the schedule gives out (``mix``): ``plan_id, source, target_share, target_chars, actual_chars, actual_share,
     n_rows`` (rows with repeats), ``max_copies``, ``short``. The share is of the plan's actual total; null where that is 0."""
     stream, targets = _parts(corpus, plan, seed)
-    used = _copies(stream, targets).groupBy("plan_id", "name").agg(F.sum(F.col("n_chars") * F.col("copies")).alias("actual_chars"), F.sum("copies").alias("n_rows"), F.max("copies").alias("max_copies"))
-    out = targets.join(used, ["plan_id", "name"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("actual_chars", "n_rows", "max_copies")})
+    used = mixed_rows(stream, targets).groupBy("plan_id", "source").agg(F.sum("n_chars").alias("actual_chars"), F.count(F.lit(1)).alias("n_rows"), F.max("copy").alias("max_copies"))
+    used = used.select(F.col("plan_id").alias("p"), F.col("source").alias("s"), "actual_chars", "n_rows", "max_copies")
+    out = targets.join(used, (F.col("plan_id") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("actual_chars", "n_rows", "max_copies")})
     total = F.sum("actual_chars").over(Window.partitionBy("plan_id"))
     return out.select("plan_id", "source", F.col("share").alias("target_share"), F.col("target").alias("target_chars"), "actual_chars", F.try_divide(F.col("actual_chars").cast("double"), total.cast("double")).alias("actual_share"), "n_rows", "max_copies", "short")
 

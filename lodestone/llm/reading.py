@@ -36,7 +36,7 @@ _LEAD = re.compile(r"^(?:[>*+•|-]+\s+|\d{1,4}[.)]?\s{1,2}(?=\S)|Q:\s*|A:\s*|[A
 _HYPHENATED = re.compile(rf"(?<=[a-z])-[ \t]*[{_BREAK}][ \t>]*(?=[a-z])")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]*_]*\s+(?=[\"'“‘(\[*_]*[A-Z0-9])")
 _TITLE = re.compile(r"\b(Dr|Mr|Mrs|Ms|St|No|vol|p|Cf|cf|e\.g|i\.e)\.\s")
-_WORD = re.compile(r"[A-Za-z]+(?:['’][a-z]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][a-z]+)?")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 

@@ -36,6 +36,8 @@ _CLUSTER = regex.compile(r"\X")
 
 def _splits_cluster(text: str, i: int) -> bool:
     """Would a cut at i part what is one character to a reader?"""
+    if i >= len(text):
+        return False
     c = text[i]
     if c < "\u0300":
         return c == "\n" and text[i - 1] == "\r"
@@ -51,12 +53,24 @@ def _sentence_ends(text: str, start: int, end: int) -> Iterator[int]:
         yield i
 
 
+def _runs(text: str, start: int, end: int, most: int) -> Iterator[int]:
+    """Ends of runs of whole characters, as a reader sees them, of at most ``most``; a longer character is one by itself."""
+    at = last = start
+    for m in _CLUSTER.finditer(text, start, end):
+        if m.end() - at > most and last > at:
+            yield last
+            at = last
+        last = m.end()
+
+
 def _atoms(text: str, most: int) -> tuple[list[int], list[int]]:
     """Starts of the atomic segments and the strength of the boundary before each.
 
     Segments are sentences and lines; only one longer than ``most`` is taken apart further, into clauses, then
-    words, then characters as a reader sees them. White space stays with the segment before it.
+    words, then runs of an eighth of it at most, of whole characters as a reader sees them. White space stays with the
+    segment before it.
     """
+    run = max(1, most // 8)
     cuts: list[tuple[int, int]] = []
     at = 0
     for m in [*_BREAK.finditer(text), None]:
@@ -79,8 +93,9 @@ def _atoms(text: str, most: int) -> tuple[list[int], list[int]]:
             finer.append(a)
             fine.append(strength)
             if b - a > most:
-                for m in (pattern or _CLUSTER).finditer(text, a, b):
-                    if finer[-1] < (i := m.end()) < b and not (pattern and _splits_cluster(text, i)):
+                ends = (m.end() for m in pattern.finditer(text, a, b) if not _splits_cluster(text, m.end())) if pattern else _runs(text, a, b, run)
+                for i in ends:
+                    if finer[-1] < i < b:
                         finer.append(i)
                         fine.append(level)
         starts, strengths = finer, fine

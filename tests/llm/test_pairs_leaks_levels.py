@@ -187,6 +187,11 @@ def test_items_of_any_length_interruption_and_script():
         assert [k for k, n, w in index.leaks(FILL + text + FILL) if n >= 0.5 and w >= 0.5] == [i]
 
 
+def test_tags_part_words_unless_they_stand_inside_one():
+    assert leakage.words_of("<p>one</p><p>two<br>three</p> f<b>ou</b>r <td>five</td><td>six</td> \\emph{seven} <em class='x'>eig</em>ht") == "one two three four five six seven eight".split()
+    assert leakage.words_of("a < b and c > d") == ["a", "b", "and", "c", "d"]
+
+
 def test_shards_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, FILL + t + FILL) for i, t in ITEMS[:3]], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -105,6 +105,28 @@ def test_mix_reaches_the_targets(spark):
     assert again.sort_values(by).reset_index(drop=True).equals(mixed.sort_values(by).reset_index(drop=True))
 
 
+def test_blocks_dont_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 50)
+    df = corpus(spark, [(i, "x" * 40, 1, "ab"[i % 2]) for i in range(300)])
+    plan = spark.createDataFrame([("p", "a", 1.0, 1, 0.9), ("p", "b", 1.0, 1, 0.9)], PLAN)
+    slots = mixing.schedule(mixing.plan_targets(plan, mixing.usable_rows(df)), blocks=2).toPandas()
+    assert (slots.block_chars == 50).all() and len(slots) == 2 * 108  # 10,800 characters
+    mixed = mixing.mix(df, plan, blocks=2).toPandas().sort_values(["slot", "place"])
+    done = (mixed.source == "a").mul(mixed.n_chars).cumsum() / mixed.n_chars.cumsum()
+    assert (done[20:] - 0.5).abs().max() < 0.1
+
+
+def test_long_runs_end_soon():
+    import time
+
+    began = time.monotonic()
+    for run in ("x" * 1_000_000, "👩\u200d👩\u200d👧" * 100_000):
+        pieces = splitting.split_text(run)
+        check(run, pieces, 3500, 200)
+        assert len(pieces) < len(run) / 2500
+    assert time.monotonic() - began < 30
+
+
 def test_mix_edges(spark):
     df = corpus(spark, [(1, "abcd", 1, "A"), (1, "abcd", 2, "A"), (2, "  ", 1, "a"), (3, None, 1, "a"), (4, "xy", 1, None), (None, "zz", 1, "a"), (None, "zz", 2, "a")])
     rows = sorted(mixing.usable_rows(df).collect(), key=str)

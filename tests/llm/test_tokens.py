@@ -63,6 +63,16 @@ def test_vocabulary_is_bounded(spark, monkeypatch, tmp_path):
         tokens.share_vocabulary(spark, tokens.vocabulary_path("byte_bpe_50k"))
 
 
+def test_tokens_of_each_document_are_as_many_as_its_ids(spark, public):
+    texts = ["One text, told once.", "Two " * 30, "日本語のテキスト", "x"]
+    rows = [(i, t, "Some-Source ", "EN_us", None, 1) for i, t in enumerate(texts)] + [(0, "later", "other", "fr", "d", 2), (9, " ", "s", "en", "d", 1), (8, None, "s", "en", "d", 1)]
+    df = spark.createDataFrame(rows, "row_id long, text string, source string, lang string, domain string, loaded_at int").withColumn("loaded_at", F.timestamp_seconds("loaded_at"))
+    got = {r.row_id: (r.source, r.lang, r.domain, r.n_tokens) for r in budget.document_tokens(df).collect()}
+    ids = {r.row_id: len(r.ids) for r in encoding.encode_corpus(df.filter("loaded_at = timestamp_seconds(1)"), "row_id", "text").collect()}
+    assert got == {i: ("some_source", "en", "unknown", ids[i]) for i in range(4)}
+    assert budget.document_tokens(df.limit(0)).count() == 0
+
+
 def test_budget_rolls_up_exactly(spark, public):
     texts = {1: "Hello world", 2: "Bonjour le monde", 3: "  ", 4: None, 5: "again and again " * 300, 6: "x"}
     rows = [
