@@ -12,8 +12,8 @@ from lodestone.functions.names import source_name
 from lodestone.functions.seeded import epoch_offset, order_key
 from lodestone.operators import chunking, corpora, documents
 from lodestone.operators.deliveries import first_delivery
-from lodestone.plans.prepare import REASONS, judged_answers
-from lodestone.sources.files import record_text
+from lodestone.plans.prepare import REASONS, generated_share, judged_answers, judged_questions
+from lodestone.sources.files import TEXT_FIELDS, record_text
 from lodestone.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -341,6 +341,14 @@ def multi_source_head_sample(spark, d):
     return corpora.head_samples(_seed_rows(spark, d), quotas).select("source", "row_id", text.fingerprint(F.col("text")).alias("text_hash"))
 
 
+@query(rf"""with h as (select * from {_LABELLED} qualify row_number() over (partition by source order by row_id) <= 6000),
+  p as (select * from h qualify row_number() over (partition by source order by sha256('42:sample:' || source || ':' || row_id)) <= 2000)
+  select source, row_id, length(substring(t, 1, 2048)) as n_chars from (select source, row_id, regexp_replace(text, '^[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}]+|[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}]+$', '', 'g') as t from p) where length(t) > 50""", longs=("n_chars",))
+def multi_source_default_sample(spark, d):
+    """The default quotas, above the limit of Spark's own group limits."""
+    return corpora.head_samples(_seed_rows(spark, d), corpora.DEFAULT_SAMPLES).select("source", "row_id", F.length("text").alias("n_chars"))
+
+
 @query(f"""with d as (select doc_id as id, row_number() over (order by {_sha('mix:first', 'doc_id')}, doc_id) as r from documents where length(text) >= 1000), p as (select pair_id as id, row_number() over (order by {_sha('mix:second', 'pair_id')}, pair_id) as r from {_PAIR_WORDS}),
   s as (select least((select count(*) from d) / 10.0::double, (select count(*) from p) / 1.0::double) as scale),
   u as (select 'first' as side, id from d, s where r <= floor(scale * 10) union all select 'second', id from p, s where r <= floor(scale))
@@ -355,17 +363,22 @@ _PY_STRIP = r"'^[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]
 
 
 def _turns(spark, d) -> DataFrame:
-    """Every instruction row as a conversation of three turns: its source as the system's, prompt and response."""
-    rows = first_delivery(table(spark, d, "seed_corpus"), "row_id", "loaded_at", {c: F.col(c) for c in ("prompt", "response", "source")})
-    turns = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role"), F.coalesce(c, F.lit("")).alias("text")) for i, (r, c) in enumerate((("system", "source"), ("user", "prompt"), ("assistant", "response")))])
-    return rows.filter("prompt is not null").select("row_id", F.explode(turns).alias("t")).select("row_id", "t.*")
-
-
-@query(rf"""select row_id, 1 as turn, sha256(case when trim(s) <> '' then 'Conversation history:' || chr(10) || 'System: ' || s || chr(10) || chr(10) || 'User: ' || p else p end) as prompt_hash, sha256(r) as response_hash from (
-  select row_id, regexp_replace(coalesce(source, ''), {_PY_STRIP}) as s, regexp_replace(prompt, {_PY_STRIP}) as p, regexp_replace(coalesce(response, ''), {_PY_STRIP}) as r from {_ONCE} where prompt is not null) where p <> '' and r <> ''""")
+    """The pairs written from one passage as a conversation: question and answer by turns, in the order of their ids."""
+    pairs = _pairs(spark, d).select("pair_id", "question", "answer")
+    places = first_delivery(table(spark, d, "supplement"), "pair_id", "loaded_at", {c: F.col(c) for c in ("source_index", "passage_index")})
+    turns = F.array(*[F.struct((F.col("pair_id") * 2 + i).alias("turn"), F.lit(r).alias("role"), F.coalesce(c, F.lit("")).alias("text")) for i, (r, c) in enumerate((("user", "question"), ("assistant", "answer")))])
+    return pairs.join(places, "pair_id").select(F.concat_ws("/", "source_index", "passage_index").alias("conversation"), F.explode(turns).alias("t")).select("conversation", "t.*")
+
+
+@query(rf"""with p as (select pair_id, concat_ws('/', source_index, passage_index) as conversation, coalesce(question, '') as q, coalesce(answer, '') as a from (
+    select pair_id, any_value(source_index) as source_index, any_value(passage_index) as passage_index, any_value(question) as question, any_value(answer) as answer from supplement group by pair_id)),
+  t as (select conversation, pair_id * 2 as turn, 'User' as role, q as text from p union all select conversation, pair_id * 2 + 1, 'Assistant', a from p),
+  s as (select *, regexp_replace(text, {_PY_STRIP}) as said from t),
+  w as (select *, lead(said) over o as reply, string_agg(case when said <> '' then role || ': ' || said end, chr(10) || chr(10)) over (partition by conversation order by turn rows between unbounded preceding and 1 preceding) as before from s window o as (partition by conversation order by turn))
+  select conversation, turn, sha256(case when before is not null then 'Conversation history:' || chr(10) || before || chr(10) || chr(10) || 'User: ' || said else said end) as prompt_hash, sha256(reply) as response_hash from w where role = 'User' and said <> '' and reply <> ''""")
 def conversation_history_pairs(spark, d):
-    pairs = corpora.turn_pairs(_turns(spark, d), "row_id", "turn")
-    return pairs.select("row_id", "turn", text.fingerprint(F.col("prompt")).alias("prompt_hash"), text.fingerprint(F.col("response")).alias("response_hash"))
+    pairs = corpora.turn_pairs(_turns(spark, d), "conversation", "turn")
+    return pairs.select("conversation", "turn", text.fingerprint(F.col("prompt")).alias("prompt_hash"), text.fingerprint(F.col("response")).alias("response_hash"))
 
 
 @query(rf"""with m as (select message_id, arg_max({{'p': parent_id, 'r': role, 'l': lang, 't': text}}, {{'a': loaded_at, 't': text}}) as v from messages group by message_id),
@@ -388,6 +401,16 @@ def pair_quota_extract(spark, d):
     return corpora.pair_quota(rows.filter("prompt is not null"), 30).select("source", "row_id", text.fingerprint(F.col("prompt")).alias("prompt_hash"), "taken")
 
 
+@query(rf"""with x as (select row_id, prompt, response, case when s is null or s = '' then 'unknown' else s end as source from (select row_id, prompt, response, {_SOURCE_NAME} as s from {_ONCE} where prompt is not null)),
+  k as (select * from x qualify row_number() over (partition by source order by sha256('42:pairs:' || source || ':' || row_id), row_id) <= 15000)
+  select source, row_id, row_number() over (partition by source order by sha256('42:pairs:' || source || ':' || row_id), row_id) as taken from k
+  where length(substring(regexp_replace(prompt, {_PY_STRIP}), 1, 2048)) > 20 and length(substring(regexp_replace(response, {_PY_STRIP}), 1, 2048)) > 20 qualify taken <= 5000""", longs=("taken",))
+def pair_quota_default(spark, d):
+    """The default quota, above the limit of Spark's own group limits."""
+    rows = first_delivery(table(spark, d, "seed_corpus"), "row_id", "loaded_at", {"prompt": F.col("prompt"), "response": F.col("response"), "source": source_name(F.col("source"))})
+    return corpora.pair_quota(rows.filter("prompt is not null"), 5000).select("source", "row_id", "taken")
+
+
 @query(rf"""select row_id, sha256(case when x = '' then i else i || chr(10) || chr(10) || 'Context: ' || x end) as prompt_hash from (
   select row_id, regexp_replace(prompt, {_PY_STRIP}) as i, regexp_replace(coalesce(source, ''), {_PY_STRIP}) as x from {_ONCE} where prompt is not null) where i <> ''""")
 def instruction_prompts(spark, d):
@@ -395,11 +418,15 @@ def instruction_prompts(spark, d):
     return rows.select("row_id", text.instruction_prompt(F.col("prompt"), F.col("source"), "Context").alias("p")).filter("p is not null").select("row_id", text.fingerprint(F.col("p")).alias("prompt_hash"))
 
 
-@query("select row_id, sha256(coalesce(text, '')) as text_hash from (select row_id, any_value(text) as text from seed_corpus group by row_id)")
+@query(rf"""select row_id, sha256(t) as text_hash from (select row_id, case when row_id % 6 < 5 then text else nullif(trim(concat_ws(chr(10), prompt, response), ' '), '') end as t from (
+  select row_id, any_value(text) as text, any_value(prompt) as prompt, any_value(response) as response from seed_corpus group by row_id))""")
 def json_record_text(spark, d):
-    rows = _seed_rows(spark, d)
-    record = F.to_json(F.struct(F.col("row_id").alias("content"), F.coalesce("text", F.lit("")).alias("body")))  # a number is no text: the next field counts
-    return rows.select("row_id", text.fingerprint(record_text(record)).alias("text_hash"))
+    """Records whose text stands in one field or another, after fields that hold a number or an object; or is a pair."""
+    rows = first_delivery(table(spark, d, "seed_corpus"), "row_id", "loaded_at", {c: F.col(c) for c in ("text", "prompt", "response")})
+    at = F.pmod("row_id", F.lit(6))
+    own = [F.when(at == i, F.to_json(F.struct(*[F.col("row_id").alias(n) for n in TEXT_FIELDS[:i]], F.col("text").alias(name), F.lit("later").alias("z")))) for i, name in enumerate(TEXT_FIELDS)]
+    pair = F.to_json(F.struct("prompt", "response", F.struct(F.lit("not text").alias("text")).alias("body")))
+    return rows.select("row_id", text.fingerprint(record_text(F.coalesce(*own, pair))).alias("text_hash"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------
@@ -433,7 +460,10 @@ def split_no_text_lost(spark, d):
     return pieces.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", "[ \\n]", ""))).cast("int").alias("n_visible"))
 
 
-@query()
+@query(r"""select doc_id, generate_subscripts(done, 1) - 1 as passage_index, unnest(done) as passage from (
+  select doc_id, list_filter(list_reduce(list_transform(ps, lambda p: {'done': [p], 'held': length(p)}), lambda a, x: case when len(a.done) > 0 and a.held + x.held <= 4000
+      then {'done': list_append(a.done[:-2], a.done[-1] || chr(10) || chr(10) || x.done[1]), 'held': a.held + x.held + 2} else {'done': list_append(a.done, x.done[1]), 'held': x.held} end, {'done': []::varchar[], 'held': 0::bigint}).done, lambda d: length(d) >= 200) as done
+  from (select doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '[^\t-\r\x{1C}-\x{20}\x{85}\p{Z}]')) as ps from documents where text is not null))""", longs=("passage_index",))
 def passages_4000(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(folds.passages_column(F.col("text"))).alias("passage_index", "passage"))
 
@@ -471,22 +501,82 @@ def answer_length_tally(spark, d):
     return corpora.rejection_tally(p.select(F.when(q.rlike(text.LEAKED_JSON), "leaked_json").when(F.length(a) < 40, "short_answer").alias("reason")).filter("reason is not null"), ["leaked_json", "short_answer"])
 
 
-@query()
+#: The patterns of ``functions.text`` for an engine without look-ahead: what a match must not go on with is a second, longer pattern, and
+#: a text has such a match if it has fewer of the longer than of the shorter.
+_PASSAGE = r"\b(?:the|this|that)\s+(?:(?:given|provided|above|original|same)\s+)?(?:passage|excerpt)\b"
+_FROM_PASSAGE = r"\b(?:in|from|according\s+to|based\s+on|within)\s+(?:the|this|that)\s+(?:(?:given|provided|above|original|same)\s+)?(?:passage|excerpt)\b"
+_FROM_TEXT = r"\b(?:according\s+to|in|from|based\s+on|within|by)\s+(?:the|this)\s+(?:(?:given|provided|above|original|same)\s+)?text\b"
+_OF_TEXT = r"\bin\s+the\s+context\s+of\s+the\s+text\b"
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _more(c: str, pattern: str, not_then: str) -> str:
+    return f"len(regexp_extract_all({c}, '(?i){_q(pattern)}')) > len(regexp_extract_all({c}, '(?i){_q(pattern + not_then)}'))"
+
+
+def _cites(c: str) -> str:
+    plain = "|".join(p.replace("(?i)", "") for p in text.SOURCE_TEXT.split("|" + r"\b(?:the|this)\s+(?:given", 1)[1:])
+    plain = r"\b(?:the|this)\s+(?:given" + plain.split(r"|\bin\s+the\s+context")[0]
+    return f"({_more(c, _PASSAGE, r'\s+(?:of|through|to|from|between|across|into|way)\b')} or {_more(c, _FROM_PASSAGE, r'\s+(?:of|from)\b')} or {_more(c, _FROM_TEXT, r'\s+of\b')} or {_more(c, _OF_TEXT, r'\s*\w')} or regexp_matches({c}, '(?i){_q(plain)}'))"
+
+
+_JSON_ANSWER = text.JSON_ANSWER
+_REFERS = f"({_cites('q')} or {_cites('a')} or (regexp_matches(a, '{_q(text.AUTHOR_REPORTS)}') and not regexp_matches(q, '{_q(text.NAMES_AUTHOR)}')))"
+_LEAKS = f"(regexp_matches(q, '{_q(text.LEAKED_JSON)}') or regexp_matches(a, '{_q(_JSON_ANSWER)}'))"
+
+
+@query(f"""with p as (select pair_id, coalesce(question, '') as q, regexp_replace(coalesce(answer, ''), {_PY_STRIP}) as a from {_PAIR_N}),
+  r as (select case when {_LEAKS} then 'leaked_json' when {_REFERS} then 'refers_to_source' when length(a) < 40 then 'short_answer' end as reason from p)
+  select v.reason, count(r.reason) as n from (values {', '.join(f"('{x}')" for x in REASONS)}) v(reason) left join r using (reason) group by v.reason""")
 def question_filter_tally(spark, d):
     judged = judged_answers(_pairs(spark, d).withColumn("output", F.concat(F.coalesce("answer", F.lit("")), F.lit("<|im_end|>"))), "question", "output", ["<|im_end|>"])
     return corpora.rejection_tally(judged.filter("reason is not null"), REASONS)
 
 
-@query()
+_TIDY = r"trim(regexp_replace(coalesce(question, ''), '[^A-Za-z0-9?]+', ' ', 'g'))"
+
+
+@query(f"""with p as (select pair_id, {_TIDY} as q, '' as a from {_PAIR_N}), f as (select *, case when not regexp_matches(q, '[A-Za-z0-9]') then 'unparseable_passage' when {_LEAKS} then 'leaked_json' when {_cites('q')} then 'refers_to_source' end as reason from p)
+  select pair_id, coalesce(reason, case when pair_id > min(case when reason is null then pair_id end) over (partition by q) then 'duplicate' end) as reason from f""")
+def first_pass_reasons(spark, d):
+    """The first pass of a supplement: a writer's questions judged, each a duplicate of an equal one kept earlier."""
+    outputs = _pairs(spark, d).select("pair_id", F.to_json(F.array(F.trim(F.regexp_replace(F.coalesce("question", F.lit("")), "[^A-Za-z0-9?]+", " ")))).alias("output"))
+    return judged_questions(outputs, ["pair_id"], "output").select("pair_id", "reason")
+
+
+@query(f"""select pair_id, case when not regexp_matches(q, '[A-Za-z0-9]') or (pair_id % 5 = 4 and not ends_with(q, '?')) then [] else [q] end as questions from (select pair_id, {_TIDY} as q from {_PAIR_N})""")
 def parsed_questions(spark, d):
-    written = F.concat(F.lit('Here they are: ["'), F.replace(F.coalesce("question", F.lit("")), F.lit('"'), F.lit("'")), F.lit('"] done'))
+    """Every question as a writer may put it: in a JSON array, as an object's field, in single quotes, in an array that is broken
+    off, on a line of its own."""
+    q = F.trim(F.regexp_replace(F.coalesce("question", F.lit("")), "[^A-Za-z0-9?]+", " "))
+    shapes = [('Here they are: ["', '"] done'), ('[1] then [{"answer": "None.", "question": "', '"}]'), ("I ask: ['", "'] and so on"), ('[{"question": "', '", "answer": "It is cut'), ("My questions\n  3. ", "\nwere these.")]
+    at = F.pmod("pair_id", F.lit(5))
+    written = F.coalesce(*[F.when(at == i, F.concat(F.lit(a), q, F.lit(b))) for i, (a, b) in enumerate(shapes)])
     return _pairs(spark, d).select("pair_id", folds.parse_questions_column(written).alias("questions"))
 
 
-@query("select distinct source, case when regexp_replace(coalesce(source, ''), '[_-]+', ' ', 'g') = '' then 'the domain' else trim(regexp_replace(source, '[_-]+', ' ', 'g')) end as domain from documents where not contains(coalesce(source, ''), '/') and not regexp_matches(coalesce(source, ''), '[.][A-Za-z0-9]{1,5}$')")
+_GENERIC = ", ".join(f"'{n}'" for n in text.GENERIC_NAMES)
+
+
+@query(f"""select source, path, coalesce(list_filter(list_transform(list_reverse(string_split(regexp_replace(path, '[.][A-Za-z0-9]{{1,5}}$', ''), '/')), lambda x: trim(regexp_replace(x, '[_-]+', ' ', 'g'))), lambda x: x <> '' and lower(x) not in ({_GENERIC}))[1], 'the domain') as domain
+  from (select distinct source, unnest(['/data/' || coalesce(source, '') || '/train', 'corpus/' || coalesce(source, '') || '.v2', 'texts/Held_Out/' || coalesce(source, '-') || '/clean/docs.txt']) as path from documents)""")
 def domain_names(spark, d):
-    own = table(spark, d, "documents").select("source").distinct().filter(~F.coalesce("source", F.lit("")).rlike("/|[.][A-Za-z0-9]{1,5}$"))
-    return own.select("source", text.domain_of_path(F.concat(F.lit("/data/"), F.coalesce("source", F.lit("")), F.lit("/train"))).alias("domain"))
+    s = F.coalesce("source", F.lit(""))
+    paths = F.array(F.concat(F.lit("/data/"), s, F.lit("/train")), F.concat(F.lit("corpus/"), s, F.lit(".v2")), F.concat(F.lit("texts/Held_Out/"), F.coalesce("source", F.lit("-")), F.lit("/clean/docs.txt")))
+    own = table(spark, d, "documents").select("source").distinct().select("source", F.explode(paths).alias("path"))
+    return own.select("source", "path", text.domain_of_path(F.col("path")).alias("domain"))
+
+
+@query("""select case when n < 3 then 'rejected' when n % 5 = 0 then 'rejected' else 'kept' end as outcome, count(*) as n from (select g % 9 as n from range(450) r(g)) group by 1""")
+def generated_tally(spark, d):
+    """Draws of a stand-in generator: too short, looping, or kept."""
+    del d
+    draw = lambda ids: ["one two three four five six seven eight nine. " * (5 if i % 9 % 5 == 0 else 1) + " ".join(f"w{i}x{k}" for k in range(0 if i % 9 < 3 else 60)) if i % 9 % 5 else "la " * (400 if i % 9 >= 3 else 2) for i in ids]
+    kept, tally = generated_share(spark, draw, 450, ["<end>"], min_chars=200, max_repeat=0.5)
+    return spark.createDataFrame([("kept", kept.count()), ("rejected", tally["rejected"])], "outcome string, n long")
 
 
 @query(f"select doc_id, {_sha('order', 'doc_id')} as key from documents")

@@ -93,6 +93,16 @@ def reservoir_sample(spark, d):
     return vectors.reservoir(table(spark, d, "embeddings"), "label", "vec_id", 20).select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
+_LINES = "(select l_orderkey * 10 + l_linenumber as id, l_returnflag as flag from lineitem)"
+
+
+@query(f"select flag, id, row_number() over (partition by flag order by {_sha('reservoir', "flag || ':' || id")}, id) as place from {_LINES} qualify place <= 5000")
+def reservoir_large(spark, d):
+    """Reservoirs of more rows than Spark's own group limits go up to."""
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("flag"))
+    return vectors.reservoir(lines, "flag", "id", 5000).select("flag", "id", F.col("place").cast("long").alias("place"))
+
+
 @query()
 def pca_eigenvalues(spark, d):
     p = vectors.principal_axes(vectors.covariance_rows(table(spark, d, "embeddings"), "label", "embedding"), "label")
@@ -294,13 +304,18 @@ def level_shape(spark, d):
     return medians.select("class", F.round("median", 6).alias("median"), F.round("floor_median", 6).alias("floor_median"), F.round("times_floor", 4).alias("times_floor"))
 
 
-@query("""with s as (select l_shipmode as axis, stage, avg(v) as v from (select l_linestatus as l_shipmode, l_returnflag as stage, l_extendedprice as v from lineitem) group by all),
-  w as (select axis, max(v) filter (where stage = 'A') as A, max(v) filter (where stage = 'N') as N, max(v) filter (where stage = 'R') as R from s group by axis)
-  select axis, round(A, 4) as A, round(N, 4) as N, round(R, 4) as R, round_even((N - A) / nullif(A, 0) * 100, 1) + 0.0::double as N_delta_pct, round_even((R - A) / nullif(A, 0) * 100, 1) + 0.0::double as R_delta_pct from w""")
+_EPOCHS = ["e1", "e2", "e3"]
+
+
+@query("""with s as (select run_id || '/' || stage as axis, epoch, avg(val_perplexity) as v from run_history where epoch <= 3 group by all),
+  w as (select axis, max(v) filter (where epoch = 1) as e1, max(v) filter (where epoch = 2) as e2, max(v) filter (where epoch = 3) as e3 from s group by axis)
+  select axis, round(e1, 4) as e1, round(e2, 4) as e2, round(e3, 4) as e3, round_even((e2 - e1) / nullif(e1, 0) * 100, 1) + 0.0::double as e2_delta_pct, round_even((e3 - e1) / nullif(e1, 0) * 100, 1) + 0.0::double as e3_delta_pct from w""")
 def perplexity_table(spark, d):
-    scores = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("axis"), F.col("l_returnflag").alias("stage")).agg(F.avg("l_extendedprice").alias("v"))
-    t = metrics.perplexity_table(scores, "axis", "stage", "v", ["A", "N", "R"])
-    return t.select("axis", *[F.round(c, 4).alias(c) for c in ("A", "N", "R")], "N_delta_pct", "R_delta_pct")
+    """The held-out perplexity of each run and stage after its first epochs, and its change; null where nothing was held out."""
+    own = table(spark, d, "run_history").filter("epoch <= 3")
+    scores = own.groupBy(F.concat_ws("/", "run_id", "stage").alias("axis"), F.concat(F.lit("e"), F.col("epoch")).alias("stage")).agg(F.avg("val_perplexity").alias("v"))
+    t = metrics.perplexity_table(scores, "axis", "stage", "v", _EPOCHS)
+    return t.select("axis", *[F.round(c, 4).alias(c) for c in _EPOCHS], *[(F.col(f"{c}_delta_pct") + 0.0).alias(f"{c}_delta_pct") for c in _EPOCHS[1:]])
 
 
 @query(f"""select run_id, stage, turned_epoch::double as turned_epoch, case when turned_epoch is not null then last_value(run_id) over (partition by stage, turned_epoch order by started, run_id rows between unbounded preceding and 1 preceding) end as rerun_of from (
