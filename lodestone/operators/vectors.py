@@ -32,6 +32,11 @@ def _merged(parts: DataFrame, keys: tuple[str, ...], merge, schema: str) -> Data
     return level.groupBy(*keys).applyInPandas(in_order, schema)
 
 
+def _rows(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows that begin with a site; a null one is None whatever its type."""
+    return pd.DataFrame([(None if s is None or s != s else s, *r) for s, *r in rows], columns=columns, dtype=object)
+
+
 def _part() -> int:
     return TaskContext.get().partitionId()
 
@@ -62,14 +67,14 @@ def moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
                 mean = x.mean(0)
                 block = (float(len(x)), mean, ((x - mean) ** 2).sum(0))
                 held[s] = _chan(*held[s], *block) if s in held else block
-        yield pd.DataFrame([(s, int(n), mean, m2, _part()) for s, (n, mean, m2) in held.items()], columns=["site", "n", "mean", "m2", "part"])
+        yield _rows([(s, int(n), mean, m2, _part()) for s, (n, mean, m2) in held.items()], ["site", "n", "mean", "m2", "part"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = (0.0, np.zeros(0), np.zeros(0))
         for n, mean, m2 in zip(pdf.n, pdf["mean"], pdf.m2):
             total = _chan(*total, float(n), np.asarray(mean), np.asarray(m2))
         n, mean, m2 = total
-        return pd.DataFrame([(pdf.site.iloc[0], int(n), mean, m2)], columns=["site", "n", "mean", "m2"])
+        return _rows([(pdf.site.iloc[0], int(n), mean, m2)], ["site", "n", "mean", "m2"])
 
     schema = f"site {kind}, n long, mean array<double>, m2 array<double>, part int"
     whole = _merged(slim.mapInPandas(partial, schema), ("site",), merge, schema)
@@ -97,7 +102,7 @@ def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
                 else:
                     held[s] = (n, mean, gram)
         for s, (n, mean, gram) in held.items():
-            yield pd.DataFrame({"site": s, "i": range(len(mean)), "n": n, "mean": [mean] * len(mean), "gram": list(gram), "part": _part()})
+            yield _rows([(s, i, n, mean, row, _part()) for i, row in enumerate(gram)], ["site", "i", "n", "mean", "gram", "part"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         i, n, mean, row = int(pdf.i.iloc[0]), 0, None, None
@@ -109,7 +114,7 @@ def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
             d = m2 - mean
             row = row + g2 + d[i] * d * (n * n2 / (n + n2))
             mean, n = mean + d * (n2 / (n + n2)), int(n + n2)
-        return pd.DataFrame([(pdf.site.iloc[0], i, n, mean, row)], columns=["site", "i", "n", "mean", "gram"])
+        return _rows([(pdf.site.iloc[0], i, n, mean, row)], ["site", "i", "n", "mean", "gram"])
 
     schema = f"site {kind}, i int, n long, mean array<double>, gram array<double>, part int"
     whole = _merged(slim.mapInPandas(partial, schema), ("site", "i"), merge, schema)

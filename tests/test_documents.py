@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import documents, ranking
+from lodestone.operators import documents, lineage, ranking
 from lodestone.functions.seeded import order_key
 from lodestone.operators.deliveries import first_delivery
 from lodestone.plans import prepare
@@ -196,10 +196,36 @@ def test_sinks(spark, tmp_path):
         sinks.write_batch(df, str(tmp_path / "b"), 0)
     sinks.write_batch(df, str(tmp_path / "b"), 1)
     assert spark.read.parquet(str(tmp_path / "b")).count() == 4
-    sinks.write_artifact(df, str(tmp_path / "art"), {"version": 1})
+    sinks.write_artifact(df, str(tmp_path / "art"), {"version": 1, "built_with": "lodestone"})
     assert files.read_artifact(spark, str(tmp_path / "art")).count() == 2
 
 
+def test_a_failed_read_is_not_an_empty_folder(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x")], "stem string, o int, text string")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|file"):
+        sinks.write_documents(df, str(tmp_path / "bad"), "stem", "o")
+    assert sinks.if_written(lambda: spark.read.parquet(str(tmp_path / "none"))) is None
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared"}
+    assert lineage.shared_folder(Session()) == "hdfs://shared"
+
+
 def test_supplement_and_generated_corpus_with_injected_writers(spark):
     docs = spark.createDataFrame([(1, "para one " * 40), (2, "tiny")], "doc long, text string")
     ask = lambda ps: ['["What is it?", "What is it?", "What does the passage say?"]' for _ in ps]

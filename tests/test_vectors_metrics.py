@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import metrics, mixture, sampling, vectors
-from lodestone.sources import store
+from lodestone.functions.seeded import order_key
+from lodestone.operators import checks, metrics, mixture, ranking, sampling, vectors
+from lodestone.sources import files, sinks, store, tables
 from lodestone.streaming.fold import fold_moments, folded
 
 
@@ -109,6 +110,89 @@ def test_reservoir_and_permutation_keep_what_they_must(spark, cloud):
     assert iso.n == 200 and iso.sigma > 0
 
 
+@pytest.mark.parametrize("n", [20, 1001, 200_000])
+def test_no_task_takes_a_whole_group_however_large_the_reservoir(spark, n):
+    """A hot site of 250,000 vectors: the window is over buckets of it, and only those that hold the first n are kept."""
+    df = spark.range(260_000).select("id", (F.col("id") % 26 == 0).cast("int").alias("site"))
+    out = vectors.reservoir(df, "site", "id", n, seed=1)
+    assert "windowspecdefinition(site" in (plan := out._jdf.queryExecution().toString()) and "windowspecdefinition(site#" in plan and "_bucket" in plan
+    got = out.groupBy("site").agg(F.count("*").alias("c"), F.max("place").alias("m"), F.count_distinct("place").alias("d")).collect()
+    assert {r.site: (r.c, r.m, r.d) for r in got} == {0: (min(n, 250_000),) * 3, 1: (min(n, 10_000),) * 3}
+    key = order_key(1, "reservoir", F.col("site"), F.col("id"))
+    want = [r.id for r in df.filter("site = 1").orderBy(key, "id").limit(50).collect()]
+    assert [r.id for r in out.filter("site = 1 and place <= 50").orderBy("place").collect()] == want[: min(n, 50)]
+
+
+def test_first_rows_of_each_group(spark):
+    rows = [(i, g, f"k{i % 17:02}{i:05}") for i, g in enumerate([None] * 30 + ["a"] * 500 + ["b"] * 3)]
+    df = spark.createDataFrame(rows, "id long, g string, o string").withColumn("n", F.when(F.col("g") == "a", 40).otherwise(2))
+    got = {(r.g, r.place): r.o for r in ranking.first_of_each(df.repartition(6), "g", F.col("n"), order="o").collect()}
+    want = {}
+    for g, n in ((None, 2), ("a", 40), ("b", 2)):
+        want |= {(g, k): o for k, o in enumerate(sorted(o for _, h, o in rows if h == g)[:n], 1)}
+    assert got == want
+    assert ranking.first_of_each(df.limit(0), "g", 3, order="id").count() == 0
+
+
+def test_partial_results_of_many_tasks_merge_on_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MERGE_GROUPS", 3)
+    x = np.random.default_rng(5).normal(4, 2, (200, 3))
+    df = spark.createDataFrame([(i, None if i % 4 else "s", r.tolist()) for i, r in enumerate(x)], "id long, site string, v array<double>").repartition(23)
+    for r in vectors.moments(df, "site", "v").collect():
+        own = x[::4] if r.site else x[[i for i in range(200) if i % 4]]
+        assert r.n == len(own) and np.allclose(r["mean"], own.mean(0)) and np.allclose(r.std, np.sqrt(own.var(0, ddof=1) + 1e-10))
+    cov = {(r.site, r.i): r["cov"] for r in vectors.covariance_rows(df, "site", "v").collect()}
+    assert np.allclose([cov["s", i] for i in range(3)], np.cov(x[::4].T, bias=True))
+
+
+def test_draws_from_a_table_and_isotropic_controls(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [0.0, 2.0], 1), (3, [9.0, 9.0], 0), (4, [8.0, 8.0], None)], "item long, v array<double>, w int")
+    drawn = sampling.sample_lookup(table, "item", "v", 2000, weight="w").toPandas()
+    assert len(drawn) == 2000 and set(drawn.item) == {1, 2} and abs((drawn.item == 1).mean() - 0.75) < 0.05
+    assert all(list(v) == ([1.0, 0.0] if i == 1 else [0.0, 2.0]) for i, v in zip(drawn.item, drawn.v))
+    assert set(sampling.sample_lookup(table, "item", "v", 200).toPandas().item) == {1, 2, 3, 4}
+    assert sampling.sample_lookup(table.limit(0), "item", "v", 5).count() == 0
+    control = sampling.isotropic_moments(table.withColumn("site", F.lit("s")), "site", "v", "w")
+    r = control.first()
+    assert np.allclose(r["mean"], [0.75, 0.5]) and np.isclose(r.sigma, np.sqrt((0.1875 + 0.75) / 2))
+    x = np.stack(sampling.sample_isotropic(control, "site", 3000).toPandas().v)
+    assert np.allclose(x.mean(0), [0.75, 0.5], atol=0.06) and np.allclose(x.std(0), r.sigma, atol=0.05)
+    unit = np.stack(sampling.sample_isotropic(control, "site", 3000, mode="unit").toPandas().v)
+    assert np.allclose(unit.mean(0), 0, atol=0.08) and np.allclose(unit.std(0), 1, atol=0.06)
+    with pytest.raises(ValueError):
+        sampling.sample_isotropic(control, "site", 3, mode="other")
+    stats = spark.createDataFrame([("s", [0.0, 0.0], [1.0, 1.0]), ("t", [5.0, 5.0], [0.1, 0.1]), ("u", None, None)], "site string, mean array<double>, std array<double>")
+    best = sampling.sample_best(stats, "site", 50, lookup=table, lookup_site="s", weight="w").toPandas()
+    assert best.groupby("site").rung.unique().map(list).to_dict() == {"s": ["lookup"], "t": ["diagonal"]} and (best.site == "s").sum() == 50
+
+
+def test_statistics_are_stored_compactly_and_checked(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    axes = rng.normal(size=(9, 3))
+    sites = spark.createDataFrame([("a", [0.5] * 9, axes.tolist(), [[1.0, 2.0]]), ("b", [0.5] * 9, None, [])], "site string, mean array<double>, pca_components array<array<double>>, gmm_means array<array<double>>")
+    path = str(tmp_path / "int8")
+    sinks.write_artifact(sites, path, checks.make_meta("m", 9, 1, ["a", "b"], 7), int8=True)
+    back = {r.site: r for r in files.read_artifact(spark, path).collect()}
+    assert np.abs(np.array(back["a"].pca_components) - axes).max() < 0.02 * np.abs(axes).max() and back["a"]["mean"] == [0.5] * 9
+    assert back["b"].pca_components is None and back["b"].gmm_means == [] and np.allclose(back["a"].gmm_means, [[1, 2]], atol=0.02)
+    assert dict(spark.read.parquet(f"{path}/sites").dtypes)["pca_components"].startswith("struct")
+    sinks.write_artifact(sites, str(tmp_path / "other"), {"built_with": "another"})
+    with pytest.raises(checks.ForeignArtifact):
+        files.read_artifact(spark, str(tmp_path / "other"))
+    with pytest.raises(files.SourceUnavailable):
+        files.read_artifact(spark, str(tmp_path / "none"))
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    spark.range(1000).withColumn("t", F.lit("x")).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    wide = tables.read_table(spark, str(tmp_path), "one")
+    assert "REPARTITION_BY_NUM" in wide._jdf.queryExecution().toString() and wide.count() == 1000
+    kept = wide.filter("id < 5").select("id")
+    assert "GreaterThan" in (p := kept._jdf.queryExecution().toString()) or "LessThan" in p
+    behind = wide.groupBy("t").count()
+    assert tables.spread(behind) is behind
+
+
 def test_categorical_draws_follow_the_weights(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.0), ("d", None)], "item string, w double")
     got = {r.item: r["count"] for r in sampling.sample_categorical(w, "item", "w", 4000).groupBy("item").count().collect()}
@@ -271,8 +355,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["train"]) == 2
     rng = np.random.default_rng(0)
     spark.createDataFrame([(i, "s", rng.normal(size=3).tolist()) for i in range(60)], "vec_id long, site string, v array<double>").write.parquet(str(tmp_path / "v"))
-    assert cli.main(["build-artifact", "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "a"), "--model", "m", "--components", "2"]) == 0
+    assert cli.main(["build-artifact", "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "a"), "--model", "m", "--components", "2", "--int8"]) == 0
+    assert {k: v for k, v in files.read_meta(spark, str(tmp_path / "a")).items() if k in ("hidden_size", "sites", "n_samples_total")} == {"hidden_size": 3, "sites": ["s"], "n_samples_total": 60}
     assert cli.main(["extend", "--artifact", str(tmp_path / "a"), "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "b"), "--name", "d"]) == 0
+    assert cli.main(["extend", "--artifact", str(tmp_path / "b"), "--vectors", str(tmp_path / "v"), "--out", str(tmp_path / "c"), "--name", "d"]) == 2  # folded in already
     (tmp_path / "scores.json").write_text('{"axis": "a", "stage": "before", "value": 10.0}\n{"axis": "a", "stage": "after", "value": 9.0}\n')
     capsys.readouterr()
     assert cli.main(["evaluate", "--scores", str(tmp_path / "scores.json")]) == 0
