@@ -95,15 +95,33 @@ def list_artifacts(a) -> list[dict]:
     return store.ResultStore(a.root).entries()
 
 
+def load_yaml(f):
+    try:
+        import yaml
+    except ImportError:
+        raise files.MissingExtra("a YAML specification takes the yaml package; write it as JSON") from None
+    return yaml.safe_load(f)
+
+
 def chain(a) -> list[dict]:
     with open(a.spec) as f:
-        steps = json.load(f)
-    known = {"prepare-domain": _stage(prepare_domain), "build-artifact": _stage(build_artifact), "extend": _stage(extend)}
-    return store.run_chain(steps, known, store.Ledger(a.ledger))
+        steps = load_yaml(f) if a.spec.endswith((".yaml", ".yml")) else json.load(f)
+    known = {name: _stage(run) for name, run in (("prepare-domain", prepare_domain), ("prepare-seed-corpus", prepare_seed_corpus), ("prepare-supplement", prepare_supplement), ("build-artifact", build_artifact), ("extend", extend), ("evaluate", evaluate))}
+    return store.run_chain(steps, known, store.Ledger(a.ledger), a.resume)
 
 
 def _stage(command):
-    return lambda **options: command(argparse.Namespace(**options))
+    """A command as a stage: options that aren't given have the command line's defaults."""
+    name = command.__name__.replace("_", "-")
+
+    def run(**options):
+        sub = next(x for x in parser()._subparsers._group_actions).choices[name]
+        defaults = {x.dest: x.default for x in sub._actions if x.dest != "help"}
+        if unknown := set(options) - set(defaults):
+            raise ValueError(f"{name}: unknown options {sorted(unknown)}")
+        return command(argparse.Namespace(**{**defaults, **options}))
+
+    return run
 
 
 def check_settings(a) -> dict:
@@ -131,7 +149,7 @@ def parser() -> argparse.ArgumentParser:
     command("extend", extend, req("--artifact"), req("--vectors"), req("--out"), req("--name"), opt("--need", type=int, default=40000), *common)
     command("evaluate", evaluate, req("--scores"), opt("--stages", nargs="+", default=["before", "after"]))
     command("list-artifacts", list_artifacts, req("--root"))
-    command("chain", chain, opt("spec"), req("--ledger"))
+    command("chain", chain, opt("spec"), req("--ledger"), opt("--resume", action="store_true"))
     command("check-settings", check_settings, opt("path"), opt("--rank", type=int))
     for name in MODEL_COMMANDS:
         command(name, None)

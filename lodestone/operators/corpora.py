@@ -13,6 +13,22 @@ MIN_TEXT, MIN_SIDE, MAX_CHARS = 50, 20, 2048
 #: The samples each source gives by default.
 DEFAULT_SAMPLES = {"redpajama_arxiv": 2000, "redpajama_wikipedia": 2000, "redpajama_github": 2000, "redpajama_stackexchange": 2000, "redpajama_book": 2000, "redpajama_web": 2000}
 
+#: How many rows of each source the composed corpus has, text and instruction rows.
+COMPOSITION = {
+    "pretraining": {"redpajama_arxiv": 1524, "redpajama_book": 1998, "redpajama_wikipedia": 1995, "redpajama_stackexchange": 2000, "redpajama_web": 1999, "redpajama_github": 147},
+    "instruction": {"dolly": 203, "alpaca": 231, "code_alpaca": 96, "ultrachat": 212, "oasst2": 224},
+}
+
+
+def composition_differences(corpus: DataFrame, side: str = "side", source: str = "source", recorded: dict[str, dict[str, int]] = COMPOSITION) -> DataFrame:
+    """``side, source, n, recorded``: the sources of a composed corpus whose rows aren't as many as recorded; a source that only one of
+    the two has counts 0 in the other."""
+    known = corpus.sparkSession.createDataFrame([(k, s, n) for k, part in recorded.items() for s, n in part.items()], "_side string, _source string, recorded long")
+    counts = corpus.groupBy(F.col(side).alias("side"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    both = counts.join(known, F.col("side").eqNullSafe(F.col("_side")) & F.col("source").eqNullSafe(F.col("_source")), "full")
+    out = both.select(F.coalesce("side", "_side").alias("side"), F.coalesce("source", "_source").alias("source"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("recorded", F.lit(0)).alias("recorded"))
+    return out.filter("n <> recorded")
+
 
 def meta_url(meta: Column) -> Column:
     """The lower-case ``url`` of a meta field, a JSON or Python literal; the empty string where there is none, or where
@@ -92,43 +108,50 @@ def turn_pairs(turns: DataFrame, conversation: str, turn: str, role: str = "role
     return pair.filter((own != "") & (reply != "")).select(conversation, turn, prompt.alias("prompt"), reply.alias("response"))
 
 
+def _beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def ratio_mix(first: DataFrame, second: DataFrame, id_column: str, weights: tuple[int, int] = (10, 1), seed: int = 42) -> DataFrame:
     """``side, id_column, place``: seeded samples of two sides in the ratio of the weights, as large as the shorter side
-    allows, shuffled together. One side empty gives nothing."""
-    n = first.count(), second.count()
-    scale = min(n[0] / weights[0], n[1] / weights[1])
+    allows, shuffled together. One side empty gives nothing. The sides are counted in the plan itself."""
+    counts = _beside(first.agg(F.count(F.lit(1)).alias("_n1")), second.agg(F.count(F.lit(1)).alias("_n2")))
+    scale = counts.select(F.least(F.col("_n1") / F.lit(float(weights[0])), F.col("_n2") / F.lit(float(weights[1]))).alias("_scale"))
     parts = []
-    for name, side, weight, size in zip(("first", "second"), (first, second), weights, n):
-        take = min(int(scale * weight), size)
+    for name, side, weight in zip(("first", "second"), (first, second), weights):
         ranked = with_prefix(side.select(id_column), order_key(seed, "mix:" + name, F.col(id_column)), tie=id_column)
-        parts.append(ranked.filter(F.col("rnk") <= take).select(F.lit(name).alias("side"), id_column))
+        parts.append(_beside(ranked, scale).filter(F.col("rnk") <= F.floor(F.col("_scale") * weight)).select(F.lit(name).alias("side"), id_column))
     both = parts[0].unionByName(parts[1])
     return with_prefix(both, order_key(seed + 1, "shuffle", F.col("side"), F.col(id_column)), tie="side").withColumnRenamed("rnk", "place")
 
 
-def budget_prefix(pairs: DataFrame, id_column: str, n: str, raw_tokens: int, target: float, seed: int = 42) -> DataFrame:
+def budget_prefix(pairs: DataFrame, id_column: str, n: str, raw_tokens: int | DataFrame, target: float, seed: int = 42) -> DataFrame:
     """One row ``n_pairs, pair_tokens, achieved, under_target``: how many pairs, in seeded order, bring their share of all
-    tokens closest to the target; the fewer of two that are as close."""
+    tokens closest to the target; the fewer of two that are as close. ``raw_tokens`` is a number, or a table of one row
+    with a column ``raw``."""
     if not 0 <= target < 1:
         raise ValueError("the target share must be at least 0 and below 1")
+    given = pairs.sparkSession.range(1).select(F.lit(raw_tokens).alias("raw")) if isinstance(raw_tokens, int) else raw_tokens
+    raw = given.select(F.coalesce("raw", F.lit(0)).cast("long").alias("_raw"))
     run = with_prefix(pairs.select(id_column, F.col(n).cast("long").alias("_n")), order_key(seed, "pairs", F.col(id_column)), {"cum": F.col("_n")}, tie=id_column)
-    need = target / (1 - target) * raw_tokens
+    need = F.lit(target / (1 - target)) * F.col("_raw")
     # the candidates are the last count within the need and the next one; both are single rows of partial aggregates
-    ends = run.agg(F.max(F.when(F.col("cum") <= need, F.struct("rnk", "cum"))).alias("k"), F.min(F.when(F.col("cum") > need, F.struct("rnk", "cum"))).alias("j"), F.count(F.lit(1)).alias("pool"))
-    share = lambda c: F.coalesce(F.try_divide(c.cast("double"), (c + raw_tokens).cast("double")), F.lit(0.0))
-    k = ends.select("pool", F.coalesce(F.col("k.rnk"), F.lit(0)).alias("kn"), F.coalesce(F.col("k.cum"), F.lit(0)).alias("kc"), F.col("j.rnk").alias("jn"), F.col("j.cum").alias("jc"))
-    none = F.lit(target == 0 or raw_tokens == 0)
+    ends = _beside(run, raw).agg(F.max(F.when(F.col("cum") <= need, F.struct("rnk", "cum"))).alias("k"), F.min(F.when(F.col("cum") > need, F.struct("rnk", "cum"))).alias("j"), F.count(F.lit(1)).alias("pool"))
+    share = lambda c: F.coalesce(F.try_divide(c.cast("double"), (c + F.col("_raw")).cast("double")), F.lit(0.0))
+    k = _beside(ends, raw).select("_raw", "pool", F.coalesce(F.col("k.rnk"), F.lit(0)).alias("kn"), F.coalesce(F.col("k.cum"), F.lit(0)).alias("kc"), F.col("j.rnk").alias("jn"), F.col("j.cum").alias("jc"))
+    none = F.lit(target == 0) | (F.col("_raw") == 0)
     nearer = ~none & F.col("jn").isNotNull() & (F.abs(share(F.col("jc")) - target) < F.abs(share(F.col("kc")) - target))
-    out = k.select(F.when(none, 0).when(nearer, F.col("jn")).otherwise(F.col("kn")).cast("long").alias("n_pairs"), F.when(none, 0).when(nearer, F.col("jc")).otherwise(F.col("kc")).cast("long").alias("pair_tokens"), "pool")
+    out = k.select(F.when(none, 0).when(nearer, F.col("jn")).otherwise(F.col("kn")).cast("long").alias("n_pairs"), F.when(none, 0).when(nearer, F.col("jc")).otherwise(F.col("kc")).cast("long").alias("pair_tokens"), "pool", "_raw")
     return out.select("n_pairs", "pair_tokens", share(F.col("pair_tokens")).alias("achieved"), ((F.col("n_pairs") == F.col("pool")) & (share(F.col("pair_tokens")) < target - 1e-9) & F.lit(target > 0)).alias("under_target"))
 
 
 def budget_mix(documents: DataFrame, pairs: DataFrame, id_column: str, n: str, target: float, seed: int = 42) -> DataFrame:
     """``is_supplement, id_column, n, place``: all documents and the budgeted prefix of the pairs, shuffled together."""
-    raw = documents.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    taken = budget_prefix(pairs, id_column, n, raw, target, seed).first()["n_pairs"]
-    ranked = with_prefix(pairs.select(id_column, n), order_key(seed, "pairs", F.col(id_column)), tie=id_column).filter(F.col("rnk") <= taken).drop("rnk")
-    both = documents.select(F.lit(False).alias("is_supplement"), id_column, n).unionByName(ranked.select(F.lit(True).alias("is_supplement"), id_column, n))
+    taken = budget_prefix(pairs, id_column, n, documents.agg(F.sum(n).alias("raw")), target, seed).select(F.col("n_pairs").alias("_taken"))
+    ranked = with_prefix(pairs.select(id_column, n), order_key(seed, "pairs", F.col(id_column)), tie=id_column)
+    kept = _beside(ranked, taken).filter(F.col("rnk") <= F.col("_taken"))
+    both = documents.select(F.lit(False).alias("is_supplement"), id_column, n).unionByName(kept.select(F.lit(True).alias("is_supplement"), id_column, n))
     return with_prefix(both, order_key(seed + 1, "shuffle", F.col("is_supplement").cast("string"), F.col(id_column)), tie="is_supplement").withColumnRenamed("rnk", "place")
 
 

@@ -135,3 +135,29 @@ def factored_weight_loss(a: Column, b: Column, scale: float) -> Column:
     columns = F.transform(F.sequence(F.lit(1), F.size(F.element_at(b, 1))), lambda j: F.transform(b, lambda row: F.element_at(row, j)))
     grams = F.transform(F.arrays_zip(columns.alias("c"), a.alias("r")), lambda i: F.aggregate(F.transform(F.arrays_zip(columns.alias("c"), a.alias("r")), lambda j: dot(i["c"], j["c"]) * dot(i["r"], j["r"])), F.lit(0.0), lambda s, v: s + v))
     return F.aggregate(grams, F.lit(0.0), lambda s, v: s + v) * (scale * scale)
+
+
+def weight_loss(before: DataFrame, after: DataFrame, keys: list[str], weights: str, layer: str, layer_weights: DataFrame) -> DataFrame:
+    """One row ``loss``: the squared norm of what changed between two tables of weights (arrays by ``keys``), each layer's part
+    times its ``weight``. Weights that only one of the two has don't count; the sum is of partial sums."""
+    b = before.select(*keys, F.col(weights).alias("_b"))
+    change = F.aggregate(F.zip_with("_b", weights, lambda x, y: (y - x).cast("double")), F.lit(0.0), lambda s, d: s + d * d)
+    parts = after.join(b, keys).groupBy(layer).agg(F.sum(change).alias("_loss"))
+    return parts.join(layer_weights.select(F.col("layer").alias("_layer"), "weight"), F.col(layer) == F.col("_layer")).agg(F.coalesce(F.sum(F.col("_loss") * F.col("weight")), F.lit(0.0)).alias("loss"))
+
+
+def markdown_table(table: DataFrame, label: str, columns: list[str], digits: int = 2) -> DataFrame:
+    """``line, text``: a report as the lines of a Markdown table of even width, in the order of its labels; numbers rounded to
+    ``digits``, nulls empty. For reports: one task orders its lines."""
+    number = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.bround(F.col(c).cast("double"), digits)))
+    cells = table.select(F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_label"), *[number(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    width = cells.agg(F.coalesce(F.max(F.length("_label")), F.lit(0)).alias("_width"), *[F.greatest(F.coalesce(F.max(F.length(f"_c{i}")), F.lit(0)), F.lit(max(len(c), 3))).alias(f"_w{i}") for i, c in enumerate(columns)])
+    n = range(len(columns))
+    heads = width.select(F.posexplode(F.array(
+        F.concat(F.lit("| "), F.rpad(F.lit(""), F.col("_width"), F.lit(" ")), *[F.concat(F.lit(" | "), F.lpad(F.lit(columns[i]), F.col(f"_w{i}"), F.lit(" "))) for i in n], F.lit(" |")),
+        F.concat(F.lit("| "), F.rpad(F.lit(""), F.col("_width"), F.lit("-")), *[F.concat(F.lit(" | "), F.rpad(F.lit(""), F.col(f"_w{i}"), F.lit("-"))) for i in n], F.lit(" |")),
+    )).alias("line", "text"))
+    one = cells.withColumn("_one", F.lit(1)).join(F.broadcast(width.withColumn("_one", F.lit(1))), "_one")  # one row
+    line = F.concat(F.lit("| "), F.rpad("_label", F.col("_width"), F.lit(" ")), *[F.concat(F.lit(" | "), F.lpad(f"_c{i}", F.col(f"_w{i}"), F.lit(" "))) for i in n], F.lit(" |"))
+    body = one.select((F.row_number().over(Window.orderBy("_label")) + 1).alias("line"), line.alias("text"))
+    return heads.unionByName(body)

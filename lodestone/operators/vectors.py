@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
@@ -127,6 +127,17 @@ def reservoir(vectors: DataFrame, site: str, id_column: str, size: int = RESERVO
     return first_of_each(vectors, site, size, key=order_key(seed, "reservoir", F.col(site), F.col(id_column)), tie=id_column)
 
 
+def until_enough(vectors: DataFrame, site: str, batch: str, need: int) -> DataFrame:
+    """The vectors of the batches up to and with the first after which every site has ``need``; of all batches where a site never
+    has. Only the numbers of each batch's vectors are looked at to find it."""
+    counts = vectors.groupBy(site, batch).agg(F.count(F.lit(1)).alias("_n"))
+    run = counts.withColumn("_n", F.sum("_n").over(Window.partitionBy(site).orderBy(batch)))  # a row a batch
+    reached = run.groupBy(site).agg(F.min(F.when(F.col("_n") >= need, F.col(batch))).alias("_at"))
+    last = reached.agg(F.when(F.count("_at") == F.count(F.lit(1)), F.max("_at")).alias("_last")).withColumn("_one", F.lit(1))
+    kept = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").filter(F.col("_last").isNull() | (F.col(batch) <= F.col("_last")))
+    return kept.select(*vectors.columns)
+
+
 def principal_axes(covariance: DataFrame, site: str, variance: float = 0.95) -> DataFrame:
     """``site, n, n_components, eigenvalues, explained, components`` ([D][n]): the fewest directions that reach the share of
     the variance. One matrix a task."""

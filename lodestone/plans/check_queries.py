@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.functions.names import source_name
 from lodestone.functions.seeded import epoch_offset
-from lodestone.operators import checks, chunking, metrics, vectors
+from lodestone.operators import checks, chunking, corpora, metrics, vectors
 from lodestone.plans.text_queries import _N_WORDS, _sha, _word_counts, _words, table
 
 QUERIES: dict = {}
@@ -155,3 +156,34 @@ def adapter_training(spark, d):
 def scored_as(spark, d):
     flag = lambda k: F.pmod("doc_id", F.lit(k)) == 0
     return table(spark, d, "documents").select("doc_id", checks.scored_as(flag(2), flag(3), flag(5)).alias("scored"))
+
+
+_RECORDED = ", ".join(f"('{side}', '{source}', {n})" for side, part in corpora.COMPOSITION.items() for source, n in part.items())
+
+
+@query(rf"""with c as (select side, source, count(*) as n from (select case when prompt is null then 'pretraining' else 'instruction' end as side, case when s is null or s = '' then 'unknown' else s end as source from (
+    select any_value(prompt) as prompt, min_by(replace(lower(regexp_replace(source, '^[ \t\r\n\x{{A0}}\x{{3000}}]+|[ \t\r\n\x{{A0}}\x{{3000}}]+$', '', 'g')), '-', '_'), loaded_at) as s from seed_corpus group by row_id)) group by all)
+  select * from (select side, source, coalesce(n, 0) as n, coalesce(recorded, 0)::bigint as recorded from c full join (values {_RECORDED}) v(side, source, recorded) using (side, source)) where n <> recorded""")
+def composition_differences(spark, d):
+    """The seed corpus against the recorded composition."""
+    rows = table(spark, d, "seed_corpus").groupBy("row_id").agg(F.min_by(F.struct(F.col("prompt").isNull().alias("text"), source_name(F.col("source")).alias("source")), "loaded_at").alias("v"))
+    return corpora.composition_differences(rows.select(F.when(F.col("v.text"), "pretraining").otherwise("instruction").alias("side"), "v.source"))
+
+
+@query("""with m as (select epoch::varchar as label, coalesce(printf('%.2f', round_even(avg(train_loss), 2)), '') as a, coalesce(printf('%.2f', round_even(avg(val_perplexity), 2)), '') as b from run_history group by epoch),
+  w as (select max(length(label))::int as w, greatest(max(length(a)), 10)::int as wa, greatest(max(length(b)), 14)::int as wb from m)
+  select 0 as line, '| ' || repeat(' ', w) || ' | ' || lpad('train_loss', wa, ' ') || ' | ' || lpad('val_perplexity', wb, ' ') || ' |' as text from w union all select 1, '| ' || repeat('-', w) || ' | ' || repeat('-', wa) || ' | ' || repeat('-', wb) || ' |' from w
+  union all select cast(row_number() over (order by label) + 1 as int), '| ' || rpad(label, w, ' ') || ' | ' || lpad(a, wa, ' ') || ' | ' || lpad(b, wb, ' ') || ' |' from m, w""")
+def report_lines(spark, d):
+    means = table(spark, d, "run_history").groupBy("epoch").agg(F.avg("train_loss").alias("train_loss"), F.avg("val_perplexity").alias("val_perplexity"))
+    return metrics.markdown_table(means, "epoch", ["train_loss", "val_perplexity"])
+
+
+@query("""with w as (select l, 0.2::double + 0.8::double * (1 + cos(pi() * l / 10)) / 2 as w from range(10) r(l)), p as (select label as l, sum(pow(a.x::double - b.x::double, 2)) as loss from (select vec_id, label, unnest(embedding) as x, unnest(range(64)) as d from embeddings) b
+    join (select vec_id, unnest(list_reverse(embedding)) as x, unnest(range(64)) as d from embeddings) a using (vec_id, d) group by label)
+  select round(sum(loss * w / (select sum(w) from w)), 6) as loss from p join w using (l)""")
+def general_weight_loss(spark, d):
+    """What changed between the vectors and the same ones backwards, by layers."""
+    v = table(spark, d, "embeddings")
+    changed = v.withColumn("embedding", F.reverse("embedding"))
+    return metrics.weight_loss(v.select("vec_id", "embedding"), changed, ["vec_id"], "embedding", "label", metrics.layer_weights(spark, 10, 0.2)).withColumn("loss", F.round("loss", 6))

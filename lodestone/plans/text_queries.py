@@ -294,7 +294,7 @@ _PREFIX = f"""with raw as (select sum(n)::double as raw from {_N_WORDS}), run as
 @query(f"""{_PREFIX} select cast(b.rnk as bigint) as n_pairs, cast(b.cum as bigint) as pair_tokens, round(b.cum / (raw + b.cum), 9) as achieved,
   b.rnk = (select count(*) from {_PAIR_WORDS}) and b.cum / (raw + b.cum) < 0.13::double - 1e-9::double as under_target from best""")
 def supplement_prefix(spark, d):
-    raw = _word_counts(spark, d).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    raw = _word_counts(spark, d).agg(F.sum("n").alias("raw"))
     return corpora.budget_prefix(_pairs(spark, d), "pair_id", "n", raw, 0.13).withColumn("achieved", F.round("achieved", 9))
 
 
@@ -442,10 +442,17 @@ def clean_text(spark, d):
     return cleaned.select("doc_id", F.length("text").alias("n_chars"), text.fingerprint(F.col("text")).alias("text_hash"))
 
 
-@query()
+_CELL = "trim(regexp_replace(coalesce({c}, ''), '[ \\t\\r\\n\\f\\x{{A0}}]+', ' ', 'g'))"
+
+
+@query(f"""select doc_id, '# ' || {_CELL.format(c="coalesce(title, 'untitled')")} || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(text, '^\n+|\n+$', '', 'g') || chr(10) || '```' || chr(10) || chr(10)
+  || '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {_CELL.format(c='lang')} || ' | ' || {_CELL.format(c='source')} || ' |' as text from documents where text is not null""")
 def html_to_text(spark, d):
-    page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><h1>"), F.coalesce("title", F.lit("untitled")), F.lit("</h1><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p><footer>end</footer></body></html>"))
-    return table(spark, d, "documents").select("doc_id", folds.html_to_markdown_column(page).alias("text"))
+    """Pages with boilerplate, a heading, the text as code and a table; code keeps its lines and spaces."""
+    escaped = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    table_ = F.concat(F.lit("<table><tr><th>lang</th><th>source</th></tr><tr><td>"), escaped("lang"), F.lit("</td><td>"), escaped("source"), F.lit("</td></tr></table>"))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><h1>"), escaped(F.coalesce("title", F.lit("untitled"))), F.lit("</h1><pre><code>"), escaped("text"), F.lit("</code></pre>"), table_, F.lit("<footer>end</footer></body></html>"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", folds.html_to_markdown_column(page).alias("text"))
 
 
 @query()

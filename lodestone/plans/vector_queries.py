@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import metrics, mixture, sampling, vectors
 from lodestone.operators.lineage import shared_folder
-from lodestone.streaming.fold import fold_moments, folded
+from lodestone.streaming.fold import fold_moments, fold_reservoir, folded, folded_reservoir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -340,9 +341,31 @@ def manifest_reuse(spark, d):
 @query(f"select label::int as label, d::int as d, count(*) as n, round(avg(x), 6) as mean, round(sqrt(var_samp(x) + 1e-10), 6) as std from {_LONG} group by label, d")
 def stream_moment_fold(spark, d):
     """The vectors as a stream of files, folded into standing moments batch by batch; equal to ``vector_moments``."""
-    where = f"{shared_folder(spark).rstrip('/')}/lodestone-fold-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**9}-{int(spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0])}"
-    path = f"{d}/embeddings.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path if spark.read.parquet(path).inputFiles()[0].rstrip("/") != f"file://{path}" else f"{d}/embeddings.parque[t]")
+    stream, where = _stream(spark, d, "moments")
     fold_moments(stream, "label", "embedding", f"{where}/state", f"{where}/checkpoint").awaitTermination()
     out = folded(spark, f"{where}/state")
     return out.select(F.col("site").alias("label"), "d", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def _stream(spark, d, name: str) -> tuple[DataFrame, str]:
+    """The vectors as a stream of files, and a folder for its state."""
+    where = f"{shared_folder(spark).rstrip('/')}/lodestone-fold-{name}-{uuid.uuid4()}"
+    path = f"{d}/embeddings.parquet"
+    whole = spark.read.parquet(path)
+    one_file = whole.inputFiles()[0].rstrip("/") == f"file://{path}"  # a stream reads folders, or what a pattern finds
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/embeddings.parque[t]" if one_file else path), where
+
+
+@query(f"select label, vec_id, row_number() over (partition by label order by {_sha('reservoir', "label || ':' || vec_id")}, vec_id) as place from embeddings qualify place <= 30")
+def stream_reservoir_fold(spark, d):
+    """The reservoirs of a stream's batches, folded into that of the whole."""
+    stream, where = _stream(spark, d, "reservoir")
+    fold_reservoir(stream, "label", "vec_id", f"{where}/state", f"{where}/checkpoint", 30).awaitTermination()
+    return folded_reservoir(spark, f"{where}/state", "label", "vec_id", 30).select("label", "vec_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""with b as (select label, vec_id, vec_id // 20 as batch from embeddings), c as (select label, batch, sum(count(*)) over (partition by label order by batch) as n from b group by label, batch),
+  r as (select label, min(batch) filter (where n >= 15) as hit from c group by label), l as (select case when count(hit) = count(*) then max(hit) end as last from r) select label, vec_id, batch from b, l where last is null or batch <= last""")
+def vectors_until_enough(spark, d):
+    v = table(spark, d, "embeddings").select("label", "vec_id", F.floor(F.col("vec_id") / 20).alias("batch"))
+    return vectors.until_enough(v, "label", "batch", 15)

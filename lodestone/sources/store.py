@@ -112,7 +112,10 @@ class ResultStore:
 
 
 class Ledger:
-    """Runs of stages, appended one JSON line each."""
+    """Runs of stages, appended one JSON line each under a lock, so that two writers neither share a name nor tear a line."""
+
+    #: Seconds after which another writer's lock is taken for a dead one's.
+    STALE = 60
 
     def __init__(self, path: str):
         self.path = path
@@ -124,20 +127,58 @@ class Ledger:
         except FileNotFoundError:
             return []
 
-    def append(self, stage: str, info: dict) -> dict:
+    @contextmanager
+    def _locked(self):
+        lock = self.path + ".lock"
+        while True:
+            try:
+                os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+                break
+            except FileExistsError:
+                try:
+                    if time.time() - os.path.getmtime(lock) > self.STALE:
+                        os.replace(lock, f"{lock}.stale-{time.time_ns()}")
+                except FileNotFoundError:
+                    pass
+                time.sleep(0.02)
+        try:
+            yield
+        finally:
+            os.unlink(lock)
+
+    def append(self, stage: str, info: dict, options: dict | None = None) -> dict:
         """Adds a run under the stage's next free name (``stage``, ``stage_2``, …)."""
-        n = sum(r["stage"] == stage for r in self.runs())
-        run = {"stage": stage, "run": stage if not n else f"{stage}_{n + 1}", "at": time.time(), **info}
-        with open(self.path, "a") as f:
-            f.write(json.dumps(run, sort_keys=True) + "\n")
+        with self._locked():
+            n = sum(r["stage"] == stage for r in self.runs())
+            run = {"stage": stage, "run": stage if not n else f"{stage}_{n + 1}", "at": time.time(), **info}
+            if options is not None:
+                run["options_hash"] = canonical_hash(options)
+            with open(self.path, "a") as f:
+                f.write(json.dumps(run, sort_keys=True) + "\n")
+                f.flush()
+                os.fsync(f.fileno())
         return run
 
 
-def run_chain(steps: list[dict], known: dict[str, Callable[..., dict]], ledger: Ledger) -> list[dict]:
-    """Runs the stages of a specification in order, after all of it has been checked: known stages, no unknown keys."""
+class ResumeRefused(ValueError):
+    """A ledger whose finished stages aren't the specification's."""
+
+
+def run_chain(steps: list[dict], known: dict[str, Callable[..., dict]], ledger: Ledger, resume: bool = False) -> list[dict]:
+    """Runs the stages of a specification in order, after all of it has been checked: known stages, no unknown keys.
+
+    With ``resume`` the stages that the ledger has already are passed over, if they are the specification's first ones with
+    the same options; else nothing runs."""
     for i, step in enumerate(steps):
         if step.get("stage") not in known:
             raise ValueError(f"step {i}: unknown stage {step.get('stage')!r}; known are {sorted(known)}")
         if extra := set(step) - {"stage", "options"}:
             raise ValueError(f"step {i}: unknown keys {sorted(extra)}")
-    return [ledger.append(s["stage"], known[s["stage"]](**s.get("options", {}))) for s in steps]
+    done = ledger.runs() if resume else []
+    for i, (run, step) in enumerate(zip(done, steps)):
+        if run["stage"] != step["stage"] or run.get("options_hash") not in (None, canonical_hash(step.get("options", {}))):
+            raise ResumeRefused(f"step {i}: the ledger has {run['run']} here, run with other options or another stage")
+    if len(done) > len(steps):
+        raise ResumeRefused(f"the ledger has {len(done)} runs, the specification {len(steps)}")
+    rest = [ledger.append(s["stage"], known[s["stage"]](**s.get("options", {})), s.get("options", {})) for s in steps[len(done) :]]
+    return [*done, *rest]

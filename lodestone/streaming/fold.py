@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.folds import clean_text
-from lodestone.operators.vectors import moments
+from lodestone.operators.vectors import moments, reservoir
 from lodestone.sources.sinks import write_batch
 
 
@@ -22,6 +22,21 @@ def fold_moments(stream: DataFrame, site: str, vector: str, state: str, checkpoi
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
+def fold_reservoir(stream: DataFrame, site: str, id_column: str, state: str, checkpoint: str, size: int, seed: int = 42) -> StreamingQuery:
+    """Keeps each micro-batch's reservoir in its own partition of ``state``. Reservoirs are the rows with the lowest keys, so the
+    reservoir of all of them is that of the whole stream (``folded_reservoir``)."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        write_batch(reservoir(batch, site, id_column, size, seed).drop("place"), state, number)
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def folded_reservoir(spark: SparkSession, state: str, site: str, id_column: str, size: int, seed: int = 42) -> DataFrame:
+    """The reservoir of everything that has come so far; ``size`` at most that of the kept ones."""
+    return reservoir(spark.read.parquet(state).drop("batch"), site, id_column, size, seed)
+
+
 def folded(spark: SparkSession, state: str) -> DataFrame:
     """``site, d, n, mean, std``: the moments of all batches so far, merged exactly coordinate by coordinate."""
     parts = spark.read.parquet(state).select("site", "n", F.posexplode(F.arrays_zip("mean", "m2")).alias("d", "v")).select("site", "n", "d", "v.mean", "v.m2")

@@ -92,6 +92,14 @@ def test_html_becomes_markdown():
     assert folds.html_to_markdown("plain") == "plain" and folds.html_to_markdown("") == ""
 
 
+def test_code_and_tables_keep_their_form():
+    page = "<body><pre><code>def f(x):\n    if x &lt; 1:\n\treturn <b>x</b>\n</code></pre><p>Use <code>f</code>.</p><table><tr><th>a</th><th>b</th></tr><tr><td>1 <i>x</i></td><td>p|q</td></tr><tr><td>3</td></tr></table><table><tr><td>only</td></tr></table>"
+    want = "```\ndef f(x):\n    if x < 1:\n\treturn x\n```\n\nUse `f`.\n\n| a | b |\n| --- | --- |\n| 1 *x* | p\\|q |\n| 3 |  |\n\n|  |\n| --- |\n| only |"
+    assert folds.html_to_markdown(page) == want
+    assert folds.html_to_markdown("<pre>open\n  end") == "```\nopen\n  end\n```" and folds.html_to_markdown("<table><tr><td>x") == "|  |\n| --- |\n| x |"
+    assert folds.html_to_markdown("<table></table>\0<td>y</td>") == "y"
+
+
 def test_repeat_share(spark):
     eight = "a b c d e f g h"
     out = one(spark, text.repeat_share(F.col("t")), "a b c", eight, f"{eight} {eight} {eight}", "", None)

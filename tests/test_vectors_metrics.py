@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.seeded import order_key
-from lodestone.operators import checks, metrics, mixture, ranking, sampling, vectors
+from lodestone.operators import checks, corpora, metrics, mixture, ranking, sampling, vectors
 from lodestone.sources import files, sinks, store, tables
 from lodestone.streaming.fold import fold_moments, folded
 
@@ -183,6 +183,46 @@ def test_statistics_are_stored_compactly_and_checked(spark, tmp_path):
         files.read_artifact(spark, str(tmp_path / "none"))
 
 
+def test_reading_stops_when_every_site_has_enough(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], i // 10) for i in range(100)], "id long, site string, batch long")
+    assert vectors.until_enough(df, "site", "batch", 9).agg(F.max("batch")).first()[0] == 2  # 10 of the rarer in 30
+    assert vectors.until_enough(df, "site", "batch", 1000).count() == 100
+    assert vectors.until_enough(df.limit(0), "site", "batch", 1).count() == 0
+
+
+def test_reports_and_records(spark):
+    t = spark.createDataFrame([("long label", 1.25, None), (None, 12345.678, 2.0)], "name string, a double, other double")
+    lines = [r.text for r in metrics.markdown_table(t, "name", ["a", "other"]).orderBy("line").collect()]
+    assert lines == ["|            |        a | other |", "| ---------- | -------- | ----- |", "|            | 12345.68 |  2.00 |", "| long label |     1.25 |       |"]
+    assert metrics.markdown_table(t.limit(0), "name", ["a"]).count() == 2
+    own = spark.createDataFrame([("x", "s1"), ("x", "s1"), ("y", "s2"), (None, "s3")], "side string, source string")
+    got = {tuple(r) for r in corpora.composition_differences(own, recorded={"x": {"s1": 2}, "y": {"s2": 3}, "z": {"s9": 1}}).collect()}
+    assert got == {("y", "s2", 1, 3), (None, "s3", 1, 0), ("z", "s9", 0, 1)}
+    before = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 1, [0.0, 0.0]), (3, 1, [9.0])], "id long, layer long, w array<double>")
+    after = spark.createDataFrame([(1, 0, [1.0, 4.0]), (2, 1, [3.0, 4.0])], "id long, layer long, w array<double>")
+    loss = metrics.weight_loss(before.drop("layer"), after, ["id"], "w", "layer", spark.createDataFrame([(0, 0.25), (1, 2.0)], "layer long, weight double"))
+    assert loss.first().loss == 0.25 * 4 + 2 * 25
+
+
+def test_ledgers_are_appended_whole_and_resumed(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ledger = store.Ledger(str(tmp_path / "l"))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: ledger.append("a", {"i": i}), range(40)))
+    assert sorted(r["run"] for r in ledger.runs()) == sorted(["a", *(f"a_{k}" for k in range(2, 41))])
+    ran, book = [], store.Ledger(str(tmp_path / "m"))
+    known = {"one": lambda x=0: ran.append(("one", x)) or {}, "two": lambda: ran.append("two") or {}}
+    store.run_chain([{"stage": "one", "options": {"x": 1}}], known, book)
+    steps = [{"stage": "one", "options": {"x": 1}}, {"stage": "two"}]
+    assert [r["run"] for r in store.run_chain(steps, known, book, resume=True)] == ["one", "two"] and ran == [("one", 1), "two"]
+    assert len(store.run_chain(steps, known, book, resume=True)) == 2 and len(ran) == 2
+    for other in ([{"stage": "one", "options": {"x": 2}}, {"stage": "two"}], steps[:1], steps[::-1]):
+        with pytest.raises(store.ResumeRefused):
+            store.run_chain(other, known, book, resume=True)
+    assert len(ran) == 2
+
+
 def test_small_scans_are_spread(spark, tmp_path):
     spark.range(1000).withColumn("t", F.lit("x")).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
     wide = tables.read_table(spark, str(tmp_path), "one")
@@ -365,4 +405,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"after_delta_pct": -10.0' in capsys.readouterr().out
     (tmp_path / "spec.json").write_text('[{"stage": "nothing"}]')
     assert cli.main(["chain", str(tmp_path / "spec.json"), "--ledger", str(tmp_path / "l")]) == 2
+    (tmp_path / "spec.json").write_text('[{"stage": "evaluate", "options": {"scores": "' + str(tmp_path / "scores.json") + '"}}]')
+    assert cli.main(["chain", str(tmp_path / "spec.json"), "--ledger", str(tmp_path / "l")]) == 0 == cli.main(["chain", str(tmp_path / "spec.json"), "--ledger", str(tmp_path / "l"), "--resume"])
+    (tmp_path / "spec.json").write_text('[{"stage": "evaluate", "options": {"score": "x"}}]')
+    assert cli.main(["chain", str(tmp_path / "spec.json"), "--ledger", str(tmp_path / "l")]) == 2
     assert cli.main(["list-artifacts", "--root", str(tmp_path)]) == 0
