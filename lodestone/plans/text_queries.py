@@ -436,9 +436,31 @@ def char_normalise(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", n.alias("n")).select("doc_id", F.length("n").alias("n_chars"), text.fingerprint(F.col("n")).alias("text_hash"))
 
 
-@query()
+def _cleaned(source: str) -> str:
+    """One round of the cleaning, as a select over (doc_id, t)."""
+    steps = [
+        ("<sup>(.*?)</sup>", r"\1"), ("<sub>(.*?)</sub>", r"\1"), ("</?span[^>]*>", ""), (r"(?s)\\\*\[{2,3}(.*?)\]{2,3}", r"\1"), (r"(?s)\[\[(.*?)\]\]", r"\1"), (r"\[\\\*\]", ""),
+        (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"),
+        # an escaped underscore by itself stays, those of a run lose their strokes
+        (r"\\_", r"\x02"), (r"(^|[^\x02])\x02([^\x02]|$)", r"\1\\_\2"), (r"(^|[^\x02])\x02([^\x02]|$)", r"\1\\_\2"), (r"\x02", "_"),
+        (r"(?m)^\*\*[^*]+\*\*$", ""), (r"\n-{3,}\n", r"\n\n"),
+    ]
+    c = "t"
+    for pattern, to in steps:
+        to = {r"\x02": "' || chr(2) || '", r"\n\n": "' || chr(10) || chr(10) || '"}.get(to, to)
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    plain = lambda x: rf"({x} <> '' and not regexp_matches({x}, '^(#|- |\* |\||> |\p{{Nd}}+[.] )'))"
+    joined = f"array_to_string(list_transform(l, lambda x, i: case when i = 1 then '' when {plain('x')} and {plain('l[i - 1]')} then ' ' else chr(10) end || x), '')"
+    return rf"""select doc_id, nfc_normalize(trim(regexp_replace(regexp_replace({joined}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10))) as t
+      from (select doc_id, list_transform(string_split({c}, chr(10)), lambda x: trim(x, ' ')) as l from ({source}))"""
+
+
+_CLEANED = _cleaned(_cleaned(_cleaned(f"select doc_id, {_norm('text')} as t from documents where text is not null")))
+
+
+@query(f"select doc_id, length(t) as n_chars, sha256(t) as text_hash from ({_CLEANED})", longs=("n_chars",))
 def clean_text(spark, d):
-    cleaned = table(spark, d, "documents").select("doc_id", folds.clean_text(F.col("text")).alias("text"))
+    cleaned = table(spark, d, "documents").filter("text is not null").select("doc_id", folds.clean_text(F.col("text")).alias("text"))
     return cleaned.select("doc_id", F.length("text").alias("n_chars"), text.fingerprint(F.col("text")).alias("text_hash"))
 
 
@@ -535,7 +557,10 @@ _REFERS = f"({_cites('q')} or {_cites('a')} or (regexp_matches(a, '{_q(text.AUTH
 _LEAKS = f"(regexp_matches(q, '{_q(text.LEAKED_JSON)}') or regexp_matches(a, '{_q(_JSON_ANSWER)}'))"
 
 
-@query(f"""with p as (select pair_id, coalesce(question, '') as q, regexp_replace(coalesce(answer, ''), {_PY_STRIP}) as a from {_PAIR_N}),
+_TURN = r"regexp_replace(split_part(coalesce(answer, ''), '<|im_end|>', 1), '^\s*<think>\s*</think>\s*', '')"
+
+
+@query(f"""with p as (select pair_id, coalesce(question, '') as q, regexp_replace({_TURN}, {_PY_STRIP}) as a from {_PAIR_N}),
   r as (select case when {_LEAKS} then 'leaked_json' when {_REFERS} then 'refers_to_source' when length(a) < 40 then 'short_answer' end as reason from p)
   select v.reason, count(r.reason) as n from (values {', '.join(f"('{x}')" for x in REASONS)}) v(reason) left join r using (reason) group by v.reason""")
 def question_filter_tally(spark, d):
