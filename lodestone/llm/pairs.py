@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.deliveries import first_delivery
@@ -278,24 +278,28 @@ _SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+")
 _CLAUSES = re.compile(r"[,;:]\s+(?:(?:but|mais|pero|aber|however|that said|so)\b,?\s*)?")
 _CLAUSE_ENDS = re.compile(r"[,;:]\s")
 _SPACE = re.compile(r"\s+")
-_MASKS = re.compile(r"_(?: _)+")
 
 
 def _opening(sentence: str, start: int, asked: set[str], capitals: bool) -> str:
     """The first characters of a clause, its names, numbers and the question's words masked."""
-    out, size = [], 0
-    for i, m in enumerate(_ANY_WORD.finditer(sentence, start)):
-        word = m[0]
-        low = word.lower()
-        named = capitals and i and word[0].isupper() and word.split("'")[0] != "I"
-        if named or low in asked or not low.isalpha() and _DIGIT.search(low):
-            if out and out[-1] == "_":
-                continue
-            low = "_"
-        else:
-            low = low.replace("'", "")
-        out.append(low)
-        size += len(low) + 1
+    stop = start + 4 * OPENING_CHARS  # as far as most openings need; else the whole sentence
+    for end in (stop, len(sentence)) if stop < len(sentence) else (len(sentence),):
+        found = _ANY_WORD.findall(sentence, start, end)
+        if end < len(sentence):
+            found = found[:-1]  # may be cut short
+        out, size = [], 0
+        for i, word in enumerate(found):
+            low = word.lower()
+            if low in asked or (not low.isalpha() and _DIGIT.search(low)) or (capitals and i and low != word and word[0].isupper() and word.split("'")[0] != "I"):
+                if out and out[-1] == "_":
+                    continue
+                low = "_"
+            else:
+                low = low.replace("'", "")
+            out.append(low)
+            size += len(low) + 1
+            if size > OPENING_CHARS:
+                break
         if size > OPENING_CHARS:
             break
     return " ".join(out)[:OPENING_CHARS].strip()
@@ -457,11 +461,14 @@ def templates(found: DataFrame) -> DataFrame:
     by its heaviest opening (ties by uses, then by the text) and, of those not alike to a representative yet, by the
     next heaviest, until every opening in it is linked, a representative itself, or without weight. Alike is a Jaccard
     similarity of the 4-grams, computed exactly, of at least ALIKE; a link goes to the heaviest such
-    representative. No bucket is cut short, and no task holds one: it is read in order, and its representatives
-    alone are kept. Openings without weight link to others but stand for nothing.
+    representative. No bucket is cut short, and no Python worker holds one: it is read in order, and its representatives
+    alone are kept (the count before it spills). Openings without weight link to others but stand for nothing.
     """
     banded = found.select("opening", "weight", "n").mapInPandas(_with_bands, "opening string, weight long, n long, band array<long>").select("opening", "weight", "n", F.explode("band").alias("band"))
-    ordered = banded.repartition("band").sortWithinPartitions("band", F.desc("weight"), F.desc("n"), F.desc("opening"))
+    # most buckets have one opening, or none of weight: they stay out of Python
+    bucket = Window.partitionBy("band")
+    met = banded.withColumns({"_heaviest": F.max("weight").over(bucket), "_size": F.count(F.lit(1)).over(bucket)}).filter("_heaviest > 0 and _size > 1")
+    ordered = met.sortWithinPartitions("band", F.desc("weight"), F.desc("n"), F.desc("opening"))
     links = ordered.select("band", "opening", "weight").mapInPandas(_linked, "opening string, template string").distinct()
     return links.unionByName(found.filter("weight > 0").select("opening", F.col("opening").alias("template")))
 
