@@ -110,13 +110,33 @@ def pca_eigenvalues(spark, d):
     return p.select("label", "n", "n_components", F.round("explained", 6).alias("explained"), F.transform("eigenvalues", lambda x: F.round(x, 6)).alias("eigenvalues"))
 
 
+@query(f"""with c as (select a.label, a.d, b.d as e, covar_pop(a.x, b.x) as c, count(*) as n from {_LONG} a join {_LONG} b on a.vec_id = b.vec_id and a.label = b.label group by all)
+  select label, max(n) as n, count(*) filter (where d = e) as n_values, round(sum(c) filter (where d = e), 5) as trace, round(sum(c * c), 5) as squares from c group by label""")
+def pca_invariants(spark, d):
+    """What holds for all eigenvalues of a covariance: as many as dimensions, their sum its trace, their squares' sum its norm's square."""
+    p = vectors.principal_axes(vectors.covariance_rows(table(spark, d, "embeddings"), "label", "embedding"), "label", 1.0)
+    total = lambda f: F.round(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + f(x)), 5)
+    return p.select("label", "n", F.size("eigenvalues").cast("long").alias("n_values"), total(lambda x: x).alias("trace"), total(lambda x: x * x).alias("squares"))
+
+
+@query(f"""with m as (select label, d, avg(x) as mu, var_pop(x) as v from {_LONG} group by label, d),
+  p as (select vec_id, l.label, sum(-0.5 * (ln(2 * pi()) + ln(v + 1e-6) + pow(x - mu, 2) / (v + 1e-6))) as ll from {_LONG} l join m on m.label = l.label and m.d = l.d group by vec_id, l.label)
+  select label, round(avg(ll), 4) as log_likelihood, round(-2 * sum(ll) + 128 * ln(count(*)), 2) as bic, round(quantile_cont(ll, 0.1), 4) as p10, round(quantile_cont(ll, 0.5), 4) as p50, round(quantile_cont(ll, 0.9), 4) as p90 from p group by label""")
+def single_component_fit(spark, d):
+    """A mixture of one component is the diagonal normal of the moments, so SQL knows its likelihoods."""
+    v = table(spark, d, "embeddings")
+    m = vectors.fit_mixtures(vectors.reservoir(v, "label", "vec_id"), "label", "vec_id", "embedding", k=1)
+    return m.select("label", *[F.round(c, digits).alias(c) for c, digits in (("log_likelihood", 4), ("bic", 2), ("p10", 4), ("p50", 4), ("p90", 4))])
+
+
 @query()
 def gmm_fit_summary(spark, d):
     v = table(spark, d, "embeddings")
     return vectors.fit_mixtures(vectors.reservoir(v, "label", "vec_id"), "label", "vec_id", "embedding", k=3).select("label", "n_components", "log_likelihood", "bic", "p10", "p50", "p90")
 
 
-@query()
+@query("""with c as (select label, count(*) as n, count(*) filter (where vec_id % 2 = 1) as m from embeddings group by label)
+  select label, n as n_samples, 2 + least(8, greatest(1, m // 200))::int as gmm_n_components, 'gmm' as rung, 64::bigint as n_draws from c""")
 def site_statistics(spark, d):
     """Moments, basis and mixture of each site, a domain folded in, and draws from what comes out."""
     v = table(spark, d, "embeddings")
@@ -124,7 +144,7 @@ def site_statistics(spark, d):
     added = mixture.domain_mixtures(v.filter("vec_id % 2 = 1"), base, "label", "vec_id", "embedding")
     merged = mixture.merge_artifacts(base, added, "label")
     draws = sampling.sample_sites(merged, "label", 64).groupBy("label", "rung").agg(F.count(F.lit(1)).alias("n_draws"))
-    return merged.select("label", "n_samples", "pca_n_components", "gmm_n_components").join(draws, "label")
+    return merged.select("label", "n_samples", "gmm_n_components").join(draws, "label")
 
 
 @query(f"""with m as (select label, d, avg(x) as mu, var_samp(x) + 1e-6 as v from {_LONG} group by label, d),
