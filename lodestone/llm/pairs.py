@@ -479,20 +479,27 @@ _SEED_WEIGHT = 1 << 40
 
 def refusal_openings(checked: DataFrame) -> DataFrame:
     """The openings that are a refusal's: ``opening, telling``, distinct. A telling one has the refusal in its own words, so
-    that an answer opening with it needs no cue; of the others ("I appreciate your interest; however, ...") it does."""
+    that an answer opening with it needs no cue; of the others ("I appreciate your interest; however, ...") it does.
+
+    A cluster without a seed and without a bare answer that speaks of not answering can't be labelled, so clusters stand
+    around openings that have one; what is alike to them joins whatever it says."""
     spark = checked.sparkSession
     uses = checked.select("content", F.explode("bare").alias("o")).select("content", "o.*")
-    one = lambda c: F.col(c).cast("long")
-    bare = uses.select("opening", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("weight"), one("cue").alias("cues"), one("own").alias("owns"), F.struct(F.hash("content").alias("h"), F.col("content").alias("c")).alias("first"))
-    rest = checked.filter(~F.col("pair")).select("opening", "n", *[F.lit(0).cast("long").alias(c) for c in ("weight", "cues", "owns")], F.lit(None).cast(bare.schema["first"].dataType).alias("first"))
+    long = lambda c: (F.col(c) if isinstance(c, str) else F.lit(c)).cast("long")
+    bare = uses.select(
+        "opening", long(1).alias("n"), long(1).alias("bares"), long("cue").alias("cues"), long("own").alias("owns"), long(0).alias("seeds"),
+        F.struct(F.hash("content").alias("h"), F.col("content").alias("c")).alias("first"),
+    )
+    no_prompt = F.lit(None).cast(bare.schema["first"].dataType).alias("first")
+    rest = checked.filter(~F.col("pair")).select("opening", "n", *[long(0).alias(c) for c in ("bares", "cues", "owns", "seeds")], no_prompt)
     seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(s[:OPENING_CHARS].strip() for s in _SEEDS)], "opening string")
-    seeds = seeds.select("opening", F.lit(0).cast("long").alias("n"), F.lit(_SEED_WEIGHT).alias("weight"), *[F.lit(0).cast("long").alias(c) for c in ("cues", "owns")], F.lit(None).cast(bare.schema["first"].dataType).alias("first"))
-    summed = ("n", "weight", "cues", "owns")
+    seeds = seeds.select("opening", *[long(0).alias(c) for c in ("n", "bares", "cues", "owns")], long(1).alias("seeds"), no_prompt)
+    summed = ("n", "bares", "cues", "owns", "seeds")
     found = bare.unionByName(rest).unionByName(seeds).groupBy("opening").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
     found = materialise(found)
-    linked = materialise(templates(found))
+    linked = materialise(templates(found.select("opening", "n", (F.col("cues") + F.col("seeds") * _SEED_WEIGHT).alias("weight"))))
     sums = linked.join(found, "opening").groupBy("template").agg(*[F.sum(c).alias(c) for c in summed], F.min("first").alias("first"))
-    sums = sums.withColumns({"seeded": F.col("weight") >= _SEED_WEIGHT, "bares": F.pmod("weight", F.lit(_SEED_WEIGHT))})
+    sums = sums.withColumn("seeded", F.col("seeds") > 0)
     told = sums.filter((2 * F.col("bares") >= F.col("n")) & (F.col("bares") > 0) & (F.col("seeded") | (F.col("cues") >= MIN_CUE * F.col("bares"))))
     told = told.select("template", "seeded", (F.col("seeded") | (F.col("owns") >= MIN_CUE * F.col("bares"))).alias("telling"), F.col("first.c").alias("first")).join(linked, "template")
     # does the template answer unlike prompts? One prompt that is unlike its first is enough, and there is one if any two are unlike enough
