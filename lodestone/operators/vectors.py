@@ -82,11 +82,17 @@ def moments(vectors: DataFrame, site: str, vector: str) -> DataFrame:
     return whole.select(F.col("site").alias(site), "n", "mean", std.alias("std"), "m2")
 
 
+#: Numbers in a block of a matrix's rows that is merged at once, and the most rows of one.
+BLOCK_NUMBERS, BLOCK_ROWS = 32_768, 64
+
+
 def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
-    """``site, i, n, cov``: row i of each site's covariance, over n (population). Partial Gram matrices about each block's
-    own mean leave a task as rows, so a site's matrix is summed in as many tasks as it has rows, on two levels."""
+    """``site, i, n, cov``: row i of each site's covariance, over n (population). Partial Gram matrices about each task's own
+    mean leave it in blocks of rows (BLOCK_NUMBERS), so a site's matrix is summed in as many tasks as it has blocks, on two
+    levels; the mean goes with a block, not with each row."""
     kind = vectors.schema[site].dataType.simpleString()
     slim = vectors.select(F.col(site).alias("site"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    height = lambda width: max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(width, 1)))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -102,23 +108,29 @@ def covariance_rows(vectors: DataFrame, site: str, vector: str) -> DataFrame:
                 else:
                     held[s] = (n, mean, gram)
         for s, (n, mean, gram) in held.items():
-            yield _rows([(s, i, n, mean, row, _part()) for i, row in enumerate(gram)], ["site", "i", "n", "mean", "gram", "part"])
+            r = height(len(mean))
+            yield _rows([(s, b, n, mean, gram[b * r : (b + 1) * r].ravel(), _part()) for b in range(-(-len(mean) // r))], ["site", "b", "n", "mean", "gram", "part"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, n, mean, row = int(pdf.i.iloc[0]), 0, None, None
+        b, n, mean, block = int(pdf.b.iloc[0]), 0, None, None
         for n2, m2, g2 in zip(pdf.n, pdf["mean"], pdf.gram):
-            m2, g2 = np.asarray(m2), np.asarray(g2)
+            m2 = np.asarray(m2)
+            g2 = np.asarray(g2).reshape(-1, len(m2))
             if mean is None:
-                n, mean, row = int(n2), m2, g2
+                n, mean, block = int(n2), m2, g2
                 continue
-            d = m2 - mean
-            row = row + g2 + d[i] * d * (n * n2 / (n + n2))
+            d, first = m2 - mean, b * height(len(m2))
+            block = block + g2 + np.outer(d[first : first + len(g2)], d) * (n * n2 / (n + n2))
             mean, n = mean + d * (n2 / (n + n2)), int(n + n2)
-        return _rows([(pdf.site.iloc[0], i, n, mean, row)], ["site", "i", "n", "mean", "gram"])
-
-    schema = f"site {kind}, i int, n long, mean array<double>, gram array<double>, part int"
-    whole = _merged(slim.mapInPandas(partial, schema), ("site", "i"), merge, schema)
-    return whole.select(F.col("site").alias(site), "i", "n", F.transform("gram", lambda x: x / F.col("n")).alias("cov"))
+        return _rows([(pdf.site.iloc[0], b, n, mean, block.ravel())], ["site", "b", "n", "mean", "gram"])
+
+    schema = f"site {kind}, b int, n long, mean array<double>, gram array<double>, part int"
+    whole = _merged(slim.mapInPandas(partial, schema), ("site", "b"), merge, schema)
+    width = F.size("mean")
+    high = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_NUMBERS) / width))).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), (F.size("gram") / width).cast("int") - 1), lambda k: F.struct((F.col("b") * F.col("high") + k).alias("i"), F.slice("gram", k * F.col("width") + 1, F.col("width")).alias("row")))
+    each = whole.withColumns({"width": width, "high": high}).select("site", "n", F.explode(rows).alias("r"))
+    return each.select(F.col("site").alias(site), F.col("r.i").alias("i"), "n", F.transform("r.row", lambda x: x / F.col("n")).alias("cov"))
 
 
 def reservoir(vectors: DataFrame, site: str, id_column: str, size: int = RESERVOIR, seed: int = 42) -> DataFrame:

@@ -145,6 +145,15 @@ def test_partial_results_of_many_tasks_merge_on_two_levels(spark, monkeypatch):
     assert np.allclose([cov["s", i] for i in range(3)], np.cov(x[::4].T, bias=True))
 
 
+def test_covariance_of_more_rows_than_a_block(spark):
+    width = vectors.BLOCK_ROWS + 7
+    x = np.random.default_rng(6).normal(size=(90, width))
+    df = spark.createDataFrame([(i, "s", r.tolist()) for i, r in enumerate(x)], "id long, site string, v array<double>").repartition(5)
+    got = {r.i: (r.n, r["cov"]) for r in vectors.covariance_rows(df, "site", "v").collect()}
+    assert sorted(got) == list(range(width)) and np.allclose([got[i][1] for i in range(width)], np.cov(x.T, bias=True)) and {n for n, _ in got.values()} == {90}
+    assert vectors.covariance_rows(df.limit(0), "site", "v").count() == 0
+
+
 def test_draws_from_a_table_and_isotropic_controls(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [0.0, 2.0], 1), (3, [9.0, 9.0], 0), (4, [8.0, 8.0], None)], "item long, v array<double>, w int")
     drawn = sampling.sample_lookup(table, "item", "v", 2000, weight="w").toPandas()
